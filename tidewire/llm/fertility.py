@@ -21,7 +21,7 @@ SCRIPT_RANGES = [
 #: Per script of most letters the least and most characters per token, the largest share of byte-fallback
 #: tokens, and the least token entropy in bits for texts of 64 tokens or more.
 BANDS = {
-    "latin": (1.3, 9.0, 0.25, 3.0),
+    "latin": (1.3, 9.0, 0.25, 4.6),
     "greek": (0.5, 5.0, 0.60, 3.0),
     "cyrillic": (0.9, 7.0, 0.50, 3.0),
     "hebrew": (0.5, 5.0, 0.70, 3.0),
@@ -32,7 +32,7 @@ BANDS = {
     "han": (0.3, 4.0, 0.95, 3.0),
     "hangul": (0.3, 4.0, 0.98, 2.5),
     "other": (0.2, 9.0, 0.98, 2.5),
-    "none": (0.4, 9.0, 0.60, 2.0),
+    "none": (0.4, 9.0, 0.60, 3.0),
 }
 ENTROPY_FROM = 64
 _SPACE = np.zeros(256, bool)
