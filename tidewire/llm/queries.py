@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, sentence_pieces, token_counts
-from .common import table
+from . import fertility, language_id, sentence_pieces, token_counts, toxicity
+from .common import remainder, table
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +25,18 @@ def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), sentence_pieces.model_bytes())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = language_id.predict(docs, language_id.train(docs))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), sentence_pieces.model_bytes())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_sentencepiece, op6_fertility_rules, op9_token_counts)
+    f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op6_fertility_rules, op8_language_id, op9_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
