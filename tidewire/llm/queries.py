@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, sentence_pieces, token_counts, toxicity
+from . import fertility, language_id, minhash, sentence_pieces, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -25,6 +25,10 @@ def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), sentence_pieces.model_bytes())
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = language_id.predict(docs, language_id.train(docs))
@@ -36,7 +40,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op6_fertility_rules, op8_language_id, op9_token_counts)
+    f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
