@@ -59,3 +59,22 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += hashes[k : n + k]
     return mix64(out)
+
+
+class Staged:
+    """A table written as Parquet in the shared checkpoint folder, to be dropped once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame):
+        import uuid
+
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        self.path = f"{base}/staged-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm, sc = self.df.sparkSession._jvm, self.df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, minhash, sentence_pieces, token_counts, toxicity
+from . import fertility, language_id, minhash, sentence_pieces, substrings, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -39,8 +39,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), sentence_pieces.model_bytes())
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts)
+    f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts, op10_repeated_passages)
 }
 
 ORACLE_SQL: dict[str, str] = {}
