@@ -7,16 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, minhash, sentence_pieces, substrings, token_counts, toxicity
+from . import fertility, language_id, minhash, mixing, quotes, sentence_pieces, substrings, token_counts, topk, toxicity
 from .common import remainder, table
 
 
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents")).withColumn("n_copies", F.size("shards"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "n_copies")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), sentence_pieces.model_bytes())
 
@@ -45,7 +58,57 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts, op10_repeated_passages)
+    f.__name__: f for f in (op1_top_k_search, op2_quotation_linking, op3_toxicity, op4_mixing, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts, op10_repeated_passages)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k_search": """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op2_quotation_linking": r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+quoted AS (
+  SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '\s+', ' ', 'g')) AS key
+  FROM lines WHERE regexp_matches(line, '^(?:[ \t]*>)+')),
+asked AS (
+  SELECT DISTINCT conv_id, turn, key FROM (
+    SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS low FROM quoted WHERE key <> '') WHERE level = low),
+own AS (
+  SELECT *, CASE WHEN text IS NULL THEN NULL ELSE trim(array_to_string(list_filter(string_split(text, chr(10)),
+    lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10))) END AS body FROM conversations),
+held AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS key FROM (
+    SELECT conv_id, turn, unnest(list_append(string_split(body, chr(10)), body)) AS line FROM own)),
+met AS (
+  SELECT a.conv_id, a.turn, a.key, max(h.turn) AS holder FROM asked a
+  JOIN held h ON h.conv_id = a.conv_id AND h.key = a.key AND h.turn < a.turn GROUP BY ALL),
+votes AS (SELECT conv_id, turn, holder, sum(length(key)) AS chars FROM met GROUP BY ALL),
+reply AS (
+  SELECT conv_id, turn, holder AS reply_to FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, holder DESC) = 1),
+up AS (
+  SELECT conv_id, turn, reply_to, reply_to AS root FROM reply
+  UNION ALL
+  SELECT u.conv_id, u.turn, u.reply_to, r.reply_to FROM up u JOIN reply r ON r.conv_id = u.conv_id AND r.turn = u.root),
+root AS (SELECT conv_id, turn, reply_to, min(root) AS root FROM up GROUP BY ALL),
+done AS (
+  SELECT o.conv_id, o.turn, o.role, r.reply_to, coalesce(r.root, o.turn) AS root_turn, o.body AS text
+  FROM own o LEFT JOIN root r ON r.conv_id = o.conv_id AND r.turn = o.turn)
+SELECT conv_id, turn,
+  row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position,
+  role, reply_to, root_turn, text,
+  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS message
+FROM done""",
+}
