@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mix64
-from .pieces import Encoder
+from .pieces import encoder as shared_encoder
 
 #: First and last code point of ranges, and the script they stand for.
 SCRIPT_RANGES = [
@@ -114,7 +114,7 @@ def quality_rules(
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        encoder = Encoder(model)
+        encoder = shared_encoder(model)
         is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
         for b in batches:
             rows = []

@@ -34,7 +34,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     s = sources.withColumn("weight", w).withColumn("limit", F.col("source_size") * F.lit(most))
     by = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
+    every = Window.partitionBy()
     s = s.withColumn("left", F.sum("source_size").over(every) * share - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     final = F.min(F.when(F.col("limit") / F.col("weight") > F.col("level"), F.struct(F.col("limit") / F.col("weight"), F.col("level").alias("level"))))
@@ -82,15 +82,16 @@ def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long"))
     sources = cut(sources.withColumn("rest", words - F.col("passes") * F.col("source_size")))
     small = sources.count() <= 10_000  # a row a source: broadcast only when few
-    dim = F.broadcast(sources) if small else sources
-    on = rows["source"].eqNullSafe(dim["source"])
-    part = F.shiftrightunsigned(rows["hash"], 32) * F.col("n_blocks")
-    dealt = rows.join(dim, on).select("id", rows["source"], "size", "hash", "source_size", "target", "passes", "rest", F.shiftright(part, 32).alias("block"))
+    dim = sources.drop("n").withColumnRenamed("source", "src")
+    dim = F.broadcast(dim) if small else dim
+    on = F.col("source").eqNullSafe(F.col("src"))
+    part = F.shiftrightunsigned("hash", 32) * F.col("n_blocks")
+    dealt = rows.join(dim, on).select("id", "source", "size", "hash", "source_size", "target", "passes", "rest", F.shiftright(part, 32).alias("block"))
     blocks = dealt.groupBy("source", "block", "passes", "rest").agg(F.sum("size").alias("words"))
     place = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
     blocks = blocks.withColumn("turn", F.row_number().over(place) - 1)
     blocks = cut(blocks.withColumn("before", F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")))
-    quota = blocks.groupBy("source").agg((F.max("passes") * F.count("*") + F.count_if("before < rest")).alias("quota"), F.count("*").alias("in_pass"))
+    quota = blocks.groupBy("source").agg((F.max("passes") * F.count("*") + F.count_if(F.col("before") < F.col("rest"))).alias("quota"), F.count("*").alias("in_pass"))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", na_position="last", kind="stable").reset_index(drop=True)
@@ -98,19 +99,18 @@ def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
         return pdf.assign(ends=[r.tolist() for r in starts])[["source", "in_pass", "ends"]]
 
     kind = df.schema[source].dataType.simpleString()
-    ends = quota.groupBy(F.lit(0)).applyInPandas(deal, f"source {kind}, in_pass long, ends array<long>")  # a row a source
-    ends = cut(ends)
+    ends = quota.groupBy().applyInPandas(deal, f"source {kind}, in_pass long, ends array<long>")  # a row a source
+    ends = cut(ends).withColumnRenamed("source", "src")
     ends = F.broadcast(ends) if small else ends
     taken = F.col("passes") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)
-    blocks = blocks.join(ends, blocks["source"].eqNullSafe(ends["source"])).select(
-        blocks["source"], "block", "before", "words",
+    blocks = blocks.join(ends, F.col("source").eqNullSafe(F.col("src"))).select(
+        F.col("source").alias("src"), F.col("block").alias("nr"), "before", "words",
         F.transform(
             F.when(taken > 0, F.sequence(F.lit(0).cast("long"), taken - 1)).otherwise(F.array().cast("array<long>")),
             lambda p: F.size(F.filter("ends", lambda e: e <= p * F.col("in_pass") + F.col("turn"))),
         ).alias("shards"),
     )
-    at = dealt.alias("d").join(blocks.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-    at = at.select("d.*", "before", "words", "shards")
+    at = dealt.join(blocks, F.col("source").eqNullSafe(F.col("src")) & (F.col("block") == F.col("nr"))).drop("src", "nr")
     last = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     whole = at.where(~last).withColumn("taken", F.size("shards") * F.col("size"))
     # The one block of each source that is taken in part: documents in hashed order, the last of them in part.
@@ -131,10 +131,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     names = df.columns
     docs = df.dropDuplicates([key])
-    plan = plan_mix(docs, key, text, source, seed, shards).select(F.col("id").alias("__id"), "size", "taken", "shards")
+    plan = plan_mix(docs, key, text, source, seed, shards)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.size("shards")).cast("int")
-    # A document without words takes no words: it comes once if a copy is drawn.
-    plan = plan.withColumn("__shards", F.slice("shards", 1, F.least(copies, F.size("shards")))).where(F.size("__shards") > 0)
-    rows = docs.join(plan, docs[key].eqNullSafe(plan["__id"])).select(*(docs[c] for c in names), F.posexplode("__shards").alias("__copy", "__shard"))
+    # A document without words takes no words: it comes as often as its block is drawn.
+    plan = plan.select(F.col("id").alias("__id"), F.slice("shards", 1, F.least(copies, F.size("shards"))).alias("__shards")).where(F.size("__shards") > 0)
+    rows = docs.join(plan, F.col(key).eqNullSafe(F.col("__id"))).select(*names, F.posexplode("__shards").alias("__copy", "__shard"))
     order = F.xxhash64(F.lit(seed + 3), F.col(key).cast("string"), "__copy")
     return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", order).select(*names)

@@ -11,6 +11,7 @@ vocabulary of the unigram kind (``kind="unigram"``) the same lattice keeps the a
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 
 SPACE = "▁"
@@ -272,3 +273,15 @@ class Counter:
     def count(self, text: str | None) -> int:
         v = self.v
         return sum(map(self.memo.__getitem__, v.chunks(v.normalise(text or ""))))
+
+
+@lru_cache(maxsize=2)
+def encoder(model: bytes, kind: str = "bpe") -> Encoder:
+    """A worker process's encoder; what it has compiled and remembered serves all tasks that the process runs."""
+    return Encoder(model, kind)
+
+
+@lru_cache(maxsize=2)
+def counter(model: bytes) -> Counter:
+    """A worker process's counter, likewise."""
+    return Counter(model)

@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .pieces import Encoder
+from .pieces import encoder as shared_encoder
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -33,11 +34,11 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids", ki
 
     An existing column called ``out`` is replaced. Other columns pass through unchanged, nulls and repeated rows too.
     """
-    schema = df.drop(out).schema.add(out, "array<int>")
+    schema = df.drop(out).schema.add(out, T.ArrayType(T.IntegerType()))
     names = [f.name for f in schema][:-1]
 
     def run(batches):
-        encoder = Encoder(model, kind)
+        encoder = shared_encoder(model, kind)
         for b in batches:
             ids = _int_lists([encoder.encode(t) for t in b.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], [*names, out])
@@ -51,7 +52,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "text") ->
     names = [f.name for f in schema][:-1]
 
     def run(batches):
-        encoder = Encoder(model)
+        encoder = shared_encoder(model)
         for b in batches:
             texts = [None if i is None else encoder.decode(i) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, out])
@@ -68,7 +69,7 @@ def round_trip(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
     """
 
     def run(batches):
-        encoder = Encoder(model)
+        encoder = shared_encoder(model)
         is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
         for b in batches:
             n_bytes, n, n_byte, crc, same = [], [], [], [], []

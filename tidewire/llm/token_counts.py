@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import Counter
+from .pieces import counter as shared_counter
 
 
 def token_counts(
@@ -18,7 +18,7 @@ def token_counts(
     """
 
     def run(batches):
-        counter = Counter(model)
+        counter = shared_counter(model)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]
