@@ -130,7 +130,7 @@ def _block(candidates: DataFrame, queries: DataFrame, k: int, dims: int, limit:
             yield pa.RecordBatch.from_arrays([pa.array(vectors.value[0][f + q]), pa.array(c_ids[c]), pa.array(scores[q, c])], ["query_id", "id", "score"])
             q, c = np.nonzero(scores == low[f : f + len(scores), None])
             cuts = np.flatnonzero(np.diff(q, prepend=-1))
-            for a, e in zip(cuts, [*cuts[1:], len(q)], strict=True):
+            for a, e in zip(cuts, np.append(cuts[1:], len(q)), strict=False):
                 row = f + int(q[a])
                 ties[row] = np.sort(np.append(ties.get(row, np.zeros(0, np.int64)), c_ids[c[a:e]]))[:k]
         for row, c in ties.items():

@@ -23,11 +23,11 @@ from .pieces import Memo
 #: Words of insult and threat, by list.
 LEXICONS = {
     "insult_en": "idiot idiots moron morons stupid dumb fool loser losers clown clowns imbecile dimwit jerk",
-    "contempt_en": "pathetic worthless useless trash garbage scum filth disgusting vermin parasite pig rat",
-    "threat_en": "kill die hang shoot hurt destroy burn beat",
-    "profane_en": "damn hell crap bastard bitch ass shit fuck fucking",
+    "contempt_en": "pathetic worthless useless trash garbage scum filth disgusting vermin parasite",
+    "threat_en": "kill murder shoot hurt destroy",
+    "profane_en": "damn crap bastard bitch shit fuck fucking",
     "insult_de": "idiot trottel depp dumm dummkopf versager abschaum müll wertlos erbärmlich clown",
-    "insult_fr": "idiot idiote imbécile crétin débile minable ordure déchet pathétique nul clown",
+    "insult_fr": "idiot idiote imbécile crétin débile minable ordure déchet pathétique",
     "insult_es": "idiota imbécil estúpido tonto basura escoria inútil patético payaso perdedor",
 }
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -87,7 +87,7 @@ def fit_label_model(votes: np.ndarray, rounds: int = 30, linked: float = 0.25, s
     correlations: list[tuple[int, int, float]] = []
     prior, tables = 0.1, []
     for step in range(rounds):
-        if step == rounds // 2:  # accuracies have settled: what correlation does the label leave unexplained?
+        if step in (1, rounds // 2):  # before correlated voters outvote the rest, and once accuracies have settled
             groups, correlations = _linked(votes, p, linked)
         prior = float(np.clip(p.mean(), 1e-3, 0.5))
         tables = []
