@@ -29,6 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a key column that a broadcast may hold at most (about 50 MB in memory).
+FEW_KEYS = 2_000_000
+
+
+def few(df: DataFrame, most: int = FEW_KEYS) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows; a shuffled join takes it otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
@@ -64,14 +81,14 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 class Staged:
     """A table written as Parquet in the shared checkpoint folder, to be dropped once nothing reads it any more."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: str | None = None):
         import uuid
 
         spark = df.sparkSession
         ensure_checkpoint_dir(spark)
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
         self.path = f"{base}/staged-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
