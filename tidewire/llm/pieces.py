@@ -10,13 +10,14 @@ vocabulary of the unigram kind (``kind="unigram"``) the same lattice keeps the a
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from itertools import chain
 
 SPACE = "▁"
 #: Bounds on what a worker remembers; beyond them a memo takes no more or is rebuilt.
-MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 600_000, 1_000_000, 200_000
+MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 800_000, 1_000_000, 200_000
 #: Chunks longer than this are not remembered.
 LONG_CHUNK = 64
 
@@ -112,9 +113,10 @@ class Lattice:
     change of the token count, length of the arc into the new boundary, its piece or -1 for an unknown character).
     """
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    def __init__(self, v: Vocabulary, counted: bool = True):
+        self.v, self.counted = v, counted  # without counts, states that differ in them alone are one
         self.numbers: dict[tuple, State] = {}
+        self.shapes: dict[str, tuple] = {}
         self.start = self.state(("", (None,), (0,)))
 
     def state(self, key: tuple) -> "State":
@@ -129,28 +131,40 @@ class Lattice:
         if len(self.numbers) > MEMO_STATES:
             for state in self.numbers.values():  # states refer to each other
                 state.clear()
-            self.__init__(self.v)
+            self.__init__(self.v, self.counted)
         return self.start
 
+    def shape(self, text: str) -> tuple[list[tuple[int, int]], list[int]]:
+        """Of a window: its pieces that end it as (length, id), longest first, and the boundaries that later arcs can
+        start from, as far back as the longest suffix that begins a piece."""
+        out = self.shapes.get(text)
+        if out is None:
+            v, n = self.v, len(text)
+            ends = [(k, v.ids[text[n - k :]]) for k in range(min(n, v.longest), 0, -1) if text[n - k :] in v.ids]
+            starts = [k for k in range(n) if text[k:] in v.prefixes]
+            out = self.shapes[text] = ([(k, i) for k, i in ends if v.whole(i)], starts)
+        return out
+
     def compile(self, key: tuple, c: str) -> tuple["State", int, int, int]:
-        v = self.v
         suffix, lasts, counts = key
         text = suffix + c
         n = len(text)
-        length, piece, change = 1, -1, len(c.encode())
-        for k in range(min(n, v.longest), 0, -1):
-            i = v.ids.get(text[n - k :])
-            if i is not None and v.whole(i) and (lasts[n - k] is None or v.compatible(lasts[n - k], i)):
+        ends, starts = self.shape(text)
+        length, piece, change = 1, -1, len(c.encode()) if n == 1 or not self.counted else counts[n - 1] + len(c.encode())
+        for k, i in ends:
+            before = lasts[n - k]
+            if before is None or self.v.compatible(before, i):
                 length, piece, change = k, i, counts[n - k] + 1
                 break
-        drop = 0
-        while drop < n and text[drop:] not in v.prefixes:
-            drop += 1
-        new_lasts, new_counts = [*lasts, piece], [*(x - change for x in counts), 0]
-        for k in range(drop + 1, n):
-            if text[k:] not in v.prefixes:  # no piece goes on from this boundary
-                new_lasts[k], new_counts[k] = -1, 0
-        return self.state((text[drop:], tuple(new_lasts[drop:]), tuple(new_counts[drop:]))), change, length, piece
+        if not starts:
+            return self.state(("", (piece,), (0,))), change, length, piece
+        first = starts[0]
+        new_lasts, new_counts = [-1] * (n - first) + [piece], [0] * (n - first + 1)
+        for k in starts:
+            new_lasts[k - first] = lasts[k]
+            if self.counted:
+                new_counts[k - first] = counts[k] - change
+        return self.state((text[first:], tuple(new_lasts), tuple(new_counts))), change, length, piece
 
 
 class State(dict):
@@ -180,8 +194,28 @@ class Encoder:
 
     def __init__(self, model: bytes, kind: str = "bpe"):
         self.v = Vocabulary(model, kind)
-        self.lattice = Lattice(self.v)
-        self.memo = Memo(lambda chunk: tuple(self.stream(chunk)))
+        self.lattice = Lattice(self.v, counted=False)
+        self.memo = Memo(self.word if kind == "bpe" else lambda chunk: tuple(self.stream(chunk)))
+
+    def word(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk; a short one fits the window and is committed at its end, in one walk back."""
+        if len(chunk) > LONG_CHUNK:
+            return tuple(self.stream(chunk))
+        state, arcs = self.lattice.begin(), []
+        for c in chunk:
+            step = state[c]
+            state = step[0]
+            arcs.append(step)
+        out, end = [], len(arcs)
+        while end > 0:
+            _, _, n, i = arcs[end - 1]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += map(self.v.byte_ids.__getitem__, reversed(chunk[end - 1].encode()))
+            end -= n
+        out.reverse()
+        return tuple(out)
 
     def _arcs(self, chunk: str):
         """(length, piece) of the best arc into each boundary, in order."""
@@ -278,10 +312,12 @@ class Counter:
 @lru_cache(maxsize=2)
 def encoder(model: bytes, kind: str = "bpe") -> Encoder:
     """A worker process's encoder; what it has compiled and remembered serves all tasks that the process runs."""
+    gc.set_threshold(1_000_000, 50, 100)  # memos hold many objects and no garbage: walk them rarely
     return Encoder(model, kind)
 
 
 @lru_cache(maxsize=2)
 def counter(model: bytes) -> Counter:
     """A worker process's counter, likewise."""
+    gc.set_threshold(1_000_000, 50, 100)
     return Counter(model)
