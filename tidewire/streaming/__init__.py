@@ -1 +1,51 @@
-"""Part of the tidewire library."""
+"""Continuous ingestion: idempotent articles, daily volumes, feed backoff."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions import text
+
+
+def unique_articles(stream: DataFrame, late: str = "7 days") -> DataFrame:
+    """Each canonical address once; undated items count as arriving now; later repeats within the watermark go."""
+    rows = stream.withColumn("url", text.clean_url("url")).withColumn("at", F.coalesce("at", F.current_timestamp()))
+    return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["url"])
+
+
+def unique_titles(stream: DataFrame, late: str = "10 days") -> DataFrame:
+    return stream.withColumn("key", text.title_key("title")).withWatermark("at", late).dropDuplicatesWithinWatermark(["country", "key"])
+
+
+def volumes(stream: DataFrame, by: str, width: str = "1 day", slide: str | None = None, late: str = "7 days") -> DataFrame:
+    """Events and their value per window and ``by``."""
+    w = F.window("ts", width, slide) if slide else F.window("ts", width)
+    out = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, by).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return out.select(F.col("window.start").alias("start"), by, "n", "value")
+
+
+def backoff(errors: Column, now: Column) -> Column:
+    """When a feed may be polled again: null below three errors in a row, then 6, 12, 24 and at most 48 hours later."""
+    hours = F.least(F.lit(48), 6 * F.pow(F.lit(2), errors - 3)).cast("int")
+    return F.when(errors >= 3, now + F.make_dt_interval(F.lit(0), hours))
+
+
+def feed_states(polls: DataFrame) -> DataFrame:
+    """Running state per feed from polls (feed, at, ok): errors in a row and the time of the next poll."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        errors = state.get[0] if state.exists else 0
+        out = []
+        for p in sorted((r for b in batches for r in b.itertuples()), key=lambda r: r.at):
+            errors = 0 if p.ok else errors + 1
+            wait = min(48, 6 * 2 ** (errors - 3)) if errors >= 3 else 0
+            out.append((key[0], p.at, errors, p.at + pd.Timedelta(hours=wait) if wait else pd.NaT))
+        state.update((errors,))
+        yield pd.DataFrame(out, columns=["feed", "at", "errors", "retry_after"])
+
+    return polls.groupBy("feed").applyInPandasWithState(step, "feed string, at timestamp, errors int, retry_after timestamp", "errors int", "append", GroupStateTimeout.NoTimeout)
