@@ -14,8 +14,8 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts for which no learned language stands out, go."""
-    named = language_id.predict(docs, language_id.train(docs), passing=True)
-    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    named = language_id.predict(docs, language_id.train(docs), passing=True, out=("__lang", "__score"))
+    return named.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,15 +139,17 @@ class Scorer:
         return out
 
 
-def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", passing: bool = False) -> DataFrame:
-    """Per row ``key``, lang_pred and score (the winner's share, 0 to 1); with ``passing``, all of ``df``'s columns too.
+def predict(
+    df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", passing: bool = False, out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Per row ``key``, lang_pred and score (named by ``out``) (the winner's share, 0 to 1); with ``passing``, all of ``df``'s columns too.
 
     Null texts and texts without a letter get ``und`` and score 0, as all do without a model. Existing columns
-    lang_pred and score are replaced. Rows are scored one by one: repeated rows get equal results.
+    of these names are replaced. Rows are scored one by one: repeated rows get equal results.
     """
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")] if passing else list(dict.fromkeys([key, text]))
+    kept = [c for c in df.columns if c not in out] if passing else list(dict.fromkeys([key, text]))
     given = [c for c in kept if passing or c == key]
-    schema = df.select(*given).schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select(*given).schema.add(out[0], "string").add(out[1], "double")
 
     def run(batches):
         scorer = Scorer(model) if model else None
@@ -161,7 +163,7 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                     lang[k], score[k] = model.labels[best], float(s)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in given), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                [*given, "lang_pred", "score"],
+                [*given, *out],
             )
 
     return df.select(*kept).mapInArrow(run, schema)

@@ -127,14 +127,14 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """The mixed rows themselves, with ``df``'s columns: each document as often as its shards say, in shard order.
 
     A copy that the plan takes in part comes whole if at least half of it is taken, else not at all. Rows with equal
-    keys count as one document. Each shard is one partition, shuffled by hash within.
+    keys and texts count as one document. Each shard is one partition, shuffled by hash within.
     """
     names = df.columns
-    docs = df.dropDuplicates([key])
-    plan = plan_mix(docs, key, text, source, seed, shards)
+    docs = df.withColumn("__key", F.xxhash64(F.lit(seed), key, text)).dropDuplicates(["__key"])
+    plan = plan_mix(docs, "__key", text, source, seed, shards)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.size("shards")).cast("int")
     # A document without words takes no words: it comes as often as its block is drawn.
     plan = plan.select(F.col("id").alias("__id"), F.slice("shards", 1, F.least(copies, F.size("shards"))).alias("__shards")).where(F.size("__shards") > 0)
-    rows = docs.join(plan, F.col(key).eqNullSafe(F.col("__id"))).select(*names, F.posexplode("__shards").alias("__copy", "__shard"))
-    order = F.xxhash64(F.lit(seed + 3), F.col(key).cast("string"), "__copy")
+    rows = docs.join(plan, F.col("__key") == F.col("__id")).select(*names, "__key", F.posexplode("__shards").alias("__copy", "__shard"))
+    order = F.xxhash64(F.lit(seed + 3), "__key", "__copy")
     return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", order).select(*names)
