@@ -232,3 +232,42 @@ def spark_row(names, values):
     from pyspark.sql import Row
 
     return Row(**dict(zip(names, values, strict=True)))
+
+
+def test_links_across_components_of_a_bucket():
+    rng = random.Random(8)
+    base = text_of(rng, 150).split()
+    texts = [base] + [[("x" + str(k * 7 + e)) if j in (20 + 11 * k % 90, 130) else w for j, w in enumerate(base)] for k, e in ((a, 0) for a in range(9))]
+    texts += [text_of(rng, 150).split() for _ in range(4)]
+    coded = [[w.encode() for w in t] for t in texts]
+    labels = np.arange(len(coded))
+    links = minhash.exact_links(coded, labels, 0.8)
+    want = {(a, b) for a in range(len(coded)) for b in range(a + 1, len(coded)) if minhash.weighted_jaccard(coded[a], coded[b]) >= 0.8}
+    assert set(links) <= want
+    root = list(range(len(coded)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in want:
+        root[find(a)] = find(b)
+    joined = {frozenset(k for k in range(len(coded)) if find(k) == find(x)) for x in range(len(coded))}
+    root = list(range(len(coded)))
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert joined == {frozenset(k for k in range(len(coded)) if find(k) == find(x)) for x in range(len(coded))}
+    sigs = np.stack([np.frombuffer(minhash.band_keys(c)[1], np.uint8) for c in coded])
+    assert minhash.alike(sigs, labels, 0.68)[:10].all() and not minhash.alike(sigs, labels, 0.68)[10:].any()
+    assert not minhash.alike(sigs, labels * 0, 0.68).any()
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = [(None, "words without an id in here", None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "long " * 40000, "en", None, 200000), (3, "long " * 40000, "en", None, 200000)]
+    rows = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("score", F.lit("own")).withColumn("size", F.lit(7)).withColumn("id", F.lit("x")).withColumn("sig", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        for part in (rows, rows.limit(0)):
+            out = stage(spark, part, sf_dir)
+            assert out.count() >= 0
+            if stage is not corpus_pipeline.STAGES[-1][1]:
+                assert out.columns == rows.columns, name
+                assert {r.score for r in out.select("score").collect()} <= {"own"}
