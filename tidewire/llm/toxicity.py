@@ -40,10 +40,6 @@ def stems(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in range(4, min(len(word), 8)))]
 
 
-def features(words) -> frozenset[str]:
-    return frozenset(s for w in words for s in stems(w))
-
-
 @dataclass
 class Voters:
     lists: dict[str, frozenset[str]]
@@ -53,12 +49,6 @@ class Voters:
     def __post_init__(self):
         self.names = [*self.lists, *(f"word:{w}" for w in self.mined), "shout", "masked", "repeat", "no_list_word"]
 
-    def vote(self, text: str, words: frozenset[str]) -> list[int]:
-        """1 toxic, -1 clean, 0 abstain, one for each name."""
-        hits = [int(not words.isdisjoint(v)) for v in self.lists.values()]
-        mined = [int(w in words) for w in self.mined]
-        return [*hits, *mined, int(bool(_SHOUT(text))), int(bool(_MASKED(text))), int(sum(mined) >= 2), 0 if any(hits) or any(mined) else -1]
-
 
 @dataclass
 class LabelModel:
@@ -135,10 +125,10 @@ class Model:
     bias: float
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> list:
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> "Sample":
     """At most about ``most`` labelled training rows of each label and ``most`` unlabelled rows, by a hash of the key.
 
-    Rows come as (y, distinct words, voting patterns): whole texts are read on the executors, which send the words.
+    Whole texts are read on the executors, which send their distinct words.
     """
     order = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(key).cast("string")), F.lit(1 << 40))
     known = labels.select(F.col(key), F.col(label).cast("int").alias("__y")).where(F.col("__y").isNotNull() & F.col(key).isNotNull())
@@ -167,42 +157,64 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
             )
 
     got = labelled.unionByName(free).mapInArrow(run, "y int, order long, words array<string>, shout boolean, masked boolean")
-    rows = sorted(got.collect(), key=lambda r: (r["order"], r["y"] is None, r["words"]))
-    return [r.asDict() | {"features": features(r["words"])} for r in rows]
+    return Sample.of(got.toArrow())
 
 
-def _mine(rows: list, most: int, least: int = 4) -> list[str]:
+@dataclass
+class Sample:
+    """Rows as flat (row, feature) pairs with features numbered: a few bytes for each word of the sample."""
+
+    y: np.ndarray  # 1, -1, or 0 where unknown
+    shout: np.ndarray
+    masked: np.ndarray
+    names: list[str]
+    row: np.ndarray
+    feature: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> "Sample":
+        lists = [sorted(w) for w in table.column("words").to_pylist()]
+        y, order = (table.column(c).to_pylist() for c in ("y", "order"))
+        rank = sorted(range(len(lists)), key=lambda k: (order[k], y[k] is None, lists[k]))
+        ids: dict[str, int] = {}
+        row, feature = [], []
+        for at, k in enumerate(rank):
+            f = np.fromiter({ids.setdefault(s, len(ids)) for w in lists[k] for s in stems(w)}, np.int32)
+            row.append(np.full(len(f), at, np.int32))
+            feature.append(np.sort(f))
+            lists[k] = None
+        pick = lambda c: np.array(table.column(c).to_pylist(), bool)[rank] if rank else np.zeros(0, bool)
+        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        labels = np.array([0 if y[k] is None else 1 if y[k] > 0 else -1 for k in rank], np.int8)
+        return Sample(labels, pick("shout"), pick("masked"), list(ids), flat(row), flat(feature))
+
+    def odds(self, weight: np.ndarray, against: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per feature: its weight, log odds of ``weight`` rows over ``against`` rows, and that over its standard error."""
+        n = len(self.names)
+        one, zero = (np.bincount(self.feature, w[self.row], n) for w in (weight, against))
+        t1, t0 = weight.sum(), against.sum()
+        log = np.log((one + 0.5) / (t1 - one + 0.5)) - np.log((zero + 0.5) / (t0 - zero + 0.5))
+        return one, log, log / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
+
+
+def _mine(sample: Sample, most: int, least: int = 4) -> list[str]:
     """Words and stems that mark toxic rows, strongest first by log odds over standard error.
 
     Of marks that share most of their toxic rows and begin alike, only the strongest stays.
     """
-    toxic: dict[str, set[int]] = {}
-    clean: dict[str, int] = {}
-    n = [0, 0]
-    for k, r in enumerate(rows):
-        if r["y"] is not None:
-            n[r["y"] > 0] += 1
-            for w in r["features"]:
-                if r["y"] > 0:
-                    toxic.setdefault(w, set()).add(k)
-                else:
-                    clean[w] = clean.get(w, 0) + 1
-    found = []
-    for w, at in toxic.items():
-        a, b = len(at), clean.get(w, 0)
-        if a >= least:
-            odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-            z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if z > 6 and odds > 1:
-                found.append((-z, w))
-    out: list[str] = []
-    for _, w in sorted(found):
-        alike = (v for v in out if v.lstrip("^").startswith(w.lstrip("^")[:4]))
-        if not any(len(toxic[v] & toxic[w]) > 0.5 * len(toxic[w]) for v in alike):
-            out.append(w)
+    one, log, z = sample.odds((sample.y > 0).astype(float), (sample.y < 0).astype(float))
+    found = np.flatnonzero((one >= least) & (z > 6) & (log > 1))
+    toxic = sample.y[sample.row] > 0
+    rows = {f: set(sample.row[toxic & (sample.feature == f)].tolist()) for f in found.tolist()}
+    out: list[int] = []
+    for f in sorted(rows, key=lambda f: (-z[f], sample.names[f])):
+        stem = sample.names[f].lstrip("^")[:4]
+        alike = (v for v in out if sample.names[v].lstrip("^").startswith(stem))
+        if not any(len(rows[v] & rows[f]) > 0.5 * len(rows[f]) for v in alike):
+            out.append(f)
             if len(out) == most:
                 break
-    return out
+    return [sample.names[f] for f in out]
 
 
 def train(
@@ -213,49 +225,38 @@ def train(
 
     Rows whose crc32 remainder by 5 is 0 are never read. Without labelled rows the fixed lists alone vote.
     """
-    rows = _sample(docs, labels, key, text, label, most)
-    voters = Voters({k: frozenset(v.split()) for k, v in LEXICONS.items()}, _mine(rows, n_mined))
-    if not rows:
+    sample = _sample(docs, labels, key, text, label, most)
+    voters = Voters({k: frozenset(v.split()) for k, v in LEXICONS.items()}, _mine(sample, n_mined))
+    n = len(sample.y)
+    if not n:
         return Model(voters, None, {w: 2.0 for v in LEXICONS.values() for w in v.split()}, np.zeros(3), -3.0)
-    votes = np.zeros((len(rows), len(voters.names) + 1), np.int8)
-    for k, r in enumerate(rows):
-        v = voters.vote("", r["features"])
-        at = voters.names.index("shout")
-        v[at], v[at + 1] = int(r["shout"]), int(r["masked"])
-        votes[k] = [*v, 0 if r["y"] is None else 1 if r["y"] > 0 else -1]
+    number = {f: k for k, f in enumerate(sample.names)}
+    holds = lambda terms: np.isin(np.arange(n), sample.row[np.isin(sample.feature, [number[t] for t in terms if t in number])])
+    hits = [holds(v) for v in voters.lists.values()] + [holds([w]) for w in voters.mined]
+    any_hit = np.any(hits, 0)
+    mined = np.sum(hits[len(voters.lists) :], 0) if voters.mined else np.zeros(n)
+    votes = np.stack([*hits, sample.shout, sample.masked, mined >= 2, -(~any_hit).astype(np.int8), sample.y], 1).astype(np.int8)
     model = fit_label_model(votes)
     soft = model.posterior(votes)
-    # Words that the posterior tells apart best are the classifier's features.
-    one, zero = {}, {}
-    for r, p in zip(rows, soft.tolist(), strict=True):
-        for w in r["features"]:
-            one[w] = one.get(w, 0.0) + p
-            zero[w] = zero.get(w, 0.0) + 1 - p
-    t1, t0 = soft.sum(), len(soft) - soft.sum()
-    strength = {}
-    for w, a in one.items():
-        b = zero[w]
-        if a + b >= 5:
-            odds = np.log((a + 0.5) / (t1 - a + 0.5)) - np.log((b + 0.5) / (t0 - b + 0.5))
-            z = abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if z > 3:
-                strength[w] = z
-    vocabulary = sorted(strength, key=lambda w: (-strength[w], w))[:n_features]
-    columns = {w: k for k, w in enumerate(vocabulary)}
-    listed = frozenset().union(*voters.lists.values(), voters.mined)
-    n_words, extra = len(vocabulary), 3  # and three patterns
-    at, to = [], []
-    for k, r in enumerate(rows):
-        f = [columns[w] for w in r["features"] if w in columns]
-        f += [n_words] * r["shout"] + [n_words + 1] * r["masked"] + [n_words + 2] * (not listed.isdisjoint(r["features"]))
-        at += [k] * len(f)
-        to += f
-    at, to = np.array(at, np.int64), np.array(to, np.int64)
+    # Words and stems that the posterior tells apart best are the classifier's features.
+    one, _, z = sample.odds(soft, 1 - soft)
+    every = np.bincount(sample.feature, minlength=len(sample.names))
+    good = np.flatnonzero((every >= 5) & (np.abs(z) > 3))
+    good = good[np.lexsort((np.array([sample.names[f] for f in good.tolist()], object).astype(str), -np.abs(z[good])))][:n_features]
+    column = np.full(len(sample.names), -1)
+    column[good] = np.arange(len(good))
+    columns = {sample.names[f]: k for k, f in enumerate(good.tolist())}
+    n_words, extra = len(good), 3  # and three patterns
+    t1, t0 = soft.sum(), n - soft.sum()
+    kept = column[sample.feature] >= 0
+    patterns = [sample.shout, sample.masked, any_hit]
+    at = np.concatenate([sample.row[kept], *(np.flatnonzero(p) for p in patterns)])
+    to = np.concatenate([column[sample.feature[kept]], *(np.full(p.sum(), n_words + k) for k, p in enumerate(patterns))])
     w, bias = np.zeros(n_words + extra), float(np.log(t1 / max(t0, 1e-9)) if t1 > 0 else -3.0)
     rate, m1, m2 = 0.05, np.zeros(n_words + extra + 1), np.zeros(n_words + extra + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(at, w[to], len(rows)), -30, 30)))
-        g = (p - soft) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(at, w[to], n), -30, 30)))
+        g = (p - soft) / n
         grad = np.append(np.bincount(to, g[at], n_words + extra) + 2e-4 * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
