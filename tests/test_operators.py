@@ -286,3 +286,50 @@ def test_streams(spark, tmp_path):
 def test_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 6.0])], "g string, v array<double>")
     assert {r.g: r.centroid for r in vectors.mean_vectors(df, ["g"], "v").collect()} == {"a": [2.0, 3.0], "b": [5.0, 6.0]}
+
+
+def test_gates(spark):
+    from tidewire.operators import feeds
+
+    now = F.lit("2024-01-10").cast("timestamp")
+    df = spark.createDataFrame([("https://n.org/drone-attack/x", "Shelling kills five in the east"), ("https://n.org/a", "Film about soldiers killed"), ("https://n.org/a", "Army; navy; air force; killed")], "url string, title string")
+    assert [r[0] for r in df.select(feeds.conflict_gate(F.col("url"), F.col("title"))).collect()] == [True, False, False]
+    assert one(spark, feeds.summary(F.lit("USGS"), F.col("t")), t="Location 10.5°N 20.1°E Depth 12.0 km") == "Epicenter 10.5°N 20.1°E · Depth 12.0 km"
+    assert one(spark, feeds.summary(F.lit("US travel advisory"), F.col("t")), t="Level 3. Reconsider travel due to unrest. More.") == "Reconsider travel due to unrest."
+    assert one(spark, feeds.summary(F.lit("x"), F.col("t")), t="<p>First one</p> . Second") == "First one."
+    assert one(spark, feeds.clean_body(F.col("t")), t="<p>Body &amp; more</p> submitted by /u/x [link]") == "Body & more"
+    assert one(spark, feeds.glossary(F.col("t"), [("colour", "color")]), t="the colour red") == "the color red" and one(spark, feeds.glossary(F.col("t"), []), t="ab") is None
+    posts = spark.createDataFrame([("c", '<div data-post="c/1"><div class="tgme_widget_message_text x">A message long enough to be <b>kept</b></div><time datetime="2024-01-02T03:04:05+00:00"></div>')], "slug string, html string")
+    r = feeds.channel_posts(posts).first()
+    assert (r.post_id, r.text, r["at"]) == ("c/1", "A message long enough to be kept", dt.datetime(2024, 1, 2, 3, 4, 5))
+    when = spark.createDataFrame([(dt.datetime(2024, 1, 8),), (dt.datetime(2023, 1, 1),), (None,)], "at timestamp")
+    assert [r[0] for r in when.select(feeds.recent(F.col("at"), now)).collect()] == [True, False, False]
+
+
+def test_http_source(spark):
+    import http.server
+    import threading
+
+    from tidewire.sources.http import HttpSource
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            known = self.headers.get("If-None-Match") == "v1"
+            self.send_response(304 if known else 404 if self.path == "/gone" else 200)
+            self.send_header("ETag", "v1")
+            self.end_headers()
+            if not known:
+                self.wfile.write(b"hello")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(HttpSource)
+    urls = "\n".join([f"{root}/a", f"{root}/b\tv1\t", f"{root}/gone", "http://127.0.0.1:1/none"])
+    got = {r.url[len(root) :] if r.url.startswith(root) else r.url: r for r in spark.read.format("tidewire_http").option("urls", urls).option("timeout", "5").load().collect()}
+    server.shutdown()
+    assert (got["/a"].status, bytes(got["/a"].body), got["/a"].etag) == (200, b"hello", "v1")
+    assert got["/b"].status == 304 and got["/gone"].status == 404 and got["http://127.0.0.1:1/none"].status == 0

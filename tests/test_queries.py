@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tidewire.plans import queries
+from tidewire.plans import named as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
