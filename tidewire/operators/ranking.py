@@ -39,9 +39,17 @@ def global_and_regional(df: DataFrame, order: list[Column], g_limit: int, r_limi
 
 
 def round_robin(df: DataFrame, by: str, order: list[Column], out: str = "turn") -> DataFrame:
-    """Rows in turns: the best of each group, then the second best of each; ``turn`` numbers them."""
+    """Rows in turns: the best of each group, then the second best of each; ``turn`` numbers them.
+
+    A round has one row per group at most, so rows are numbered within their round, after the sizes of earlier rounds.
+    """
     rows = df.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return rows.withColumn(out, F.row_number().over(Window.orderBy("__rn", *order))).drop("__rn")
+    sizes = rows.groupBy("__rn").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(Window.orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1))  # a row a round
+    sizes = sizes.select(F.col("__rn").alias("__r"), F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    place = F.row_number().over(Window.partitionBy("__rn").orderBy(*order))
+    rows = rows.withColumn("__p", place).join(sizes, F.col("__rn") == F.col("__r"))
+    return rows.withColumn(out, F.col("__ahead") + F.col("__p")).drop("__rn", "__r", "__p", "__ahead")
 
 
 def insert_ignore(new: DataFrame, old: DataFrame, key: str, order: list[Column]) -> DataFrame:
