@@ -40,9 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to it again."""
     model = sentence_pieces.model_bytes()
-    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model, out="decoded")
-    same = F.col("decoded") == F.translate("text", "▁", " ")
-    return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    coded = sentence_pieces.encode(docs, model, check="round_trip")
+    return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

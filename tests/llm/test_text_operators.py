@@ -76,6 +76,8 @@ def test_encode_decode_frames(docs, model):
     assert coded.columns == ["doc_id", "text", "score", "lang", "n_tokens", "ids", "back"]
     for r in coded.collect():
         assert r.back == (r.text or "").replace("▁", " ")
+    checked = sentence_pieces.encode(docs, model, check="score")
+    assert checked.columns == ["doc_id", "text", "lang", "n_tokens", "ids", "score"] and all(r.score for r in checked.collect())
     got = sentence_pieces.round_trip(docs, model).collect()
     assert len(got) == docs.count() and all(r.round_trip for r in got)
     assert sentence_pieces.round_trip(docs.limit(0), model).count() == 0

@@ -38,6 +38,23 @@ def few(df: DataFrame, most: int = FEW_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in small pieces, so that what a worker makes of one never grows with the batch."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+def lean() -> None:
+    """In a worker process: let go of the vocabularies and memos that tasks of an encoding operator left there."""
+    import sys
+
+    pieces = sys.modules.get("tidewire.llm.pieces")
+    if pieces:
+        pieces.encoder.cache_clear()
+        pieces.counter.cache_clear()
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing refers to any more."""
     import gc

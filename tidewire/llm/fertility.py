@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64
+from .common import mix64, slices
 from .pieces import encoder as shared_encoder
 
 #: First and last code point of ranges, and the script they stand for.
@@ -116,13 +114,12 @@ def quality_rules(
     def run(batches):
         encoder = shared_encoder(model)
         is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column(1).to_pylist():
                 t = t or ""
                 *base, failed = base_rules(t)
-                v = encoder.v
-                ids = np.fromiter(chain.from_iterable(map(encoder.memo.__getitem__, v.chunks(v.normalise(t)))), np.int32)
+                ids = encoder.ids(t)
                 n = len(ids)
                 per, share, bits = (len(t) / n, float(is_byte[ids].sum()) / n, entropy(ids)) if n else (0.0, 0.0, 0.0)
                 script = script_of(t)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import lean, remainder, slices
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -91,7 +91,8 @@ def training_rows(df: DataFrame, key: str, text: str, label: str, keep, per_labe
     picked = rows.where(chosen).select(F.col(label).alias("label"), order.alias("order"), F.col(text).alias("text"))
 
     def run(batches):
-        for b in batches:
+        lean()
+        for b in slices(batches):
             codes = [distinct_grams(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), b.column("order"), pa.array([c.tolist() for c in codes], pa.list_(pa.int32()))],
@@ -152,8 +153,9 @@ def predict(
     schema = df.select(*given).schema.add(out[0], "string").add(out[1], "double")
 
     def run(batches):
+        lean()
         scorer = Scorer(model) if model else None
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(text).to_pylist()
             known = [k for k, t in enumerate(texts) if scorer and t and _LETTER(t)]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, cut, few, mix64, shingles, word_hashes
+from .common import Staged, cut, few, lean, mix64, shingles, slices, word_hashes
 from .components import components
 
 BANDS, ROWS, WIDTH = 32, 6, 5
@@ -120,7 +120,8 @@ def weighted_jaccard(a: list[bytes], b: list[bytes], width: int = WIDTH) -> floa
 
 def _features(df: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        lean()
+        for b in slices(batches):
             nodes, keys, sigs = [], [], []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode().split()
@@ -142,7 +143,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         last, words = None, []
-        for b in batches:
+        for b in slices(batches):
             good = []
             for n, x, y in zip(b.column("a").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 if n != last:
@@ -274,7 +275,7 @@ def near_duplicates(
     wanted = members.select("node").distinct().join(nodes, "node")
 
     def own(batches):
-        for b in batches:
+        for b in slices(batches):
             same = [node_of(t.encode().split()) == n for t, n in zip(b.column("text").to_pylist(), b.column("node").to_pylist(), strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 

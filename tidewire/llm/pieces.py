@@ -13,11 +13,12 @@ from __future__ import annotations
 import gc
 import re
 from functools import lru_cache
-from itertools import chain
+
+import numpy as np
 
 SPACE = "▁"
 #: Bounds on what a worker remembers; beyond them a memo takes no more or is rebuilt.
-MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 800_000, 1_000_000, 200_000
+MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 500_000, 300_000, 120_000
 #: Chunks longer than this are not remembered.
 LONG_CHUNK = 64
 
@@ -195,12 +196,13 @@ class Encoder:
     def __init__(self, model: bytes, kind: str = "bpe"):
         self.v = Vocabulary(model, kind)
         self.lattice = Lattice(self.v, counted=False)
-        self.memo = Memo(self.word if kind == "bpe" else lambda chunk: tuple(self.stream(chunk)))
+        # Ids as bytes: small, and nothing for the garbage collector to walk.
+        self.memo = Memo(lambda chunk: np.array(self.word(chunk), np.int32).tobytes())
 
-    def word(self, chunk: str) -> tuple[int, ...]:
+    def word(self, chunk: str) -> list[int]:
         """Ids of a chunk; a short one fits the window and is committed at its end, in one walk back."""
-        if len(chunk) > LONG_CHUNK:
-            return tuple(self.stream(chunk))
+        if len(chunk) > LONG_CHUNK or self.v.kind != "bpe":
+            return list(self.stream(chunk))
         state, arcs = self.lattice.begin(), []
         for c in chunk:
             step = state[c]
@@ -215,7 +217,7 @@ class Encoder:
                 out += map(self.v.byte_ids.__getitem__, reversed(chunk[end - 1].encode()))
             end -= n
         out.reverse()
-        return tuple(out)
+        return out
 
     def _arcs(self, chunk: str):
         """(length, piece) of the best arc into each boundary, in order."""
@@ -275,9 +277,12 @@ class Encoder:
             else:
                 yield from map(self.v.byte_ids.__getitem__, i.encode())
 
-    def encode(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
         v = self.v
-        return list(chain.from_iterable(map(self.memo.__getitem__, v.chunks(v.normalise(text or "")))))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, v.chunks(v.normalise(text or "")))), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.ids(text).tolist()
 
     def decode(self, ids) -> str:
         """Text of ids; the leading space that encoding adds goes, bytes that aren't UTF-8 become U+FFFD."""

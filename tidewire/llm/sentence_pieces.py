@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
 from .pieces import encoder as shared_encoder
 
 
@@ -22,26 +23,38 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def _int_lists(rows: list[list[int]]) -> pa.ListArray:
+def _int_lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    values = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids", kind: str = "bpe") -> DataFrame:
+def encode(
+    df: DataFrame, model: bytes, text: str = "text", out: str = "ids", kind: str = "bpe", check: str | None = None
+) -> DataFrame:
     """``df`` with ``out``: the ids of ``text`` as array<int>. Null and empty texts give an empty array.
 
-    An existing column called ``out`` is replaced. Other columns pass through unchanged, nulls and repeated rows too.
+    With ``check``, a boolean column of that name tells whether the ids decode to the text again; the same process
+    decodes, so that no second one has to hold the vocabulary. Existing columns of these names are replaced. Other
+    columns pass through unchanged, nulls and repeated rows too.
     """
-    schema = df.drop(out).schema.add(out, T.ArrayType(T.IntegerType()))
+    added = [out, *([check] if check else [])]
+    schema = df.drop(*added).schema.add(out, T.ArrayType(T.IntegerType()))
     names = [f.name for f in schema][:-1]
+    if check:
+        schema = schema.add(check, T.BooleanType())
 
     def run(batches):
         encoder = shared_encoder(model, kind)
-        for b in batches:
-            ids = _int_lists([encoder.encode(t) for t in b.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], [*names, out])
+        for b in slices(batches):
+            texts = b.column(text).to_pylist()
+            ids = [encoder.ids(t) for t in texts]
+            columns = [*(b.column(n) for n in names), _int_lists(ids)]
+            if check:
+                same = [encoder.decode(i.tolist()) == (t or "").replace("▁", " ") for i, t in zip(ids, texts, strict=True)]
+                columns.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return df.mapInArrow(run, schema)
 
@@ -53,7 +66,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "text") ->
 
     def run(batches):
         encoder = shared_encoder(model)
-        for b in batches:
+        for b in slices(batches):
             texts = [None if i is None else encoder.decode(i) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, out])
 
@@ -71,17 +84,16 @@ def round_trip(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
     def run(batches):
         encoder = shared_encoder(model)
         is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
-        for b in batches:
+        for b in slices(batches):
             n_bytes, n, n_byte, crc, same = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 t = t or ""
-                ids = encoder.encode(t)
-                a = np.array(ids, "<i4")
+                a = encoder.ids(t)
                 n_bytes.append(len(t.encode()))
                 n.append(len(a))
                 n_byte.append(int(is_byte[a].sum()) if len(a) else 0)
-                crc.append(zlib.crc32(a.tobytes()))
-                same.append(encoder.decode(ids) == t.replace("▁", " "))
+                crc.append(zlib.crc32(a.astype("<i4").tobytes()))
+                same.append(encoder.decode(a.tolist()) == t.replace("▁", " "))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n, n_byte, crc)), pa.array(same)],
                 [key, "n_bytes", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .pieces import counter as shared_counter
 
 
@@ -19,7 +20,7 @@ def token_counts(
 
     def run(batches):
         counter = shared_counter(model)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

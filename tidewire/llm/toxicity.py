@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, slices
 from .pieces import Memo
 
 #: Words of insult and threat, by list.
@@ -146,7 +146,7 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     free = free.select(F.lit(None).cast("int").alias("__y"), F.col(text).alias("text"), order.alias("order"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [(t, sorted(frozenset(_WORDS(t.lower())))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -272,7 +272,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         weights = model.weights
         known = weights.keys() | listed
         memo = Memo(lambda w: tuple(s for s in stems(w) if s in known))
-        for b in batches:
+        for b in slices(batches):
             z = []
             for t in b.column(1).to_pylist():
                 t = t or ""
