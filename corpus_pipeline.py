@@ -10,6 +10,8 @@ from tidewire.llm.common import WORD, Staged, table
 
 #: Least share of the winning language; the fixed value rejects texts for which no language stands out.
 LEAST_SCORE = 0.3
+#: Words that an encoding worker remembers: it shares its executor with what earlier stages left there.
+MEMO = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to it again."""
     model = sentence_pieces.model_bytes()
-    coded = sentence_pieces.encode(docs, model, check="round_trip")
+    coded = sentence_pieces.encode(docs, model, check="round_trip", words=MEMO)
     return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 

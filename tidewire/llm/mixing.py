@@ -21,6 +21,8 @@ from .common import WORD, cut
 WEIGHTS = (3, 1, 2)
 #: Documents in a block, about, and blocks of a source at most (blocks of larger sources hold more documents).
 BLOCK_DOCS, MOST_BLOCKS = 128, 1 << 16
+#: Words of an output shard, about: what one task writes.
+SHARD_WORDS = 3_000_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -65,14 +67,20 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, shards: int = 64) -> DataFrame:
+def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, shards: int | None = None) -> DataFrame:
     """Per row of ``df``: id, source, size, source_size, target, taken and shards.
 
     size is the text's number of words (null: 0), taken the words that the mix takes of the row, repeats counted:
     whole copies, and of one document per source a part, so that a source's taken words are its target rounded to a
     whole number. ``shards`` has the output shard of each copy. Everything follows from keys, sources, sizes and the
-    seed, so reruns agree; null keys and sources are values like others, repeated rows are rows like others.
+    seed, so reruns agree; null keys and sources are values like others, repeated rows are rows like others. Without
+    ``shards`` there are as many as hold about ``SHARD_WORDS`` words each.
     """
+    return _plan(df, key, text, source, seed, shards)[0]
+
+
+def _plan(df: DataFrame, key: str, text: str, source: str, seed: int, shards: int | None) -> tuple[DataFrame, int]:
+    """``plan_mix`` and its number of shards."""
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"))
     rows = cut(rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col("id").cast("string"))))
@@ -81,7 +89,9 @@ def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     words = F.round("target").cast("long")
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long"))
     sources = cut(sources.withColumn("rest", words - F.col("passes") * F.col("source_size")))
-    small = sources.count() <= 10_000  # a row a source: broadcast only when few
+    n_sources, n_words = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    small = n_sources <= 10_000  # a row a source: broadcast only when few
+    shards = shards or max(16, -(-int(n_words) // SHARD_WORDS))
     dim = sources.drop("n").withColumnRenamed("source", "src")
     dim = F.broadcast(dim) if small else dim
     on = F.col("source").eqNullSafe(F.col("src"))
@@ -120,10 +130,10 @@ def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     edge = edge.withColumn("taken", F.col("passes") * F.col("size") + F.col("more"))
     edge = edge.withColumn("shards", F.when(F.col("more") > 0, F.col("shards")).otherwise(F.slice("shards", 1, F.col("passes").cast("int"))))
     names = ["id", "source", "size", "source_size", "target", "taken", "shards"]
-    return whole.select(*names).unionByName(edge.select(*names))
+    return whole.select(*names).unionByName(edge.select(*names)), shards
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, shards: int = 64) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, shards: int | None = None) -> DataFrame:
     """The mixed rows themselves, with ``df``'s columns: each document as often as its shards say, in shard order.
 
     A copy that the plan takes in part comes whole if at least half of it is taken, else not at all. Rows with equal
@@ -131,7 +141,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     names = df.columns
     docs = df.withColumn("__key", F.xxhash64(F.lit(seed), key, text)).dropDuplicates(["__key"])
-    plan = plan_mix(docs, "__key", text, source, seed, shards)
+    plan, shards = _plan(docs, "__key", text, source, seed, shards)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.size("shards")).cast("int")
     # A document without words takes no words: it comes as often as its block is drawn.
     plan = plan.select(F.col("id").alias("__id"), F.slice("shards", 1, F.least(copies, F.size("shards"))).alias("__shards")).where(F.size("__shards") > 0)

@@ -114,7 +114,8 @@ class Lattice:
     change of the token count, length of the arc into the new boundary, its piece or -1 for an unknown character).
     """
 
-    def __init__(self, v: Vocabulary, counted: bool = True):
+    def __init__(self, v: Vocabulary, counted: bool = True, most: int | None = None):
+        self.most = most
         self.v, self.counted = v, counted  # without counts, states that differ in them alone are one
         self.numbers: dict[tuple, State] = {}
         self.shapes: dict[str, tuple] = {}
@@ -129,10 +130,10 @@ class Lattice:
 
     def begin(self) -> "State":
         """The start state; beyond the bound on compiled states, of a fresh transducer."""
-        if len(self.numbers) > MEMO_STATES:
+        if len(self.numbers) > (self.most or MEMO_STATES):
             for state in self.numbers.values():  # states refer to each other
                 state.clear()
-            self.__init__(self.v, self.counted)
+            self.__init__(self.v, self.counted, self.most)
         return self.start
 
     def shape(self, text: str) -> tuple[list[tuple[int, int]], list[int]]:
@@ -179,25 +180,25 @@ class State(dict):
 class Memo(dict):
     """Results of ``f`` for chunks met before; takes no more once it is full, and none for long chunks."""
 
-    def __init__(self, f):
+    def __init__(self, f, most: int | None = None):
         super().__init__()
-        self.f = f
+        self.f, self.most = f, most
 
     def __missing__(self, chunk: str):
         out = self.f(chunk)
-        if len(self) < MEMO_WORDS and len(chunk) <= LONG_CHUNK:
+        if len(self) < (self.most or MEMO_WORDS) and len(chunk) <= LONG_CHUNK:
             self[chunk] = out
         return out
 
 
 class Encoder:
-    """Streaming Viterbi encoder and decoder; remembers the ids of words."""
+    """Streaming Viterbi encoder and decoder; remembers the ids of ``words`` words at most."""
 
-    def __init__(self, model: bytes, kind: str = "bpe"):
+    def __init__(self, model: bytes, kind: str = "bpe", words: int | None = None):
         self.v = Vocabulary(model, kind)
-        self.lattice = Lattice(self.v, counted=False)
+        self.lattice = Lattice(self.v, counted=False, most=words and words // 4)
         # Ids as bytes: small, and nothing for the garbage collector to walk.
-        self.memo = Memo(lambda chunk: np.array(self.word(chunk), np.int32).tobytes())
+        self.memo = Memo(lambda chunk: np.array(self.word(chunk), np.int32).tobytes(), words)
 
     def word(self, chunk: str) -> list[int]:
         """Ids of a chunk; a short one fits the window and is committed at its end, in one walk back."""
@@ -315,10 +316,10 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def encoder(model: bytes, kind: str = "bpe") -> Encoder:
+def encoder(model: bytes, kind: str = "bpe", words: int | None = None) -> Encoder:
     """A worker process's encoder; what it has compiled and remembered serves all tasks that the process runs."""
     gc.set_threshold(1_000_000, 50, 100)  # memos hold many objects and no garbage: walk them rarely
-    return Encoder(model, kind)
+    return Encoder(model, kind, words)
 
 
 @lru_cache(maxsize=2)

@@ -31,12 +31,14 @@ def _int_lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(
-    df: DataFrame, model: bytes, text: str = "text", out: str = "ids", kind: str = "bpe", check: str | None = None
-) -> DataFrame:
+    df: DataFrame, model: bytes, text: str = "text", out: str = "ids", kind: str = "bpe", check: str | None = None,
+    words: int | None = None,
+) -> DataFrame:
     """``df`` with ``out``: the ids of ``text`` as array<int>. Null and empty texts give an empty array.
 
     With ``check``, a boolean column of that name tells whether the ids decode to the text again; the same process
-    decodes, so that no second one has to hold the vocabulary. Existing columns of these names are replaced. Other
+    decodes, so that no second one has to hold the vocabulary. ``words`` bounds the words that a worker remembers (memory
+    against time; the ids are the same). Existing columns of these names are replaced. Other
     columns pass through unchanged, nulls and repeated rows too.
     """
     added = [out, *([check] if check else [])]
@@ -46,7 +48,7 @@ def encode(
         schema = schema.add(check, T.BooleanType())
 
     def run(batches):
-        encoder = shared_encoder(model, kind)
+        encoder = shared_encoder(model, kind, words)
         for b in slices(batches):
             texts = b.column(text).to_pylist()
             ids = [encoder.ids(t) for t in texts]
