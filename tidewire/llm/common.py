@@ -38,6 +38,16 @@ def few(df: DataFrame, most: int = FEW_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def small_batches(df: DataFrame, most: str = "8m") -> None:
+    """Have the session send workers Arrow batches of at most ``most``, unless it was told otherwise than the default.
+
+    A batch is held in the JVM and in the worker at once, whatever the worker makes of it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "64m") in ("67108864b", "64m", "64MB"):
+        conf.set(name, most)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in small pieces, so that what a worker makes of one never grows with the batch."""
     for b in batches:

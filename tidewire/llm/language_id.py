@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, remainder, slices
+from .common import lean, remainder, slices, small_batches
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -152,6 +152,8 @@ def predict(
     given = [c for c in kept if passing or c == key]
     schema = df.select(*given).schema.add(out[0], "string").add(out[1], "double")
 
+    small_batches(df)
+
     def run(batches):
         lean()
         scorer = Scorer(model) if model else None

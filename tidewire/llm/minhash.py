@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, cut, few, lean, mix64, shingles, slices, word_hashes
+from .common import Staged, cut, few, lean, mix64, shingles, slices, small_batches, word_hashes
 from .components import components
 
 BANDS, ROWS, WIDTH = 32, 6, 5
@@ -119,6 +119,8 @@ def weighted_jaccard(a: list[bytes], b: list[bytes], width: int = WIDTH) -> floa
 
 
 def _features(df: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
+    small_batches(df)
+
     def run(batches):
         lean()
         for b in slices(batches):

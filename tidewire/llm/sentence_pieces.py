@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 from .pieces import encoder as shared_encoder
 
 
@@ -47,6 +47,8 @@ def encode(
     if check:
         schema = schema.add(check, T.BooleanType())
 
+    small_batches(df)
+
     def run(batches):
         encoder = shared_encoder(model, kind, words)
         for b in slices(batches):
@@ -83,6 +85,8 @@ def round_trip(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
     as empty: no ids, round trip true.
     """
 
+    small_batches(df)
+
     def run(batches):
         encoder = shared_encoder(model)
         is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
