@@ -103,6 +103,38 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(df.limit(0)).count() == 0
 
 
+def held(spans, start, end):
+    """One span; a word beside the passage may be equal by chance."""
+    return len(spans) == 1 and start - 2 <= spans[0][0] <= start and end <= spans[0][1] <= end + 2
+
+
+def test_passages_that_the_first_holder_of_their_shingles_lacks(spark):
+    rng = random.Random(8)
+    rows, n = [], 60
+    for k in range(n):
+        passage = text_of(rng, 60)
+        part = " ".join(passage.split()[10:50])  # 40 words: too few to repeat, enough to hold the smallest shingles
+        near = " ".join("edited" if i == 30 else w for i, w in enumerate(passage.split()))
+        for i, p in enumerate((part, passage, passage, near)):
+            rows.append((i * n + k, text_of(rng, 40) + " " + p + " " + text_of(rng, 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [(s.start, s.end) for s in r.spans] for r in substrings.repeated_passages(df).collect()}
+    assert all(got[k] == [] for k in range(2 * n))
+    assert all(held(got[k], 40, 100) for k in range(2 * n, 4 * n))
+
+
+def test_longer_passage_than_the_first_holder_has(spark):
+    rng = random.Random(9)
+    rows, n = [], 60
+    for k in range(n):
+        passage = text_of(rng, 70)
+        for i, p in enumerate((" ".join(passage.split()[:60]), passage, passage)):
+            rows.append((i * n + k, text_of(rng, 40) + " " + p + " " + text_of(rng, 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [(s.start, s.end) for s in r.spans] for r in substrings.repeated_passages(df).collect()}
+    assert all(held(got[n + k], 40, 100) and held(got[2 * n + k], 40, 110) for k in range(n))
+
+
 def brute_top_k(rows, k, query):
     rows = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v in rows}
     out = set()
