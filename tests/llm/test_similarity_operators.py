@@ -226,6 +226,17 @@ def test_quotations(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_quotations_that_are_wrapped_anew_or_of_an_unknown_level(spark):
+    first = "The harbour opens at nine\nand closes late.\n\nTickets are sold\nat the gate."
+    rows = [
+        (1, 1, "user", first), (1, 2, "user", "> The harbour opens\n> at nine and closes\n> late.\nSure?"),
+        (1, 3, "user", "> The harbour opens at\n> nine and closes late.\n>\n> Tickets are\n> sold at the gate.\nAll of it."),
+        (1, 4, "user", "> nobody wrote this\n>> Tickets are sold at\n>> the gate.\nWell."),
+    ]
+    got = {r.turn: r.reply_to for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: None, 2: 1, 3: 1, 4: 1}
+
+
 def test_long_conversation_has_gapless_positions(spark):
     df = spark.range(1000).selectExpr("5L as conv_id", "id as turn", "'user' as role", "concat('m ', id) as text")
     assert [r.position for r in quotes.conversations(df).orderBy("turn").collect()] == list(range(1, 1001))

@@ -1,8 +1,8 @@
 """Chat formatting with quotation linking, in DataFrame functions only.
 
-Messages quote earlier ones in lines that begin with ">", nested by repetition. Quoted lines are normalised and hashed,
-and joined to the lines and whole bodies of earlier messages of the conversation; what a message quotes at its lowest
-level is what it replies to. Conversations come out without quotes, replies after the thread that they reply to.
+Messages quote earlier ones in lines that begin with ">", nested by repetition. Quoted passages are normalised, hashed,
+and joined to the bodies, paragraphs and lines of earlier messages of the conversation; what a message quotes at its
+lowest level of known source is what it replies to. Conversations come out without quotes, replies after the thread that they reply to.
 """
 
 from __future__ import annotations
@@ -36,25 +36,41 @@ def body(text: Column) -> Column:
 def links(df: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to): for each turn with quotations, the earlier turn that holds most of what it quotes.
 
-    Quotations of the lowest level count, in characters that match whole lines or a whole body of an earlier turn; for
-    each line the latest earlier turn that holds it counts, among turns of equal count the latest.
+    Consecutive lines of one level are joined, whatever their line breaks, and matched by hash with the bodies and
+    paragraphs of earlier turns, else by paragraph, else by line. Quotations of the lowest level that an earlier turn
+    holds count, in characters; for each unit the latest holder counts, among turns of equal count the latest.
     """
     known = df.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("text").isNotNull())
-    lines = known.where(F.col("text").rlike("(?m)" + QUOTE)).select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.withColumn("level", level(F.col("line"))).where("level > 0")
-    lines = lines.withColumn("key", normalised(F.regexp_replace("line", QUOTE, ""))).where("key <> ''")
-    lowest = lines.groupBy("conv_id", "turn").agg(F.min("level").alias("level"))
-    asked = lines.join(lowest, ["conv_id", "turn", "level"]).groupBy("conv_id", "turn", "key").agg(F.lit(False).alias("held"))
+    quoting = known.where(F.col("text").rlike("(?m)" + QUOTE)).select("conv_id", "turn", "text").distinct()
+    lines = quoting.select("conv_id", "turn", F.xxhash64("text").alias("part"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.withColumn("level", level(F.col("line"))).where("level > 0").withColumn("key", normalised(F.regexp_replace("line", QUOTE, "")))
+    # Consecutive lines of one level are a block; its blank lines part it into paragraphs.
+    same = ["conv_id", "turn", "part", "level"]
+    lines = lines.withColumn("block", F.col("pos") - F.row_number().over(Window.partitionBy(*same).orderBy("pos")))
+    lines = lines.withColumn("para", F.count_if(F.col("key") == "").over(Window.partitionBy(*same, "block").orderBy("pos"))).where("key <> ''")
+
+    def joined(*by):
+        w = Window.partitionBy(*same, *by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return F.xxhash64(F.array_join(F.collect_list("key").over(w), " "))
+
+    lines = lines.select("conv_id", "turn", "level", "key", F.array(joined("block"), joined("block", "para"), F.xxhash64("key")).alias("hashes"))
+    asked = lines.select("conv_id", "turn", F.explode("hashes").alias("hash")).distinct().withColumn("held", F.lit(False))
     talks = asked.select("conv_id").distinct()
     own = known.join(talks, "conv_id", "left_semi").withColumn("own", body(F.col("text")))
-    held = own.select("conv_id", "turn", F.explode(F.array_union(F.split("own", "\n", -1), F.array("own"))).alias("line"))
-    held = held.select("conv_id", "turn", normalised(F.col("line")).alias("key")).where("key <> ''").distinct()
-    held = held.join(asked.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").withColumn("held", F.lit(True))
-    # As of its turn, the latest holder of each quoted line: one ordered pass over a line's turns, no pairs.
-    before = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    both = asked.unionByName(held.select("conv_id", "turn", "key", "held"))
+    units = F.array_union(F.array_union(F.split("own", "\n", -1), F.split("own", r"\n[ \t\r]*\n", -1)), F.array("own"))
+    held = own.select("conv_id", "turn", F.explode(units).alias("unit")).withColumn("unit", normalised(F.col("unit"))).where("unit <> ''")
+    held = held.select("conv_id", "turn", F.xxhash64("unit").alias("hash")).distinct()
+    held = held.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").withColumn("held", F.lit(True))
+    # As of its turn, the latest holder of each quoted unit: one ordered pass over a unit's turns, no pairs.
+    before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    both = asked.unionByName(held.select("conv_id", "turn", "hash", "held"))
     met = both.withColumn("holder", F.max(F.when(F.col("held"), F.col("turn"))).over(before)).where("not held and holder is not null")
-    votes = met.groupBy("conv_id", "turn", "holder").agg(F.sum(F.length("key")).alias("chars"))
+    each = lines.select("conv_id", "turn", "level", "key", "hashes", F.posexplode("hashes").alias("unit", "hash"))
+    each = each.join(met.select("conv_id", "turn", "hash", "holder"), ["conv_id", "turn", "hash"])
+    found = each.groupBy("conv_id", "turn", "level", "key", "hashes").agg(F.min_by("holder", "unit").alias("holder"))
+    lowest = found.groupBy("conv_id", "turn").agg(F.min("level").alias("level"))
+    found = found.join(lowest, ["conv_id", "turn", "level"]).select("conv_id", "turn", "key", "holder").distinct()
+    votes = found.groupBy("conv_id", "turn", "holder").agg(F.sum(F.length("key")).alias("chars"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "holder")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.holder").alias("reply_to"))
 
