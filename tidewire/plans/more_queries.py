@@ -74,6 +74,15 @@ def relations_panel(spark, sf_dir):
     return views.relations_panel(s).withColumn("top_pct", F.round("top_pct", 6))
 
 
+@query()
+def relations_panel_whole(spark, sf_dir):
+    i = F.col("event_id")
+    names = F.array(*map(F.lit, ("new", "surging", "cooling", "steady", "trace")))
+    e = read(spark, sf_dir, "events")
+    s = e.select(F.col("event_type").alias("category"), (i % 7).alias("curr"), (i % 5).alias("prev"), F.element_at(names, (i % 5 + 1).cast("int")).alias("state"))
+    return views.relations_panel(s).withColumn("top_pct", F.round("top_pct", 6))
+
+
 @query(f"""WITH t AS (SELECT count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY) AS n FROM events)
 SELECT event_id FROM events, t WHERE ts >= CASE WHEN n > 0 THEN TIMESTAMP '{NOW}' - INTERVAL 1 DAY ELSE TIMESTAMP '{NOW}' - INTERVAL 7 DAY END ORDER BY ts DESC, event_id LIMIT 15""")
 def newest_alerts(spark, sf_dir):
@@ -91,6 +100,15 @@ def related_stories(spark, sf_dir):
     return views.related(e, s).withColumn("rn", F.col("rn").cast("long"))
 
 
+@query()
+def related_stories_whole(spark, sf_dir):
+    i = F.col("vec_id")
+    e = read(spark, sf_dir, "embeddings").select((i % 37).alias("x"), ((i * 3 + 1) % 37).alias("y"), (i % 97 / 100.0).alias("sim")).where("x <> y")
+    e = e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("sim").alias("sim"))
+    s = spark.range(37).select(F.col("id").alias("story_id"), (F.col("id") * 2).alias("articles"))
+    return views.related(e, s).withColumn("rn", F.col("rn").cast("long"))
+
+
 @query()
 def story_documents(spark, sf_dir):
     a = articles(spark, sf_dir)
