@@ -196,6 +196,14 @@ def test_average_linkage_by_components_is_whole():
     assert all(any(near[i, j] for j in range(40) if j != i and label[j] == label[i]) for i in range(40) if (label == label[i]).sum() > 1)
 
 
+def test_bands_take_the_closer_of_centre_and_representative(spark):
+    day = dt.datetime(2024, 1, 1)
+    centres = spark.createDataFrame([(1, "x", day, day, [1.0, 0.0], [0.0, 1.0])], "story_id long, country string, first_at timestamp, last_at timestamp, centre array<double>, representative array<double>")
+    loose = spark.createDataFrame([(7, "x", day, [0.2, 0.9]), (8, "x", day, [0.87, 0.1]), (9, "x", day, [0.5, 0.5])], "id long, country string, at timestamp, vector array<double>")
+    got = clustering.attach_bands(centres, loose, 3.0, 0.86, 0.895, 0.925).collect()
+    assert {(r.story_id, r.id, r.band, round(r.sim, 6)) for r in got} == {(1, 7, "close", 0.9), (1, 8, "broad", 0.87)}
+
+
 def test_absorb_small_cluster():
     x = np.array([[1, 0.0], [1, 0.01], [1, 0.02], [0.96, 0.28]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -126,11 +126,15 @@ def cluster(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, borr
 
 
 def attach_bands(centres: DataFrame, loose: DataFrame, days: float, low: float, mid: float, high: float, most: int = 6) -> DataFrame:
-    """(story_id, id, band, sim): single articles borrowed by their one closest story, ``most`` per story and band."""
+    """(story_id, id, band, sim): single articles borrowed by their one closest story, ``most`` per story and band.
+
+    ``centres``: story_id, country, first_at, last_at, centre, representative; an article is as close as the closer of
+    the centre and the representative's vector.
+    """
     gap = int(days * 86400)
-    c = centres.select("story_id", "country", F.unix_timestamp("first_at").alias("f"), F.unix_timestamp("last_at").alias("l"), "centre")
+    c = centres.select("story_id", "country", F.unix_timestamp("first_at").alias("f"), F.unix_timestamp("last_at").alias("l"), "centre", "representative")
     a = loose.select("id", "country", F.unix_timestamp("at").alias("t"), "vector")
-    met = a.join(c, "country").where(F.greatest("l", "t") - F.least("f", "t") <= gap).withColumn("sim", vectors.dot("vector", "centre"))
+    met = a.join(c, "country").where(F.greatest("l", "t") - F.least("f", "t") <= gap).withColumn("sim", F.greatest(vectors.dot("vector", "centre"), vectors.dot("vector", "representative")))
     met = met.where((F.col("sim") >= low) & (F.col("sim") < high))
     best = met.groupBy("id").agg(F.max_by(F.struct("story_id", "sim"), F.struct(F.round("sim", 9), -F.col("story_id"))).alias("b"))
     rows = best.select("b.story_id", "id", "b.sim", F.when(F.col("b.sim") >= mid, "close").otherwise("broad").alias("band"))
