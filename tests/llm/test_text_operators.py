@@ -1,6 +1,8 @@
 """Encoding, token counts, fertility rules, language and toxicity on edge cases and against brute force."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,35 +33,51 @@ def docs(spark):
 def test_ids_and_counts_equal_the_library(model, spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(80).collect()] + ODD
     library = sp.SentencePieceProcessor(model_proto=model)
-    encoder, counter = pieces.Encoder(model), pieces.Counter(model)
+    encoder, counter = pieces.Encoder(model), pieces.Encoder(model, counted=True)
+    wanted = [library.encode(t) for t in texts]
+    ids, bounds = encoder.batch(texts)
+    assert [ids[a:e].tolist() for a, e in zip(bounds, bounds[1:])] == wanted
+    assert counter.counts(texts).tolist() == [len(w) for w in wanted]
+    assert encoder.decoded(ids, bounds) == [t.replace("▁", " ").encode() for t in texts]
+    assert encoder.machine.chunks > 200 and counter.machine.chunks > 200  # texts pass through chunk maps
+    assert encoder.batch([]) [0].size == 0 and counter.counts([]).size == 0 and counter.counts([None, ""]).tolist() == [0, 0]
+
+
+def test_chunks_that_guess_wrongly(model, monkeypatch):
+    """Texts without a space: a chunk's first state can't be told from the bytes before it."""
+    monkeypatch.setattr(pieces, "CHUNK", 40)
+    monkeypatch.setattr(pieces, "BLOCK", 400)
+    monkeypatch.setattr(pieces, "AHEAD", 3)
+    library, rng = sp.SentencePieceProcessor(model_proto=model), np.random.default_rng(7)
+    texts = ["a" * 3001, "日本" * 900, "the" * 700 + "a" * 90, "".join(rng.choice(list("aetßé 日x☃"), 4000)), "", " " * 333, "".join(rng.choice(list("ab"), 3000))]
+    encoder, counter = pieces.Encoder(model), pieces.Encoder(model, counted=True)
     for t in texts:
-        ids = library.encode(t)
-        assert encoder.encode(t) == ids
-        assert counter.count(t) == len(ids)
-        assert encoder.decode(ids) == t.replace("▁", " ")
+        assert encoder.encode(t) == library.encode(t) and counter.counts([t]).tolist() == [len(library.encode(t))]
+    assert counter.counts(texts).tolist() == [len(library.encode(t)) for t in texts]
 
 
-def test_bounded_memos_change_nothing(model, monkeypatch):
-    monkeypatch.setattr(pieces, "MEMO_WORDS", 3)
-    monkeypatch.setattr(pieces, "MEMO_STATES", 40)
+def test_bounded_memory_changes_nothing(model, monkeypatch):
     monkeypatch.setattr(pieces, "MEMO_PAIRS", 10)
-    encoder, counter, library = pieces.Encoder(model), pieces.Counter(model), sp.SentencePieceProcessor(model_proto=model)
+    encoder, counter, library = pieces.Encoder(model, most=40), pieces.Encoder(model, counted=True, most=40), sp.SentencePieceProcessor(model_proto=model)
     for t in ODD[:12]:
-        assert encoder.encode(t) == library.encode(t) and counter.count(t) == len(library.encode(t))
+        assert encoder.encode(t) == library.encode(t) and counter.counts([t])[0] == len(library.encode(t))
+    assert len(encoder.machine.keys) < 2000
 
 
 def test_unigram_lattice_is_the_best_sum(model):
     encoder = pieces.Encoder(model, "unigram")
     v = encoder.v
     worst = min(v.scores) - 10.0
-    for text in ["thing", "ΩAblethings", "internationalisation" * 8]:
+    for plain in ["thing", "ΩAblethings", "internationalisation" * 8]:
+        text = "▁" + plain
         best = [0.0] + [-1e18] * len(text)
         for e in range(1, len(text) + 1):
             for s in range(max(0, e - v.longest), e):
                 i = v.ids.get(text[s:e])
                 if i is not None or e - s == 1:
                     best[e] = max(best[e], best[s] + (worst if i is None else v.scores[i]))
-        total, seen = 0.0, list(encoder.stream(text))
+        total, seen = 0.0, encoder.encode(plain)
+        assert encoder.decode(seen) == plain
         k = 0
         while k < len(seen):
             if v.is_byte[seen[k]]:
@@ -108,20 +126,47 @@ def test_repeated_words_by_brute_force():
             assert fertility.repeated_words(w) == len(hit)
 
 
-def test_base_rules_and_verdict(spark, docs, model):
-    text = "A line\nA line\n \n\nB #tag $5 x\nA line"
-    n, chars, symbols, dup, repeat, failed = fertility.base_rules(text)
-    assert (n, symbols, dup, repeat, failed) == (9, 2, 2, 0, True)
-    assert chars == sum(len(w) for w in text.replace(" ", "~").split())
-    rows = {r.doc_id: r for r in fertility.quality_rules(docs, model).collect()}
-    assert rows[99].n_words == 0 and rows[99].base_failed and not rows[99].kept
-    assert fertility.quality_rules(docs.limit(0), model).count() == 0
-    prose = "The committee met on Tuesday to discuss new rules for the harbour, and several members asked for more time before they would vote on the plan. " * 1
-    junk = " ".join(["zzzz qqqq"] * 3 + [f"{k}" * 3 for k in range(30)])
-    noise = " ".join("☃✈⚙" for _ in range(3)) + " " + " ".join(chr(0x2600 + k) * 3 for k in range(25))
-    df = spark.createDataFrame([(1, prose), (2, junk), (3, noise)], "doc_id long, text string")
-    got = {r.doc_id: r for r in fertility.quality_rules(df, model).collect()}
-    assert got[1].kept and not got[3].kept and got[3].reason == "byte_share"
+def test_base_rules_by_brute_force(spark, sf_dir):
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        often = {w for w, n in Counter(windows).items() if n > 1}
+        repeat = len({k + j for k, w in enumerate(windows) if w in often for j in range(8)})
+        return (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeat,
+            len(words) < 20 or 100 * repeat > 30 * len(words),
+        )
+
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ODD
+    for t in texts:
+        assert fertility.base_rules(t or "") == plain(t or "")
+
+
+def test_entropies():
+    ids, bounds = np.array([1, 1, 2, 2, 5, 5, 5, 7]), np.array([0, 4, 4, 7, 8])
+    assert fertility.entropies(ids, bounds).tolist() == [1.0, 0.0, 0.0, 0.0]
+    assert fertility.entropies(np.zeros(0, np.int64), np.zeros(1, np.int64)).tolist() == []
+
+
+def test_bands_reject_junk_and_keep_prose(spark, docs):
+    rng, vocabularies = np.random.default_rng(11), fertility.vocabularies()
+    stock = "the committee met on tuesday to discuss new rules for harbour and several members asked more time before they would vote".split()
+    say = lambda n: " ".join(rng.choice(stock, n))
+    prose = [(k, say(120), "en" if k % 2 else None) for k in range(400)]
+    junk = [(1000 + k, " ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in say(120).split()), "en") for k in range(8)]
+    hex_ = [(2000 + k, " ".join("%08x" % rng.integers(1 << 32) for _ in range(120)), None) for k in range(8)]
+    rare = [(3000, " ".join("☃✈⚙" + chr(0x2600 + k) for k in range(120)), "xx")]
+    df = spark.createDataFrame(prose + junk + hex_ + rare, "doc_id long, text string, lang string").withColumn("kept", F.lit("own"))
+    got = {r.doc_id: r for r in fertility.quality_rules(df, vocabularies).collect()}
+    assert sum(not got[k].kept for k in range(400)) <= 4
+    assert not any(got[r[0]].kept for r in junk + hex_) and {got[r[0]].reason for r in junk} == {"chars_per_token"}
+    assert not got[3000].kept  # no band, no letters, byte fallback throughout
+    assert len(got[0].chars_per_token) == 2 and got[0].script == "latin"
+    odd = fertility.quality_rules(docs, vocabularies).collect()
+    assert len(odd) == docs.count() and all(r.base_failed and not r.kept and r.n_words == 0 for r in odd if r.doc_id == 99)
+    assert all(r.kept != r.base_failed for r in odd)  # no group is large enough for a band
+    assert fertility.quality_rules(docs.limit(0), vocabularies).count() == 0
 
 
 def test_script():

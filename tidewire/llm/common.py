@@ -55,6 +55,20 @@ def slices(batches, rows: int = 256):
             yield b.slice(start, rows)
 
 
+class Memo(dict):
+    """Results of ``f`` for short words met before; takes no more once it is full."""
+
+    def __init__(self, f, most: int = 500_000, longest: int = 64):
+        super().__init__()
+        self.f, self.most, self.longest = f, most, longest
+
+    def __missing__(self, word):
+        out = self.f(word)
+        if len(self) < self.most and len(word) <= self.longest:
+            self[word] = out
+        return out
+
+
 def lean() -> None:
     """In a worker process: let go of the vocabularies and memos that tasks of an encoding operator left there."""
     import sys
@@ -62,7 +76,6 @@ def lean() -> None:
     pieces = sys.modules.get("tidewire.llm.pieces")
     if pieces:
         pieces.encoder.cache_clear()
-        pieces.counter.cache_clear()
 
 
 def tidy(spark: SparkSession) -> None:

@@ -1,13 +1,21 @@
-"""Quality rules from tokenizer fertility: how a public vocabulary takes a text to pieces tells prose from junk."""
+"""Quality rules from tokenizer fertility: how public vocabularies take a text to pieces tells prose from junk.
 
+Each text is measured under every vocabulary. Bands follow from the table itself: per group of texts of one language (or
+script, where a language is unknown or rare) and of like length (or any, where that is rare), the median of each measure and its spread, over all
+texts that pass the base rules. Entropy grows with length, so lengths are classed by powers of four.
+"""
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix64, slices
-from .pieces import encoder as shared_encoder
+from .common import cut, few, mix64, slices, small_batches
+from .pieces import encoder as piece_encoder
 
 #: First and last code point of ranges, and the script they stand for.
 SCRIPT_RANGES = [
@@ -16,23 +24,14 @@ SCRIPT_RANGES = [
     (0x900, 0xDFF, "indic"), (0xE00, 0xE7F, "thai"), (0x1100, 0x11FF, "hangul"), (0x1E00, 0x1EFF, "latin"),
     (0x3040, 0x30FF, "kana"), (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7A3, "hangul"),
 ]
-#: Per script of most letters the least and most characters per token, the largest share of byte-fallback
-#: tokens, and the least token entropy in bits for texts of 64 tokens or more.
-BANDS = {
-    "latin": (1.3, 9.0, 0.25, 4.6),
-    "greek": (0.5, 5.0, 0.60, 3.0),
-    "cyrillic": (0.9, 7.0, 0.50, 3.0),
-    "hebrew": (0.5, 5.0, 0.70, 3.0),
-    "arabic": (0.5, 5.0, 0.70, 3.0),
-    "indic": (0.25, 5.0, 0.98, 2.5),
-    "thai": (0.25, 5.0, 0.98, 2.5),
-    "kana": (0.3, 4.0, 0.95, 3.0),
-    "han": (0.3, 4.0, 0.95, 3.0),
-    "hangul": (0.3, 4.0, 0.98, 2.5),
-    "other": (0.2, 9.0, 0.98, 2.5),
-    "none": (0.4, 9.0, 0.60, 3.0),
-}
-ENTROPY_FROM = 64
+#: What is measured under each vocabulary, the width of the bins it is counted in, and on which sides a text may lie
+#: outside of the band: characters per token (both), share of byte-fallback tokens (above), bits per token (below).
+MEASURES = (("chars_per_token", 1 / 256, -1, 1), ("byte_share", 1 / 1024, 0, 1), ("token_entropy", 1 / 128, -1, 0))
+#: A band reaches so many standard deviations (from the median absolute deviation) to either side of the median, and
+#: counts where a group has at least so many texts.
+REACH, GROUP = 4.5, 100
+#: Largest share of byte fallback, under the first vocabulary, of a text without letters that has no band.
+WITHOUT_LETTERS = 0.6
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _FIRST = np.array([(b & 0xC0) != 0x80 for b in range(256)])
@@ -89,57 +88,143 @@ def script_of(text: str) -> str:
     return best if totals[best] else "none"
 
 
-def entropy(ids: np.ndarray) -> float:
-    """Bits per token of the text's own token distribution."""
-    if not len(ids):
-        return 0.0
-    s = np.sort(ids)
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-    p = np.diff(at) / len(s)
-    return float(-(p * np.log2(p)).sum())
+def entropies(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bits per token of each text's own token distribution; 0 for a text without tokens."""
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(len(n)), n)
+    s = np.sort(row << 32 | ids)
+    at = np.flatnonzero(np.diff(s, prepend=-1))
+    row, share = s[at] >> 32, np.diff(at, append=len(s)) / n[s[at] >> 32]
+    return np.bincount(row, -share * np.log2(share), len(n)) if len(s) else np.zeros(len(n))
 
 
-def quality_rules(
-    df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", bands: dict[str, tuple] | None = None
-) -> DataFrame:
-    """Per row: the base counts, base_failed, the fertility measures, the verdict's reason and kept.
+class Ranks:
+    """A byte-level vocabulary of ranked merges. A token that isn't whole characters is one of byte fallback."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.is_byte = np.zeros(max(table.values()) + 1, bool)
+        for token, i in table.items():
+            self.is_byte[i] = token.decode(errors="ignore").encode() != token
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [np.array(self.library.encode_ordinary(t) if t else [], np.int64) for t in texts]
+        return np.concatenate([*lists, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, lists)])
+
+
+@lru_cache(maxsize=2)
+def _ranks(data: bytes, pattern: str) -> Ranks:
+    return Ranks(data, pattern)
+
+
+def vocabularies(names: tuple[str, ...] = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")) -> list[tuple[str, bytes, str]]:
+    """(kind, file's bytes, pattern) of public vocabularies; together about 1.3 MB, which travel with the tasks."""
+    import public_tokenizers
+
+    out = []
+    for name in names:
+        with open(public_tokenizers.path(name), "rb") as f:
+            out.append((name.rsplit(".", 1)[1], f.read(), public_tokenizers.PATTERN))
+    return out
 
-    A text that passes the base rules is kept if its script's band holds: characters per token, share of byte-fallback
-    tokens, and, from 64 tokens on, token entropy. Null and empty texts have no words, fail the base rules and have
-    measures of 0. Measures cover the whole text.
-    """
-    bands = bands or BANDS
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+def measures(
+    df: DataFrame, vocabularies: list[tuple[str, bytes, str]], key: str = "doc_id", text: str = "text", lang: str | None = "lang"
+) -> DataFrame:
+    """Per row: ``key``, the base counts, base_failed, lang, script, n_tokens (of the first vocabulary), and arrays with an
+    entry per vocabulary: chars_per_token, byte_share, token_entropy (0 for texts without tokens)."""
+    small_batches(df)
+    known = F.col(lang).cast("string") if lang and lang in df.columns else F.lit(None).cast("string")
 
     def run(batches):
-        encoder = shared_encoder(model)
-        is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
+        encoders = [piece_encoder(data) if kind == "model" else _ranks(data, pattern) for kind, data, pattern in vocabularies]
+        fallback = [e.v.is_byte if kind == "model" else e.is_byte for e, (kind, _, _) in zip(encoders, vocabularies, strict=True)]
         for b in slices(batches):
-            rows = []
-            for t in b.column(1).to_pylist():
-                t = t or ""
-                *base, failed = base_rules(t)
-                ids = encoder.ids(t)
-                n = len(ids)
-                per, share, bits = (len(t) / n, float(is_byte[ids].sum()) / n, entropy(ids)) if n else (0.0, 0.0, 0.0)
-                script = script_of(t)
-                low, high, most, least = bands.get(script, bands["other"])
-                reason = (
-                    "base" if failed else "chars_per_token" if not low <= per <= high else "byte_share" if share > most
-                    else "entropy" if n >= ENTROPY_FROM and bits < least else None
-                )
-                rows.append((*base, failed, script, n, per, share, bits, reason, reason is None))
-            cols = list(zip(*rows, strict=True)) or [()] * 13
-            types = [*[pa.int64()] * 5, pa.bool_(), pa.string(), pa.int64(), *[pa.float64()] * 3, pa.string(), pa.bool_()]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            length = np.array([len(t) for t in texts], np.int64)
+            found, n_tokens = [], None
+            for encoder, is_byte in zip(encoders, fallback, strict=True):
+                ids, bounds = encoder.batch(texts)
+                n = np.diff(bounds)
+                n_tokens = n if n_tokens is None else n_tokens
+                n_byte = np.diff(np.concatenate([[0], np.cumsum(is_byte[ids])])[bounds])
+                some = np.maximum(n, 1)
+                found.append((length / some * (n > 0), n_byte / some, entropies(ids, bounds)))
+            base = list(zip(*map(base_rules, texts), strict=True)) or [()] * 6
+            types = [*[pa.int64()] * 5, pa.bool_()]
+            columns = [pa.array(c, kind) for c, kind in zip(base, types, strict=True)]
+            lists = [pa.array(np.stack(m, 1).tolist(), pa.list_(pa.float64())) for m in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, kind) for c, kind in zip(cols, types, strict=True))],
-                [key, *names, "base_failed", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "reason", "kept"],
-            )
+                [b.column(0), *columns, b.column(2), pa.array(map(script_of, texts), pa.string()), pa.array(n_tokens, pa.int64()), *lists],
+                [key, *BASE, "base_failed", "lang", "script", "n_tokens", *(m for m, *_ in MEASURES)],
+            )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(
-        run,
-        f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, "
-        "token_entropy double, reason string, kept boolean",
+    counts = ", ".join(f"{n} long" for n in BASE)
+    arrays = ", ".join(f"{m} array<double>" for m, *_ in MEASURES)
+    return df.select(key, text, known.alias("lang")).mapInArrow(
+        run, f"`{key}` {kind}, {counts}, base_failed boolean, lang string, script string, n_tokens long, {arrays}"
     )
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def bands(rows: DataFrame, least: int = GROUP) -> DataFrame:
+    """(group, middle, spread) of all groups with ``least`` texts or more that pass the base rules; the arrays have an
+    entry per measure and vocabulary. Medians come from counts in narrow bins, so they are the same on every run."""
+    flat = rows.where(~F.col("base_failed")).select(F.explode(F.array("of_lang", "of_script", "of_all")).alias("group"), F.posexplode("values").alias("m", "x"))
+    flat = flat.where("group is not null")
+    width = F.element_at(F.array(*(F.lit(MEASURES[k % 3][1]) for k in range(len(MEASURES)))), F.col("m") % len(MEASURES) + 1)
+
+    def median(of, x):
+        bins = of.groupBy("group", "m", F.floor(x / width).alias("bin")).agg(F.count("*").alias("n"))
+        found = bins.groupBy("group", "m").agg(F.expr("percentile(bin, 0.5D, n)").alias("bin"), F.sum("n").alias("n"))
+        return found.select("group", "m", ((F.col("bin") + 0.5) * width).alias("middle"), "n")
+
+    middle = cut(median(flat, F.col("x")).where(F.col("n") >= least))
+    away = flat.join(few(middle.drop("n")), ["group", "m"])
+    spread = median(away, F.abs(F.col("x") - F.col("middle"))).withColumnRenamed("middle", "spread").drop("n")
+    each = middle.join(spread, ["group", "m"]).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("m", "middle", "spread"))).alias("a"))
+    return each.select("group", F.col("a.middle").alias("middle"), F.col("a.spread").alias("spread"))
+
+
+def quality_rules(
+    df: DataFrame, vocabularies: list[tuple[str, bytes, str]], key: str = "doc_id", text: str = "text", lang: str | None = "lang",
+    reach: float = REACH, least: int = GROUP,
+) -> DataFrame:
+    """Per row: the base counts, base_failed, the fertility measures (an entry per vocabulary), the verdict's reason and
+    kept.
+
+    A text that passes the base rules is kept if all its measures lie within the band of its language and length, or
+    of its script and length where the language is null or has fewer than ``least`` such texts; without either band
+    it is kept. Null and empty texts have no words, fail the base rules and have measures of 0. Measures cover the
+    whole text. Rows pass one by one: repeated rows and null keys stay; of other columns only ``lang`` is read.
+    """
+    rows = cut(measures(df, vocabularies, key, text, lang))
+    length = F.greatest(F.lit(3), F.least(F.lit(6), F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) / 2))).cast("string")
+    names = [m for m, *_ in MEASURES]
+    values = F.flatten(F.transform(F.arrays_zip(*names), lambda z: F.array(*(z[m] for m in names))))
+    rows = rows.withColumn("of_lang", F.concat_ws("/", F.lit("lang"), "lang", length)).withColumn("of_lang", F.when(F.col("lang").isNotNull(), F.col("of_lang")))
+    rows = rows.withColumn("of_script", F.concat_ws("/", F.lit("script"), "script", length))
+    rows = rows.withColumn("of_all", F.concat_ws("/", F.lit("script"), "script")).withColumn("values", values)
+    found = cut(bands(rows, least))
+    for name in ("lang", "script", "all"):
+        rows = rows.join(few(found.select(F.col("group").alias(f"of_{name}"), F.struct("middle", "spread").alias(f"by_{name}"))), f"of_{name}", "left")
+    band = F.coalesce("by_lang", "by_script", "by_all")
+
+    def outside(k: int):
+        _, width, down, up = MEASURES[k % 3]
+        x, at = F.element_at("values", k + 1), band["middle"][k]
+        slack = reach * F.greatest(1.4826 * band["spread"][k], F.lit(2 * width))
+        return F.coalesce((F.lit(bool(up)) & (x > at + slack)) | (F.lit(bool(down)) & (x < at - slack)), F.lit(False))
+
+    reason = F.when(F.col("base_failed"), "base")
+    for k in range(3 * len(vocabularies)):
+        reason = reason.when(outside(k), names[k % 3])
+    reason = reason.when(band.isNull() & (F.col("script") == "none") & (F.col("byte_share")[0] > WITHOUT_LETTERS), "byte_share")
+    rows = rows.withColumn("reason", reason)
+    return rows.select(key, *BASE, "base_failed", "script", "n_tokens", *names, "reason", F.col("reason").isNull().alias("kept"))

@@ -35,7 +35,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality_rules(table(spark, sf_dir, "documents"), sentence_pieces.model_bytes())
+    return fertility.quality_rules(table(spark, sf_dir, "documents"), fertility.vocabularies())
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

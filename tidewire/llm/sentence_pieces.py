@@ -23,22 +23,17 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def _int_lists(rows: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+def _int_lists(ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def encode(
-    df: DataFrame, model: bytes, text: str = "text", out: str = "ids", kind: str = "bpe", check: str | None = None,
-    words: int | None = None,
-) -> DataFrame:
+    df: DataFrame, model: bytes, text: str = "text", out: str = "ids", kind: str = "bpe", check: str | None = None
+) -> DataFrame:
     """``df`` with ``out``: the ids of ``text`` as array<int>. Null and empty texts give an empty array.
 
     With ``check``, a boolean column of that name tells whether the ids decode to the text again; the same process
-    decodes, so that no second one has to hold the vocabulary. ``words`` bounds the words that a worker remembers (memory
-    against time; the ids are the same). Existing columns of these names are replaced. Other
+    decodes, so that no second one has to hold the vocabulary. Existing columns of these names are replaced. Other
     columns pass through unchanged, nulls and repeated rows too.
     """
     added = [out, *([check] if check else [])]
@@ -50,19 +45,24 @@ def encode(
     small_batches(df)
 
     def run(batches):
-        encoder = shared_encoder(model, kind, words)
+        encoder = shared_encoder(model, kind)
         for b in slices(batches):
             texts = b.column(text).to_pylist()
-            ids = [encoder.ids(t) for t in texts]
-            columns = [*(b.column(n) for n in names), _int_lists(ids)]
+            ids, bounds = encoder.batch(texts)
+            columns = [*(b.column(n) for n in names), _int_lists(ids, bounds)]
             if check:
-                same = [encoder.decode(i.tolist()) == (t or "").replace("▁", " ") for i, t in zip(ids, texts, strict=True)]
-                columns.append(pa.array(same, pa.bool_()))
+                columns.append(pa.array(_same(encoder, ids, bounds, texts), pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return df.mapInArrow(run, schema)
 
 
+def _same(encoder, ids: np.ndarray, bounds: np.ndarray, texts: list[str | None]) -> list[bool]:
+    """Whether ids decode to the texts; a literal U+2581 reads as a space, by the format."""
+    decoded = encoder.decoded(ids, bounds)
+    return [d == (t or "").replace("▁", " ").encode() for d, t in zip(decoded, texts, strict=True)]
+
+
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
     """``df`` with ``out``: the text of the array<int> column ``ids``; null gives null. Replaces a column ``out``."""
     schema = df.drop(out).schema.add(out, "string")
@@ -82,26 +82,24 @@ def round_trip(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "te
 
     Columns: ``key``, n_bytes, n_tokens, n_byte_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), and
     round_trip: the ids decode to the text again (a literal U+2581 reads as a space, by the format). Null text counts
-    as empty: no ids, round trip true.
+    as empty: no ids, round trip true. Rows pass one by one, whatever their keys; other columns are not read, so
+    their names can't clash.
     """
 
     small_batches(df)
 
     def run(batches):
         encoder = shared_encoder(model)
-        is_byte = np.frombuffer(encoder.v.is_byte, np.uint8)
         for b in slices(batches):
-            n_bytes, n, n_byte, crc, same = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                t = t or ""
-                a = encoder.ids(t)
-                n_bytes.append(len(t.encode()))
-                n.append(len(a))
-                n_byte.append(int(is_byte[a].sum()) if len(a) else 0)
-                crc.append(zlib.crc32(a.astype("<i4").tobytes()))
-                same.append(encoder.decode(a.tolist()) == t.replace("▁", " "))
+            texts = b.column(1).to_pylist()
+            ids, bounds = encoder.batch(texts)
+            n_byte = np.diff(np.concatenate([[0], np.cumsum(encoder.v.is_byte[ids])])[bounds])
+            raw, at = ids.astype("<i4").tobytes(), (4 * bounds).tolist()
+            crc = [zlib.crc32(raw[a:e]) for a, e in zip(at, at[1:], strict=False)]
+            n_bytes = [len(t.encode()) if t else 0 for t in texts]
+            columns = [pa.array(x, pa.int64()) for x in (n_bytes, np.diff(bounds), n_byte, crc)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n, n_byte, crc)), pa.array(same)],
+                [b.column(0), *columns, pa.array(_same(encoder, ids, bounds, texts), pa.bool_())],
                 [key, "n_bytes", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"],
             )
 

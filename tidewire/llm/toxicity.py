@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
-from .pieces import Memo
+from .common import Memo, remainder, slices
 
 #: Words of insult and threat, by list.
 LEXICONS = {
