@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import language_id, minhash, mixing, sentence_pieces, substrings
-from tidewire.llm.common import WORD, Staged, table
+from tidewire.llm.common import WORD, Staged, few, table
 
 #: Least share of the winning language; the fixed value rejects texts for which no language stands out.
 LEAST_SCORE = 0.3
@@ -18,16 +18,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return named.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: the id of a row that has one to itself, a hash of the whole row otherwise."""
+    alone = F.col("doc_id").isNotNull() & F.col("__shared").isNull()
+    shared = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__shared"))
+    rows = docs.join(few(shared), "doc_id", "left").select(*docs.columns, "__shared")
+    return rows.select(*docs.columns, alone.alias("__alone"), F.when(alone, F.col("doc_id")).otherwise(F.xxhash64(*docs.columns)).alias("__key"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the smallest id stays, once."""
-    classes = minhash.near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of each class of near copies the row of the smallest key stays, once.
+
+    Rows are told apart by ``keyed``, so different texts of one id, or without an id, are documents of their own;
+    rows that are equal in every column are one. Texts without words are in no class and stay.
+    """
+    rows = keyed(docs)
+    gone = few(minhash.near_duplicates(rows, key="__key").where(~F.col("kept")).select(F.col("id").alias("__key")).distinct())
+    rows = rows.join(gone, "__key", "left_anti")
+    return rows.where("__alone").select(*docs.columns).unionByName(rows.where("not __alone").dropDuplicates(["__key"]).select(*docs.columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; texts of which no word is left go."""
-    rest = substrings.without_spans(docs, substrings.repeated_passages(docs))
+    """Passages that an earlier row (by key, see ``keyed``) holds are cut out; texts of which no word is left go.
+
+    Null texts and texts without a word have nothing left and go, too. n_chars becomes that of the new text.
+    """
+    rows = keyed(docs)
+    spans = substrings.repeated_passages(rows, key="__key")
+    rest = substrings.without_spans(rows, spans, key="__key")
     rest = rest.where(F.col("text").rlike(WORD))
     return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
