@@ -163,13 +163,14 @@ def test_longer_passage_than_the_first_holder_has(spark):
 
 
 def brute_top_k(rows, k, query):
-    rows = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v in rows}
-    out = set()
-    for q in rows:
+    rows = [(i, [int(x) for x in np.floor(64 * np.array(v, float)).tolist()]) for i, v in rows]
+    out = []
+    far = topk.FARTHEST
+    for n, (q, a) in enumerate(rows):
         if query(q):
-            scores = sorted((-int(sum(a * b for a, b in zip(rows[q].tolist(), rows[c].tolist(), strict=False))), c) for c in rows if c != q)
-            out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])}
-    return out
+            scores = sorted((-max(-far, min(far, sum(x * y for x, y in zip(a, b, strict=False)))), c) for m, (c, b) in enumerate(rows) if m != n)
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block", [3, 100])
@@ -177,15 +178,25 @@ def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=6).round(1)]) for k in range(150)]
     rows += [(k, [1.0] * 6) for k in range(150, 230)]  # ties across the kth place
+    rows += [*rows[:3], (20, [0.5] * 6)]  # rows of one id, equal and not
     bad = [(400, None), (420, [1.0, None]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (None, [1.0] * 6), (480, [])]
-    df = spark.createDataFrame([(k, v, "x") for k, v in rows + bad + rows[:3]], "vec_id long, embedding array<float>, score string").repartition(5)
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows + bad], "vec_id long, embedding array<float>, score string").repartition(5)
     got = topk.top_k(df, 7, F.col("vec_id") % 20 == 0, block=block).collect()
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top_k([(k, np.float32(v)) for k, v in rows], 7, lambda q: q % 20 == 0)
-    few = df.where("vec_id in (0, 1, 2, 20)")
-    assert len(topk.top_k(few, 7, F.col("vec_id") % 20 == 0).collect()) == 6
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top_k([(k, np.float32(v)) for k, v in rows], 7, lambda q: q % 20 == 0)
+    few = df.where("vec_id in (1, 2, 40)")
+    assert len(topk.top_k(few, 7, F.col("vec_id") % 20 == 0).collect()) == 4
     assert topk.top_k(df.limit(0), 7, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(40)]
+    rows += [(40, [1e200, 0.0, 0.0, -3.0]), (41, [-1e200, 1.0, 0.0, 0.0]), (42, [3e9, 1e9, 0.5, 0.0]), (43, [3e9, -9e9, 0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, 6, F.col("vec_id") % 4 == 0).collect()
+    assert sorted(map(tuple, got)) == brute_top_k(rows, 6, lambda q: q % 4 == 0)
+
+
 def water_fill(sizes, weights):
     share, open_, out = 1.5 * sum(sizes.values()), dict(sizes), {}
     while open_:

@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where none is set a temporary folder serves a local session; other
+    executors could not see it, so a cluster's session must name a shared one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewire-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewire-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -131,6 +135,12 @@ class Staged:
         (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
+    def add(self, df: DataFrame) -> Staged:
+        """Append rows; a reader made before doesn't see them."""
+        df.write.mode("append").parquet(self.path)
+        self.df = df.sparkSession.read.schema(self.df.schema).parquet(self.path)
+        return self
+
     def drop(self) -> None:
         jvm, sc = self.df.sparkSession._jvm, self.df.sparkSession.sparkContext
         path = jvm.org.apache.hadoop.fs.Path(self.path)
