@@ -237,8 +237,23 @@ def test_mixing(spark):
 
 def test_splitting_tree_keeps_quotas():
     q = np.array([100, 0, 7, 3000])
-    out = mixing.splitting_tree(q, 10, 3)
-    assert (out.sum(1) == q).all() and out.min() >= 0 and np.ptp(out.sum(0)) <= 2
+    source = np.repeat(np.arange(4), q)
+    index = np.concatenate([np.arange(n) for n in q])
+    shard = mixing.SplittingTree(q, 10, 3).shards_of(source, index)
+    one_by_one = mixing.SplittingTree(q, 10, 3)
+    assert all(one_by_one.shards_of(source[k : k + 1], index[k : k + 1])[0] == shard[k] for k in range(0, len(shard), 37))
+    counts = np.bincount(shard, minlength=10)
+    assert counts.min() >= 310 and np.ptp(counts) <= 2
+    assert all((np.diff(shard[source == k]) >= 0).all() for k in range(4))  # runs of each source's permutation
+    big = [mixing._drawn(np.random.default_rng(k), 6 * 10**9, 4 * 10**9, 10**6) for k in range(200)]
+    assert abs(np.mean(big) - 600_000) < 200 and 350 < np.std(big) < 650
+
+
+def test_shards_are_partitions(spark):
+    rng = random.Random(16)
+    df = spark.createDataFrame([(k, text_of(rng, 30), "ab"[k % 7 == 0]) for k in range(9000)], "doc_id long, text string, source string")
+    sizes = [n for n in mixing.mix(df, shards=12).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) == 12 and max(sizes) <= 1.6 * min(sizes)
 
 
 def test_quotations(spark):
