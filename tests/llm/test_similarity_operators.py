@@ -64,7 +64,7 @@ def test_compact_windows_cover_each_subsequence_once():
         n, t = int(rng.integers(1, 40)), int(rng.integers(1, 9))
         h = rng.integers(0, 12, n).astype(np.uint64) << np.uint64(30)
         seen = {}
-        for l, c, r in substrings.compact_windows(h, t):
+        for l, c, r in zip(*(x.tolist() for x in substrings.compact_windows(h, t)), strict=True):
             for i in range(l, c + 1):
                 for j in range(max(c, i + t - 1), r + 1):
                     assert (i, j) not in seen
@@ -74,6 +74,20 @@ def test_compact_windows_cover_each_subsequence_once():
                 assert h[seen[i, j]] == h[i : j + 1].min()
 
 
+def test_windows_of_many_texts_at_once():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        t = int(rng.integers(1, 7))
+        texts = [rng.integers(0, 9, int(rng.integers(t, 30))).astype(np.uint64) << np.uint64(30) for _ in range(5)]
+        of = np.repeat(np.array([2, 3, 7, 8, 20]), [len(x) for x in texts])
+        found = np.stack(substrings.compact_windows(np.concatenate(texts), t, of), 1)
+        alone, at = [], 0
+        for x in texts:
+            alone.append(np.stack(substrings.compact_windows(x, t), 1) + at)
+            at += len(x)
+        assert sorted(map(tuple, found.tolist())) == sorted(map(tuple, np.concatenate(alone).tolist()))
+
+
 def test_repeated_passages(spark):
     rng = random.Random(4)
     passage, other = text_of(rng, 70), text_of(rng, 60)
