@@ -74,7 +74,7 @@ def test_keyword_boundaries(spark):
 
 def test_spam_and_labels(spark):
     assert one(spark, patterns.sports_spam(F.col("t")), t="How to watch A vs B live stream") and not one(spark, patterns.sports_spam(F.col("t")), t="Parliament passes budget")
-    assert one(spark, patterns.first_label(F.col("t"), patterns.DISASTERS), t="Typhoon and flood hit") == "Storm & Cyclone"
+    assert one(spark, patterns.disaster_label(F.col("t")), t="Typhoon and flood hit") == "Storm & Cyclone"
     assert one(spark, patterns.violence_label(F.col("t")), t="Riot after coup") == "Civil Unrest & Crackdown"
     assert one(spark, patterns.violence_label(F.col("t")), t="Film about a riot") is None
 
@@ -205,10 +205,45 @@ def test_bands_take_the_closer_of_centre_and_representative(spark):
 
 
 def test_absorb_small_cluster():
-    x = np.array([[1, 0.0], [1, 0.01], [1, 0.02], [0.96, 0.28]])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert clustering.absorb(x, np.zeros(4), np.array([0, 0, 0, 3]), np.zeros(4, bool), 0.9, 10).tolist() == [0, 0, 0, 0]
-    assert clustering.absorb(x, np.array([0, 0, 0, 99.0]), np.array([0, 0, 0, 3]), np.zeros(4, bool), 0.9, 10).tolist() == [0, 0, 0, 3]
+    x = np.array([[1.0, 0.0], [0.97, np.sqrt(1 - 0.97**2)], [0.96, -0.28]])
+    size, none = np.array([3, 1, 1]), np.zeros(3, bool)
+    near = lambda low, **k: clustering.absorb(x, x, size, np.array(low, float), np.array(low, float), none, 0.9, 10, **k).tolist()
+    assert near([0, 0, 0]) == [0, 0, 0]
+    assert near([0, 99, 0]) == [0, 1, 0]  # too far in time
+    assert near([0, 0, 0], most=1) == [0, 0, 2]  # no room left
+    three = np.array([4, 3, 1])
+    assert clustering.absorb(x, x, three, np.zeros(3), np.zeros(3), np.array([False, True, False]), 0.9, 10).tolist() == [0, 0, 0]
+    assert clustering.absorb(x, x, three, np.zeros(3), np.zeros(3), none, 0.9, 10).tolist() == [0, 1, 0]
+
+
+def test_centres_merge_where_articles_do_not_meet(spark):
+    """Two clusters of eight, 0.925 alike within and 0.894 across: no article of one is near one of the other."""
+    rng = np.random.default_rng(3)
+    gram = np.full((16, 16), 0.894) + np.eye(16) * 0.075
+    gram[:8, :8] += 0.031
+    gram[8:, 8:] += 0.031
+    x = np.linalg.cholesky(gram) @ np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    rows = [(k, "hu", f"2024-01-01 0{k % 8}:00:00", x[k].tolist()) for k in range(16)]
+    df = spark.createDataFrame(rows, "id long, country string, at string, vector array<double>").withColumn("at", F.to_timestamp("at"))
+    assert {r.story for r in clustering.cluster(df).collect()} == {0}
+    core, related = clustering.clusters(df, merge=0.97)
+    assert {r.core for r in core.collect()} == {0, 8}
+    assert [(r.a, r.b) for r in related.collect()] == [(0, 8)]
+
+
+def test_stories_with_borrowed_articles(spark):
+    def at(cosine, k):
+        v = np.zeros(12)
+        v[0], v[k] = cosine, np.sqrt(1 - cosine**2)
+        return v.tolist()
+
+    vectors_ = [at(0.99, 1), at(0.99, 2), at(0.99, 3), at(0.88, 4), at(0.872, 5), at(0.1, 6)]
+    rows = [(k, "hu", "2024-01-01 00:00:00", v) for k, v in enumerate(vectors_)]
+    df = spark.createDataFrame(rows, "id long, country string, at string, vector array<double>").withColumn("at", F.to_timestamp("at"))
+    got = {(r.story_id, r.id): r.band for r in clustering.assemble(df, clustering.cluster(df)).collect()}
+    assert [got[0, k] for k in range(3)].count("core") == 2 and "representative" in got.values()
+    assert got[0, 3] == "broad" and got[0, 4] == "broad" and (0, 5) not in got and got[5, 5] == "representative"
+
 
 
 def test_components(spark):

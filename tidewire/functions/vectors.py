@@ -19,7 +19,8 @@ def norm(a: Column | str) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    return F.transform(_d(a), lambda x: x / norm(a))
+    once = F.transform(F.array(F.struct(_d(a).alias("v"), norm(a).alias("n"))), lambda s: F.transform(s["v"], lambda x: x / s["n"]))
+    return F.element_at(once, 1)  # the norm is worked out once, not for each component
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str, out: str = "centroid") -> DataFrame:

@@ -1,34 +1,62 @@
 """Articles to stories: near pairs in time, average-linkage clusters, merging of close clusters, borrowed coverage.
 
 Average linkage joins two clusters only if some pair across them is near enough, so every cluster lies inside one
-connected component of the graph of near pairs: components come first, and only they enter numpy.
+connected component of the graph of near pairs: components come first, and only they enter numpy. Clusters are merged
+and absorbed by their centres and representatives; for these steps components of the graph of near centres come first,
+and numpy sees a row per cluster, not its articles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text, vectors
-from .graph import components
+from . import stories
+from .graph import components, cut
+
+#: Vectors of a time bucket that are compared in one task, about.
+BLOCK = 1024
 
 
 def near_pairs(vecs: DataFrame, least: float, days: float, by: str = "country") -> DataFrame:
     """(a, b, sim) of vectors (id, ``by``, at, vector) of one group, at most ``days`` apart, with cosine ``least`` or more.
 
-    Times fall into buckets as long as the gap; each vector meets its own and the next bucket by an equi-join, so each
-    pair is met once and no pair that is too far apart in time is scored beyond these.
+    Times fall into buckets as long as the gap; each vector meets its own and the next bucket. Buckets are dealt to
+    pairs of blocks, and a pair of blocks is one matrix product.
     """
     gap = int(days * 86400)
-    v = vecs.select("id", F.col(by).alias("g"), F.unix_timestamp("at").alias("t"), vectors.unit("vector").alias("u"))
-    v = v.withColumn("k", F.floor(F.col("t") / gap))
-    left = v.select(F.col("id").alias("i"), "g", F.col("t").alias("ti"), F.col("u").alias("ui"), F.col("k").alias("own"), F.explode(F.array("k", F.col("k") + 1)).alias("k"))
-    met = left.join(v, ["g", "k"]).where((F.abs(F.col("t") - F.col("ti")) <= gap) & ((F.col("own") < F.col("k")) | (F.col("i") < F.col("id"))))
-    met = met.withColumn("sim", vectors.dot("ui", "u")).where(F.col("sim") >= least)
-    return met.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"), "sim")
+    v = vecs.select("id", F.col(by).alias("g"), F.unix_timestamp("at").alias("t"), F.col("vector").cast("array<double>").alias("v"))
+    own = F.floor(F.col("t") / gap)
+    v = v.select("*", F.explode(F.array(F.struct(own.alias("k"), F.lit(False).alias("late")), F.struct((own - 1).alias("k"), F.lit(True).alias("late")))).alias("x"))
+    v = v.select("id", "g", "t", "v", "x.k", "x.late")
+    sizes = v.groupBy("g", "k").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count_if(~F.col("late")).alias("own")).where("own > 0")
+    v = v.join(sizes.drop("own"), ["g", "k"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    v = v.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    kind = vecs.schema["id"].dataType
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, t, late = (group.column(n).to_numpy() for n in ("id", "t", "late"))
+        x = np.array(group.column("v").to_pylist(), np.float64)
+        x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+        block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sim = x[left] @ x[right].T
+        good = (sim >= least) & (np.abs(t[left, None] - t[right]) <= gap) & ~(late[left, None] & late[right])
+        if i == j:
+            good &= left[:, None] < right
+        p, q = np.nonzero(good)
+        a, b = ids[left[p]], ids[right[q]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "sim": pa.array(sim[p, q])})
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
+    return v.groupBy("g", "k", "i", "j").applyInArrow(compare, schema)
 
 
 def average_linkage(x: np.ndarray, t: np.ndarray, cut: float, gap: float) -> np.ndarray:
@@ -51,78 +79,163 @@ def average_linkage(x: np.ndarray, t: np.ndarray, cut: float, gap: float) -> np.
         label[label == j] = i
 
 
-def merge_close(x: np.ndarray, t: np.ndarray, label: np.ndarray, least: float, gap: float) -> np.ndarray:
-    """Join clusters whose centres are alike (complete linkage over first centres) and whose joint span is short."""
-    ids = np.unique(label)
-    at = np.searchsorted(ids, label)
-    centre = np.stack([x[at == k].sum(0) for k in range(len(ids))])
-    centre /= np.maximum(1e-12, np.linalg.norm(centre, axis=1, keepdims=True))
-    low, high = (np.array([f(t[at == k]) for k in range(len(ids))]) for f in (np.min, np.max))
-    s = centre @ centre.T
-    while len(ids) > 1:
-        span = np.maximum(high[:, None], high) - np.minimum(low[:, None], low)
-        ok = np.where((span > gap) | np.eye(len(ids), dtype=bool), -1.0, s)
-        i, j = divmod(int(np.argmax(ok)), len(ids))
-        if ok[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
-        s[i] = s[:, i] = np.minimum(s[i], s[j])
-        low[i], high[i] = min(low[i], low[j]), max(high[i], high[j])
-        label = np.where(label == ids[j], ids[i], label)
-        keep = np.arange(len(ids)) != j
-        s, low, high, ids = s[keep][:, keep], low[keep], high[keep], ids[keep]
-    return label
-
-
-def absorb(x: np.ndarray, t: np.ndarray, label: np.ndarray, abroad: np.ndarray, least: float, gap: float, most: int = 6) -> np.ndarray:
-    """Small clusters join the larger one they are closest to, in label order; a large one takes ``most`` articles."""
-    ids, size = np.unique(label, return_counts=True)
-    size = dict(zip(ids.tolist(), size.tolist(), strict=True))
-    centre = {k: x[label == k].mean(0) for k in size}
-    rep = {k: x[np.flatnonzero(label == k)[np.argmax(x[label == k] @ centre[k])]] for k in size}
-    low, high = {k: t[label == k].min() for k in size}, {k: t[label == k].max() for k in size}
-    into, taken = {}, dict.fromkeys(size, 0)
-    for b in sorted(size):
-        if size[b] > 4 or size[b] > 2 and not abroad[label == b].any():
-            continue
-        best, score = None, least
-        for a in sorted(size):
-            if a == b or a in into or (size[a], -a) <= (size[b], -b) or taken[a] + size[b] > most:
-                continue
-            if max(high[a], high[b]) - min(low[a], low[b]) > gap:
-                continue
-            s = max(float(centre[a] @ centre[b]), float(rep[a] @ rep[b]))
-            if s >= score:
-                best, score = a, s
-        if best is not None:
-            into[b] = best
-            taken[best] += size[b]
-    return np.array([into.get(k, k) for k in label.tolist()])
+def merge_close(centre: np.ndarray, low: np.ndarray, high: np.ndarray, least: float, gap: float, related: float = 2.0) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """(group of each cluster, pairs of groups of ``related`` similarity or more that stay apart).
 
+    Unit centres; groups join while their least similarity, over all pairs of first centres across them, is ``least`` or
+    more and their joint span is ``gap`` or less. A group goes by its first cluster.
+    """
+    n = len(centre)
+    group, low, high = np.arange(n), low.astype(float).copy(), high.astype(float).copy()
+    sim, alive = centre @ centre.T, np.ones(n, bool)
+
+    def open_pairs() -> np.ndarray:
+        span = np.maximum.outer(high, high) - np.minimum.outer(low, low)
+        return np.where((span <= gap) & np.outer(alive, alive) & ~np.eye(n, dtype=bool), sim, -1.0)
+
+    pairs = open_pairs()
+    while n > 1 and pairs.max() >= least:
+        i, j = sorted(divmod(int(pairs.argmax()), n))
+        sim[i] = sim[:, i] = np.minimum(sim[i], sim[j])
+        low[i], high[i], alive[j] = min(low[i], low[j]), max(high[i], high[j]), False
+        group[group == j] = i
+        pairs = open_pairs()
+    return group, [(int(i), int(j), float(pairs[i, j])) for i, j in np.argwhere(np.triu(pairs, 1) >= related)]
+
+
+def absorb(
+    mean: np.ndarray, rep: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, abroad: np.ndarray, least: float, gap: float, most: int = 6
+) -> np.ndarray:
+    """Which cluster each cluster goes to (itself, if none): small ones join the larger one they are closest to.
+
+    Clusters are in order of their labels. What can be told of a pair on its own is one table of similarities; the walk
+    over the small clusters then only keeps account of who is gone and how many articles (``most``) a cluster still takes.
+    """
+    n = len(size)
+    label = np.arange(n)
+    larger = (size[None, :] > size[:, None]) | ((size[None, :] == size[:, None]) & (label[None, :] < label[:, None]))
+    span = np.maximum.outer(high, high) - np.minimum.outer(low, low)
+    sim = np.maximum(mean @ mean.T, rep @ rep.T)
+    sim = np.where(larger & (span <= gap) & (sim >= least), sim, -np.inf)
+    small = (size <= 2) | ((size <= 4) & abroad)
+    into, room = label.copy(), np.full(n, most)
+    for b in np.flatnonzero(small & (sim.max(1, initial=-np.inf) > -np.inf)).tolist():
+        choice = np.where((into == label) & (room >= size[b]), sim[b], -np.inf)
+        a = n - 1 - int(choice[::-1].argmax())  # the last of equals
+        if choice[a] > -np.inf:
+            into[b] = a
+            room[a] -= size[b]
+    return into
+
+
+def summaries(vecs: DataFrame, label: str) -> DataFrame:
+    """Per cluster: label, country, size, low and high (seconds), abroad, mean (of unit vectors), centre (mean, as unit vector)."""
+    t = F.unix_timestamp("at")
+    facts = vecs.groupBy(label).agg(F.first("country").alias("country"), F.count("*").alias("size"), F.min(t).alias("low"), F.max(t).alias("high"), F.max("abroad").alias("abroad"))
+    means = vectors.mean_vectors(vecs.withColumn("unit", vectors.unit("vector")), [label], "unit", "mean")
+    return facts.join(means, label).withColumn("centre", vectors.unit("mean"))
+
+
+def _picked(vecs: DataFrame, of: DataFrame, label: str) -> DataFrame:
+    """(label, rep_id, rep): the article that speaks for each cluster and its unit vector; by nearness to the centre, and
+    by what its outlet and title are where the columns tell."""
+    rows = vecs.join(of.select(label, "centre"), label).withColumn("unit", vectors.unit("vector")).withColumn("sim", vectors.dot("unit", "centre"))
+    if {"url", "syndicated_of", "title", "scope", "kind", "factuality", "source_id"} <= set(vecs.columns):
+        best = stories.representatives(rows.withColumnRenamed(label, "story_id")).select(F.col("story_id").alias(label), F.col("id").alias("rep_id"))
+    else:
+        best = rows.groupBy(label).agg(F.max_by("id", F.struct(F.round("sim", 9), -F.col("id"))).alias("rep_id"))
+    return best.join(rows.select(F.col("id").alias("rep_id"), F.col("unit").alias("rep")), "rep_id")
 
-def cluster(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, borrow: float = 0.895, days: float = 3.0) -> DataFrame:
-    """(id, story) of every vector (id, country, at, vector[, scope]): story is the smallest id of its cluster."""
-    least = min(similarity, merge, borrow)
-    edges = near_pairs(vecs, least, days)
-    comp = components(edges)
-    gap = days * 86400
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+def _prepared(vecs: DataFrame) -> DataFrame:
+    abroad = F.col("scope").isin("international", "abroad_local") if "scope" in vecs.columns else F.lit(False)
+    return vecs.withColumn("abroad", F.coalesce(abroad, F.lit(False)))
+
+
+def clusters(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, days: float = 3.0, related: float = 0.925) -> tuple[DataFrame, DataFrame]:
+    """((id, core) of every vector (id, country, at, vector), (a, b, sim) of related clusters): average linkage, then
+    complete linkage of centres. A cluster goes by its smallest id."""
+    gap, kind = days * 86400, vecs.schema["id"].dataType.simpleString()
+    comp = components(near_pairs(vecs, similarity, days))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         x = np.stack([np.asarray(v, float) for v in pdf["vector"]])
         x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
-        t = pdf["t"].to_numpy(float)
-        label = merge_close(x, t, average_linkage(x, t, 1 - similarity, gap), merge, gap)
-        label = absorb(x, t, label, pdf["abroad"].to_numpy(bool), borrow, gap)
-        first = pdf.groupby(label)["id"].transform("min")
-        return pd.DataFrame({"id": pdf["id"], "story": first})
+        label = average_linkage(x, pdf["t"].to_numpy(float), 1 - similarity, gap)
+        return pd.DataFrame({"id": pdf["id"], "first": pdf.groupby(label)["id"].transform("min")})
 
-    abroad = F.col("scope").isin("international", "abroad_local") if "scope" in vecs.columns else F.lit(False)
-    rows = vecs.join(comp, vecs["id"] == comp["node"]).select("id", "component", F.unix_timestamp("at").alias("t"), F.coalesce(abroad, F.lit(False)).alias("abroad"), "vector")
-    kind = vecs.schema["id"].dataType.simpleString()
-    done = rows.groupBy("component").applyInPandas(one, f"id {kind}, story {kind}")
-    alone = vecs.join(comp, vecs["id"] == comp["node"], "left_anti").select("id", F.col("id").alias("story"))
-    return done.unionByName(alone)
+    rows = vecs.join(comp, vecs["id"] == comp["node"], "left").select("id", "component", F.unix_timestamp("at").alias("t"), "vector")
+    linked = rows.where("component is not null").groupBy("component").applyInPandas(link, f"id {kind}, first {kind}")
+    linked = cut(linked.unionByName(rows.where("component is null").select("id", F.col("id").alias("first"))))
+    facts = cut(summaries(_prepared(vecs).join(linked, "id"), "first"))
+    at = facts.select(F.col("first").alias("id"), "country", F.timestamp_seconds("low").alias("at"), F.col("centre").alias("vector"))
+    close = components(near_pairs(at, min(merge, related), days))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first", ignore_index=True)
+        centre = np.stack([np.asarray(v, float) for v in pdf["centre"]])
+        group, near = merge_close(centre, pdf["low"].to_numpy(), pdf["high"].to_numpy(), merge, gap, related)
+        first = pdf["first"].to_numpy()
+        parts = [pd.DataFrame({"first": first, "core": first[group], "other": pd.NA, "sim": np.nan})]
+        parts += [pd.DataFrame({"first": pd.NA, "core": [first[i]], "other": [first[j]], "sim": [s]}) for i, j, s in near]
+        return pd.concat(parts).astype({"first": "Int64", "core": "Int64", "other": "Int64"})
+
+    met = facts.join(close, F.col("first") == F.col("node")).select("first", "component", "low", "high", "centre")
+    done = cut(met.groupBy("component").applyInPandas(join, f"first {kind}, core {kind}, other {kind}, sim double"))
+    core = linked.join(done.where("first is not null").select("first", "core"), "first", "left").select("id", F.coalesce("core", "first").alias("core"))
+    return core, done.where("first is null").select(F.col("core").alias("a"), F.col("other").alias("b"), "sim")
+
+
+def cluster(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, borrow: float = 0.895, days: float = 3.0) -> DataFrame:
+    """(id, core, story) of every vector (id, country, at, vector[, scope and what makes a representative]): core is its
+    cluster, story the one that its cluster was absorbed by, or the same; both go by their smallest core id."""
+    gap, kind = days * 86400, vecs.schema["id"].dataType.simpleString()
+    core, _ = clusters(vecs, similarity, merge, days)
+    core = cut(core)
+    rows = _prepared(vecs).join(core, "id")
+    facts = summaries(rows, "core")
+    facts = cut(facts.join(_picked(rows, facts, "core"), "core"))
+    near = lambda c: near_pairs(facts.select(F.col("core").alias("id"), "country", F.timestamp_seconds("low").alias("at"), F.col(c).alias("vector")), borrow, days)
+    comp = components(near("centre").unionByName(near("rep")))  # a mean is no longer than a centre
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("core", ignore_index=True)
+        mean, rep = (np.stack([np.asarray(v, float) for v in pdf[c]]) for c in ("mean", "rep"))
+        into = absorb(mean, rep, *(pdf[c].to_numpy() for c in ("size", "low", "high", "abroad")), borrow, gap)
+        return pd.DataFrame({"core": pdf["core"], "story": pdf["core"].to_numpy()[into]})
+
+    met = facts.join(comp, F.col("core") == F.col("node")).select("core", "component", "size", "low", "high", "abroad", "mean", "rep")
+    into = met.groupBy("component").applyInPandas(take, f"core {kind}, story {kind}")
+    return core.join(into, "core", "left").select("id", "core", F.coalesce("story", "core").alias("story"))
+
+
+def assemble(vecs: DataFrame, members: DataFrame, days: float = 3.0, low: float = 0.86, mid: float = 0.895, high: float = 0.925) -> DataFrame:
+    """(story_id, id, band, similarity): the rows of each story of ``cluster``'s result.
+
+    Core articles count 0.93 or more, the representative 1; absorbed ones 0.85 to 0.929. Stories of one article that
+    absorbed none lend it to the closest larger story too: close ones at 0.85 to 0.929, broad ones at 0.75 to 0.849.
+    """
+    rows = _prepared(vecs).join(members, "id")
+    held = rows.where("core = story")
+    facts = summaries(held, "story")
+    facts = cut(facts.join(_picked(held, facts, "story"), "story"))
+    whole = rows.groupBy("story").agg(F.count("*").alias("n"))
+    near = rows.withColumn("unit", vectors.unit("vector")).join(facts.select("story", "rep_id", "rep", "centre", "mean"), "story")
+    sim = F.greatest(vectors.dot("unit", "mean"), vectors.dot("unit", "rep"))
+    grade = F.round(text.calibrate(sim), 3)
+    own = near.select(
+        F.col("story").alias("story_id"), "id",
+        F.when(F.col("id") == F.col("rep_id"), "representative").when(F.col("core") == F.col("story"), "core").otherwise("absorbed").alias("band"),
+        F.when(F.col("id") == F.col("rep_id"), 1.0).when(F.col("core") == F.col("story"), F.greatest(F.lit(0.93), grade)).otherwise(F.least(F.lit(0.929), F.greatest(F.lit(0.85), grade))).alias("similarity"),
+    )
+    larger = facts.join(whole.where("n > 1").select("story"), "story")
+    centres = larger.select(F.col("story").alias("story_id"), "country", F.timestamp_seconds("low").alias("first_at"), F.timestamp_seconds("high").alias("last_at"), F.col("mean").alias("centre"), F.col("rep").alias("representative"))
+    loose = rows.join(whole.where("n = 1").select("story"), "story", "left_semi").select("id", "country", "at", vectors.unit("vector").alias("vector"))
+    bands = attach_bands(centres, loose, days, low, mid, high)
+    grade = F.round(text.calibrate(F.col("sim")), 3)
+    lent = F.when(F.col("band") == "close", F.least(F.lit(0.929), F.greatest(F.lit(0.85), grade))).otherwise(F.least(F.lit(0.849), F.greatest(F.lit(0.75), grade)))
+    return own.unionByName(bands.select("story_id", "id", "band", lent.alias("similarity")))
 
 
 def attach_bands(centres: DataFrame, loose: DataFrame, days: float, low: float, mid: float, high: float, most: int = 6) -> DataFrame:
@@ -132,9 +245,13 @@ def attach_bands(centres: DataFrame, loose: DataFrame, days: float, low: float,
     the centre and the representative's vector.
     """
     gap = int(days * 86400)
-    c = centres.select("story_id", "country", F.unix_timestamp("first_at").alias("f"), F.unix_timestamp("last_at").alias("l"), "centre", "representative")
-    a = loose.select("id", "country", F.unix_timestamp("at").alias("t"), "vector")
-    met = a.join(c, "country").where(F.greatest("l", "t") - F.least("f", "t") <= gap).withColumn("sim", F.greatest(vectors.dot("vector", "centre"), vectors.dot("vector", "representative")))
+    seconds = lambda c: F.unix_timestamp(c)
+    near_k = lambda t: F.floor(t / gap)
+    c = centres.select("story_id", "country", seconds("first_at").alias("f"), seconds("last_at").alias("l"), "centre", "representative")
+    c = c.withColumn("k", F.explode(F.sequence(near_k(F.col("l") - gap), near_k(F.col("f") + gap))))  # the buckets in reach
+    a = loose.select("id", "country", seconds("at").alias("t"), "vector").withColumn("k", near_k(F.col("t")))
+    met = a.join(c, ["country", "k"]).where(F.greatest("l", "t") - F.least("f", "t") <= gap)
+    met = met.withColumn("sim", F.greatest(vectors.dot("vector", "centre"), vectors.dot("vector", "representative")))
     met = met.where((F.col("sim") >= low) & (F.col("sim") < high))
     best = met.groupBy("id").agg(F.max_by(F.struct("story_id", "sim"), F.struct(F.round("sim", 9), -F.col("story_id"))).alias("b"))
     rows = best.select("b.story_id", "id", "b.sim", F.when(F.col("b.sim") >= mid, "close").otherwise("broad").alias("band"))

@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewire-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewire-"))
     return df.checkpoint()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): the smallest node of each component. Nodes without an edge don't occur."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    at = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(at.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = at.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         up = at.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        new = _cut(low.join(up, "low", "left").select("node", "component", F.least("low", F.coalesce("up", "low")).alias("new")))
+        new = cut(low.join(up, "low", "left").select("node", "component", F.least("low", F.coalesce("up", "low")).alias("new")))
         ended = new.where("new <> component").isEmpty()
         at = new.select("node", F.col("new").alias("component"))
         if ended:

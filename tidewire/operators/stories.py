@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed_values as fixed
 from ..functions import patterns, vectors
 
 
@@ -14,7 +15,7 @@ def representative_bonus(r: dict[str, Column], has_domestic: Column) -> Column:
     url = F.coalesce(r["url"], F.lit(""))
     return (
         F.when(r["syndicated_of"].isNotNull(), -0.12).otherwise(0.0)
-        + F.when(F.coalesce(r["title"], F.lit("")).rlike(patterns.OPINION), -0.15).otherwise(0.0)
+        + F.when(F.coalesce(r["title"], F.lit("")).rlike(fixed.OPINION), -0.15).otherwise(0.0)
         + F.when(has_domestic & (r["scope"] == "domestic"), 0.06).when(has_domestic & (r["scope"] == "abroad_local"), 0.03).otherwise(0.0)
         + F.when(r["kind"].isin("official", "paper", "media", "broadcast", "wire"), 0.04).when(r["kind"].isin("aggregator", "portal"), -0.05).otherwise(0.0)
         + F.when(r["factuality"].isin("very_high", "high"), 0.04).when(r["factuality"] == "mixed", -0.04).otherwise(0.0)

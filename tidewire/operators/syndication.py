@@ -2,48 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import fixed_values as fixed
 from ..functions import patterns, text
 
 
-def shingle_hashes(w: Column, width: int = 8) -> Column:
-    """Distinct hashes of runs of ``width`` of the words ``w``, a column (an expression would be evaluated for each run).
+def shingle_hashes(words: list[str], width: int = 8) -> np.ndarray:
+    """Distinct hashes of the runs of ``width`` words: the first 64 bits of the md5, of which one in four is kept (those
+    that are divisible by 4)."""
+    if len(words) < width:
+        return np.zeros(0, np.int64)
+    runs = (" ".join(words[k : k + width]).encode() for k in range(len(words) - width + 1))
+    h = np.frombuffer(b"".join(md5(r).digest()[:8] for r in runs), ">i8").astype(np.int64)
+    return np.unique(h[h & 3 == 0])
 
-    One in four is kept: those whose 16th hex digit of the md5 is 0, 4, 8 or c.
-    """
-    runs = F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " ")))
-    hashes = F.transform(runs, lambda r: F.substring(F.md5(r), 1, 16))
-    return F.array_distinct(F.filter(hashes, lambda h: F.substring(h, 16, 1).isin("0", "4", "8", "c")))
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` (with ``words``, an array) with ``hashes`` in its place."""
+    names = [c for c in df.columns if c != "words"]
+
+    def run(batches):
+        for b in batches:
+            lists = [shingle_hashes(w or []) for w in b.column("words").to_pylist()]
+            offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), flat)], [*names, "hashes"])
 
-def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is evaluated once per row: a generator keeps it from being copied into what uses it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return df.mapInArrow(run, df.drop("words").schema.add("hashes", T.ArrayType(T.LongType())))
 
 
 def reprints(articles: DataFrame, least: int = 5, share: float = 0.6, wire_share: float = 0.35) -> DataFrame:
     """(id, syndicated_of, votes, n_hashes) of each article that reprints an earlier one.
 
     ``articles``: id, country, source_id, ord (time order), content, wire (the source is a wire or state outlet).
-    The index never depends on earlier verdicts, so this is one equi-join on (country, hash) with the order as a
-    residual condition, a count, and the best candidate: most votes, then the earliest.
+    Articles of a country with the same hashes are one class, and only classes are joined on (country, hash): however
+    often a text is reprinted, it is one row there. Of a class an article takes the earliest member of another source:
+    the class's first, or the first that isn't of that one's source. The best class has most votes, then the earliest.
     """
-    rows = pinned(pinned(articles, "words", text.words(F.col("content"))), "hashes", shingle_hashes(F.col("words")))
-    rows = rows.drop("words").where(F.size("hashes") >= least)
-    rows = rows.withColumn("credit", F.lower("content").rlike(patterns.any_term(patterns.WIRE_CREDITS)))
-    flat = rows.select("id", "country", "source_id", "ord", F.explode("hashes").alias("h"))
-    a = flat.select(F.col("id").alias("a_id"), "country", F.col("source_id").alias("a_source"), F.col("ord").alias("a_ord"), "h")
-    met = flat.join(a, ["country", "h"]).where((F.col("a_ord") < F.col("ord")) & (F.col("a_source") != F.col("source_id")))
-    votes = met.groupBy("id", "a_id", "a_ord").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id").agg(F.max_by(F.struct("a_id", "votes"), F.struct("votes", -F.col("a_ord"))).alias("b"))
-    out = best.join(rows.select("id", F.size("hashes").alias("n_hashes"), "credit"), "id")
-    out = out.join(articles.select(F.col("id").alias("of"), "wire"), F.col("b.a_id") == F.col("of"))
-    need = F.when(F.col("wire") | F.col("credit"), wire_share).otherwise(share)
-    out = out.where(F.col("b.votes") / F.col("n_hashes") >= need)
-    return out.select("id", F.col("b.a_id").alias("syndicated_of"), F.col("b.votes").alias("votes"), F.col("n_hashes").cast("long").alias("n_hashes"))
+    rows = articles.select("id", "country", "source_id", "ord", "wire", patterns.matches(F.col("content"), fixed.WIRE_CREDITS).alias("credit"), text.words(F.col("content")).alias("words"))
+    rows = _hashed(rows).where(F.size("hashes") >= least).withColumn("class", F.xxhash64("country", "hashes"))
+    member = F.struct("ord", "id", "source_id", "wire")
+    classes = rows.groupBy("country", "class").agg(F.min(member).alias("first"), F.max("ord").alias("last"), F.any_value("hashes").alias("hashes"))
+    rows = rows.drop("hashes").join(classes.select("class", "first", F.size("hashes").alias("n_hashes")), "class")
+    others = rows.where(F.col("source_id") != F.col("first.source_id")).groupBy("class").agg(F.min(member).alias("other"))
+    flat = classes.select("country", "class", "last", F.col("first.ord").alias("start"), F.explode("hashes").alias("h"))
+    of = flat.select("country", "h", F.col("class").alias("of"), F.col("start").alias("of_start"))
+    votes = flat.join(of, ["country", "h"]).where(F.col("of_start") < F.col("last")).groupBy("class", "of").agg(F.count("*").alias("votes"))
+    held = classes.select(F.col("class").alias("of"), F.col("first").alias("of_first")).join(others.select(F.col("class").alias("of"), "other"), "of", "left")
+    met = rows.select("id", "source_id", "ord", "credit", "n_hashes", "class").join(votes, "class").join(held, "of")
+    met = met.withColumn("a", F.when(F.col("of_first.source_id") != F.col("source_id"), F.col("of_first")).otherwise(F.col("other")))
+    met = met.where(F.col("a.ord") < F.col("ord"))
+    best = met.groupBy("id").agg(F.max_by(F.struct("a", "votes", "credit", "n_hashes"), F.struct("votes", -F.col("a.ord"))).alias("b"))
+    need = F.when(F.col("b.a.wire") | F.col("b.credit"), wire_share).otherwise(share)
+    best = best.where(F.col("b.votes") / F.col("b.n_hashes") >= need)
+    return best.select("id", F.col("b.a.id").alias("syndicated_of"), F.col("b.votes").alias("votes"), F.col("b.n_hashes").cast("long").alias("n_hashes"))
 
 
 def same_titles(articles: DataFrame) -> DataFrame:

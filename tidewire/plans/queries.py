@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from .. import sources, streaming
 from ..functions import patterns, text, vectors
 from ..operators import clustering, delta, events, excerpts, graph, ranking, relevance, stories, syndication
-from .. import sources, streaming
 from .fixtures import ARTICLE, FACTS_SQL, NOW, articles, pick, read, story_facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,7 +319,7 @@ LABELS = [("Storm", "the an"), ("Flood", "der die"), ("Quake", "le la")]
   WHEN regexp_matches(b, '(^|[^\\p{{L}}\\p{{N}}_])(der|die)($|[^\\p{{L}}\\p{{N}}_])') THEN 'Flood' WHEN regexp_matches(b, '(^|[^\\p{{L}}\\p{{N}}_])(le|la)($|[^\\p{{L}}\\p{{N}}_])') THEN 'Quake' END AS label
 FROM (SELECT id, lower(title) AS b FROM article)""")
 def ordered_labels(spark, sf_dir):
-    return articles(spark, sf_dir).select("id", patterns.first_label(F.col("title"), LABELS).alias("label"))
+    return articles(spark, sf_dir).select("id", patterns.first_label(F.col("title"), patterns.word_rules(LABELS)).alias("label"))
 
 
 # Joins, sets and upserts
@@ -452,7 +451,18 @@ def near_components(spark, sf_dir):
 
 @query()
 def cluster_stories(spark, sf_dir):
-    return clustering.cluster(timed_vectors(spark, sf_dir), 0.33, 0.6, 0.5)
+    return clustering.cluster(timed_vectors(spark, sf_dir), 0.33, 0.6, 0.5).select("id", "story")
+
+
+@query()
+def story_rows(spark, sf_dir):
+    v = timed_vectors(spark, sf_dir)
+    return clustering.assemble(v, clustering.cluster(v, 0.33, 0.6, 0.5), 3.0, 0.2, 0.28, 0.33)
+
+
+@query()
+def related_clusters(spark, sf_dir):
+    return clustering.clusters(timed_vectors(spark, sf_dir), 0.33, 0.6, 3.0, 0.4)[1]
 
 
 @query(f"""WITH {VECTOR}, p AS (SELECT label, v AS p FROM v WHERE id < 5),
