@@ -89,17 +89,21 @@ def merge_close(centre: np.ndarray, low: np.ndarray, high: np.ndarray, least: fl
     group, low, high = np.arange(n), low.astype(float).copy(), high.astype(float).copy()
     sim, alive = centre @ centre.T, np.ones(n, bool)
 
-    def open_pairs() -> np.ndarray:
-        span = np.maximum.outer(high, high) - np.minimum.outer(low, low)
-        return np.where((span <= gap) & np.outer(alive, alive) & ~np.eye(n, dtype=bool), sim, -1.0)
+    def open_to(k) -> np.ndarray:
+        """Similarities of groups ``k`` to all, -1 where they may not join."""
+        span = np.maximum.outer(high[k], high) - np.minimum.outer(low[k], low)
+        return np.where((span <= gap) & alive, sim[k], -1.0)
 
-    pairs = open_pairs()
+    pairs = open_to(np.arange(n))
+    np.fill_diagonal(pairs, -1.0)
     while n > 1 and pairs.max() >= least:
         i, j = sorted(divmod(int(pairs.argmax()), n))
         sim[i] = sim[:, i] = np.minimum(sim[i], sim[j])
         low[i], high[i], alive[j] = min(low[i], low[j]), max(high[i], high[j]), False
         group[group == j] = i
-        pairs = open_pairs()
+        pairs[i] = pairs[:, i] = open_to(i)
+        pairs[i, i] = -1.0
+        pairs[j] = pairs[:, j] = -1.0
     return group, [(int(i), int(j), float(pairs[i, j])) for i, j in np.argwhere(np.triu(pairs, 1) >= related)]
 
 
@@ -194,7 +198,7 @@ def cluster(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, borr
     core, _ = clusters(vecs, similarity, merge, days)
     core = cut(core)
     rows = _prepared(vecs).join(core, "id")
-    facts = summaries(rows, "core")
+    facts = cut(summaries(rows, "core"))
     facts = cut(facts.join(_picked(rows, facts, "core"), "core"))
     near = lambda c: near_pairs(facts.select(F.col("core").alias("id"), "country", F.timestamp_seconds("low").alias("at"), F.col(c).alias("vector")), borrow, days)
     comp = components(near("centre").unionByName(near("rep")))  # a mean is no longer than a centre
@@ -218,7 +222,7 @@ def assemble(vecs: DataFrame, members: DataFrame, days: float = 3.0, low: float
     """
     rows = _prepared(vecs).join(members, "id")
     held = rows.where("core = story")
-    facts = summaries(held, "story")
+    facts = cut(summaries(held, "story"))
     facts = cut(facts.join(_picked(held, facts, "story"), "story"))
     whole = rows.groupBy("story").agg(F.count("*").alias("n"))
     near = rows.withColumn("unit", vectors.unit("vector")).join(facts.select("story", "rep_id", "rep", "centre", "mean"), "story")
