@@ -111,8 +111,8 @@ class Ranks:
             self.is_byte[i] = token.decode(errors="ignore").encode() != token
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [np.array(self.library.encode_ordinary(t) if t else [], np.int64) for t in texts]
-        return np.concatenate([*lists, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, lists)])
+        lists = [self.library.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in texts]
+        return np.concatenate([*lists, np.zeros(0, np.uint32)]).astype(np.int64), np.cumsum([0, *map(len, lists)])
 
 
 @lru_cache(maxsize=2)
