@@ -462,7 +462,7 @@ def story_rows(spark, sf_dir):
 
 @query()
 def related_clusters(spark, sf_dir):
-    return clustering.clusters(timed_vectors(spark, sf_dir), 0.33, 0.6, 3.0, 0.4)[1]
+    return clustering.clusters(timed_vectors(spark, sf_dir), 0.33, 0.6, 3.0, 0.2)[1]
 
 
 @query(f"""WITH {VECTOR}, p AS (SELECT label, v AS p FROM v WHERE id < 5),
