@@ -111,14 +111,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``width`` words."""
-    n = len(hashes) - width + 1
-    if n <= 0:
+    """64-bit hashes of all runs of ``width`` words: a polynomial, put together from runs of half the width."""
+    if len(hashes) < width:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    for k in range(1, width):
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out += hashes[k : n + k]
+    base, out, have = 0xD6E8FEB86659FD93, hashes, 1
+    for bit in bin(width)[3:]:
+        out = out[:-have] * np.uint64(pow(base, have, 1 << 64)) + out[have:]
+        have *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(base) + hashes[have:]
+            have += 1
     return mix64(out)
 
 
