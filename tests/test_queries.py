@@ -49,10 +49,10 @@ def test_whole_tables_of_related_and_relations(spark, sf_dir):
     for story in {x for x, _ in best}:
         others = sorted((-sim, y) for (x, y), sim in best.items() if x == story)[:2]
         want |= {(story, y, y * 2, n + 1) for n, (_, y) in enumerate(others)}
-    got = queries.QUERIES["related_stories_whole"](spark, sf_dir).select("story_id", "other", "articles", "rn").collect()
+    got = queries.QUERIES["related_stories"](spark, sf_dir).select("story_id", "other", "articles", "rn").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").collect()
-    panel = queries.QUERIES["relations_panel_whole"](spark, sf_dir).collect()[0]
+    panel = queries.QUERIES["relations_panel"](spark, sf_dir).collect()[0]
     assert (panel.curr, panel.prev) == (sum(e.event_id % 7 for e in events), sum(e.event_id % 5 for e in events))
     assert panel.new + panel.surging + panel.cooling + panel.steady + panel.trace == len(events)
 

@@ -62,20 +62,11 @@ def perspective_labels(spark, sf_dir):
     return scored(spark, sf_dir).select("story_id", views.perspective(F.col("story_id") % 5 / 5.0, F.col("scopes"), F.col("independent")).alias("perspective"))
 
 
-@query("""WITH s AS (SELECT event_type AS category, event_id % 7 AS curr, event_id % 5 AS prev, ['new', 'surging', 'cooling', 'steady', 'trace'][CAST(event_id % 5 AS INTEGER) + 1] AS state FROM events WHERE user_id < 20),
+@query("""WITH s AS (SELECT event_type AS category, event_id % 7 AS curr, event_id % 5 AS prev, ['new', 'surging', 'cooling', 'steady', 'trace'][CAST(event_id % 5 AS INTEGER) + 1] AS state FROM events),
 t AS (SELECT category, count(*) AS n FROM s GROUP BY 1)
 SELECT CAST(sum(curr) AS BIGINT) AS curr, CAST(sum(prev) AS BIGINT) AS prev, count(*) FILTER (state = 'new') AS new, count(*) FILTER (state = 'surging') AS surging, count(*) FILTER (state = 'cooling') AS cooling,
   count(*) FILTER (state = 'steady') AS steady, count(*) FILTER (state = 'trace') AS trace, (SELECT arg_max(category, (n, category)) FROM t) AS top, (SELECT round(100.0 * max(n) / CAST(sum(n) AS BIGINT), 6) FROM t) AS top_pct FROM s""")
 def relations_panel(spark, sf_dir):
-    i = F.col("event_id")
-    names = F.array(*map(F.lit, ("new", "surging", "cooling", "steady", "trace")))
-    e = read(spark, sf_dir, "events").where("user_id < 20")
-    s = e.select(F.col("event_type").alias("category"), (i % 7).alias("curr"), (i % 5).alias("prev"), F.element_at(names, (i % 5 + 1).cast("int")).alias("state"))
-    return views.relations_panel(s).withColumn("top_pct", F.round("top_pct", 6))
-
-
-@query()
-def relations_panel_whole(spark, sf_dir):
     i = F.col("event_id")
     names = F.array(*map(F.lit, ("new", "surging", "cooling", "steady", "trace")))
     e = read(spark, sf_dir, "events")
@@ -90,18 +81,11 @@ def newest_alerts(spark, sf_dir):
     return views.hot_alerts(e, now()).select(F.col("id").alias("event_id"))
 
 
-@query("""WITH e AS (SELECT vec_id % 37 AS a, (vec_id * 3 + 1) % 37 AS b, (vec_id % 97) / 100.0 AS sim FROM embeddings WHERE vec_id % 37 <> (vec_id * 3 + 1) % 37 AND vec_id < 37),
+@query("""WITH p AS (SELECT vec_id % 37 AS x, (vec_id * 3 + 1) % 37 AS y, (vec_id % 97) / 100.0 AS sim FROM embeddings),
+e AS (SELECT least(x, y) AS a, greatest(x, y) AS b, max(sim) AS sim FROM p WHERE x <> y GROUP BY 1, 2),
 x AS (SELECT a AS story_id, b AS other, sim FROM e UNION SELECT b, a, sim FROM e), s AS (SELECT range AS other, range * 2 AS articles FROM range(37))
 SELECT story_id, other, articles, rn FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY sim DESC, other) AS rn FROM x JOIN s USING (other)) WHERE rn <= 2""")
 def related_stories(spark, sf_dir):
-    i = F.col("vec_id")
-    e = read(spark, sf_dir, "embeddings").where("vec_id < 37").select((i % 37).alias("a"), ((i * 3 + 1) % 37).alias("b"), (i % 97 / 100.0).alias("sim")).where("a <> b").distinct()
-    s = spark.range(37).select(F.col("id").alias("story_id"), (F.col("id") * 2).alias("articles"))
-    return views.related(e, s).withColumn("rn", F.col("rn").cast("long"))
-
-
-@query()
-def related_stories_whole(spark, sf_dir):
     i = F.col("vec_id")
     e = read(spark, sf_dir, "embeddings").select((i % 37).alias("x"), ((i * 3 + 1) % 37).alias("y"), (i % 97 / 100.0).alias("sim")).where("x <> y")
     e = e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("sim").alias("sim"))
