@@ -56,9 +56,9 @@ def catalog(spark: SparkSession, packs: list[dict]) -> dict[str, DataFrame]:
     }
 
 
-def page_meta(pages: DataFrame, column: str = "html") -> DataFrame:
-    """``pages`` with meta_title, meta_lead and site from the head of each page (its first 32 KB, where heads end)."""
-    head = F.substring(column, 1, 32768)
+def page_meta(pages: DataFrame, column: str = "html", most: int | None = None) -> DataFrame:
+    """``pages`` with meta_title, meta_lead and site of each whole page, or of its first ``most`` characters."""
+    head = F.substring(column, 1, most) if most else F.col(column)
     meta = lambda p: F.nullif(F.regexp_extract(head, rf'(?is)<meta[^>]+property=["\']{p}["\'][^>]+content=["\']([^"\']*)', 1), F.lit(""))
     title = F.coalesce(meta("og:title"), F.nullif(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")))
     return pages.withColumn("meta_title", text.squash(title)).withColumn("meta_lead", text.squash(meta("og:description"))).withColumn("site", meta("og:site_name"))
