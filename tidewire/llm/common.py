@@ -147,3 +147,20 @@ class Staged:
         jvm, sc = self.df.sparkSession._jvm, self.df.sparkSession.sparkContext
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, *order, name: str = "number") -> tuple[DataFrame, int]:
+    """``df`` with dense numbers from 0 in the total order given, and the number of rows.
+
+    Rows are range-partitioned and numbered range by range as they are written; a range adds the rows of those before it,
+    which is one number a range, whatever the number of rows.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    rows, part = Staged(sorted_rows).df, F.shiftright("__row", 33)
+    ahead, total = [], 0
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        ahead.append((r.part, total))
+        total += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(ahead, "__part long, __ahead long"))
+    rows = rows.join(starts, part == F.col("__part")).withColumn(name, F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__ahead"))
+    return rows.drop("__row", "__part", "__ahead"), total

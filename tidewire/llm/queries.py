@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, minhash, mixing, quotes, sentence_pieces, substrings, token_counts, topk, toxicity
+from . import collocations, fertility, filter_audit, language_id, minhash, mixing, packing, quotes, sentence_pieces, substrings, token_counts, topk, toxicity
 from .common import remainder, table
 
 
@@ -57,8 +57,21 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flag_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k_search, op2_quotation_linking, op3_toxicity, op4_mixing, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts, op10_repeated_passages)
+    f.__name__: f for f in (op1_top_k_search, op2_quotation_linking, op3_toxicity, op4_mixing, op5_sentencepiece, op6_fertility_rules, op7_near_duplicates, op8_language_id, op9_token_counts, op10_repeated_passages, op11_filter_audit, op12_collocations, op13_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +123,59 @@ SELECT conv_id, turn,
   role, reply_to, root_turn, text,
   '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS message
 FROM done""",
+    "op11_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT t.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+    [len(words) < 200,
+     100 * len(list_distinct(words)) < 50 * len(words),
+     100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+     regexp_matches(text, '[#$%&*|]'),
+     coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM texts t LEFT JOIN marks m ON m.doc_id = t.doc_id),
+counts AS (SELECT part, fails, good, toxic, count(*) AS n FROM flags GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+done AS (
+  SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS f,
+    coalesce(sum(n) FILTER (len(list_filter(o[:step], lambda k: fails[k])) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (fails[o[step]] AND len(list_filter(o[:step - 1], lambda k: fails[k])) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (fails[o[step]] AND len(list_filter(o[:step - 1], lambda k: fails[k])) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (good AND fails[o[step]] AND len(list_filter(o[:step - 1], lambda k: fails[k])) = 0), 0) AS good_lost,
+    coalesce(sum(n) FILTER (toxic AND fails[o[step]] AND len(list_filter(o[:step - 1], lambda k: fails[k])) = 0), 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, o, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM done""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+grams AS (SELECT lang, w[i : i + m - 1] AS p FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT * FROM f WHERE len(p) > 1),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM cand),
+scores AS (
+  SELECT c.lang, c.p, c.a, x.a AS l, y.a AS r, t.n, c.k,
+    (1000::HUGEINT * c.a::HUGEINT * t.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[: c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1 :]),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT DISTINCT c.lang, d.p FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS i FROM cand) c, (SELECT unnest([2, 3, 4]) AS m) s
+  JOIN cand d ON d.lang = c.lang AND d.p = c.p[c.i : c.i + s.m - 1] AND len(d.p) < len(c.p) AND c.a >= d.a
+  WHERE c.i + s.m - 1 <= len(c.p)),
+kept AS (SELECT *, array_to_string(p, ' ') AS phrase FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = b.lang AND i.p = b.p)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }
