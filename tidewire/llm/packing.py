@@ -10,7 +10,9 @@ need no padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Memo, Staged, slices
+from .common import Staged, slices
 
 #: Dimensions of the hashed vector, of the curve, and bits of each of the curve's coordinates (below 64 together).
 HASHED, DIMENSIONS, BITS = 512, 4, 15
 #: Ids that one range of the curve holds, about.
-RANGE_IDS = 32_000_000
-#: Lower-case pieces of text met before that a worker remembers.
-MEMO_WORDS = 400_000
+RANGE_IDS = 8_000_000
+#: Words met before that a worker remembers, about, and pieces of words; longer ones in bytes it forgets.
+MEMO_WORDS, LONG_WORD = 400_000, 64
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -36,11 +38,19 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+#: Fixed value: how the public tokenizer cuts a text without white space into what it merges within.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII.
+_ASCII_PIECES = re.compile(rb"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+
+
 class Encoder:
-    """Ids of whole texts, by the library, piece by piece between ASCII spaces.
+    """Ids of whole texts as the library gives them, each distinct piece of text encoded about once.
 
-    The tokenizer must drop white space and let no token cross it, so a text's ids are those of its pieces in turn;
-    ``tokenizer_file`` names such a one, and a constructor check refuses others. Ids are kept as little-endian bytes.
+    The tokenizer must drop white space and let no token cross it, so a text's ids are those of its words between ASCII
+    spaces in turn; ``tokenizer_file`` names such a one, and a constructor check refuses others. Where it cuts words by
+    ``PIECES`` after lower-casing, ASCII words are cut here, so that the library sees each word once and not with every
+    punctuation. Ids are kept as little-endian bytes.
     """
 
     def __init__(self, definition: str):
@@ -49,16 +59,44 @@ class Encoder:
 
         self.library = tokenizers.Tokenizer.from_str(definition)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.cuts = json.dumps(PIECES)[1:-1] in definition and '"Lowercase"' in definition
+        self.zero = self.library.encode("0", add_special_tokens=False).ids[-1]
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         probe = "it's Two  words\n<|endoftext|>\t42 'tis"
-        if b"".join(map(self._one, probe.encode().split())) != self._one(probe.encode()):
+        if self.encode([probe])[0].tolist() != self.library.encode(probe, add_special_tokens=False).ids:
             raise ValueError("this tokenizer's tokens depend on white space")
-        self.memo = Memo(self._one, MEMO_WORDS)
-
-    def _one(self, piece: bytes) -> bytes:
-        return np.array(self.library.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, text.encode().split())), self.kind)
+    def _pieces(self, word: bytes) -> list[bytes]:
+        return _ASCII_PIECES(word.lower()) if self.cuts and word.isascii() and b"<|" not in word else [word]
+
+    def _library(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The library's ids of each. Where a digit is always a token of its own, one call takes all pieces that hold no
+        "0", with one between each two."""
+        together = [p for p in pieces if b"0" not in p and b"<|" not in p] if self.cuts else []
+        alone = list(set(pieces) - set(together))
+        out = {p: np.array(x.ids, self.kind).tobytes() for p, x in zip(alone, self.library.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False))}
+        if together:
+            ids = np.array(self.library.encode_batch_fast([(b" 0 ".join(together) + b" 0").decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends, raw, size = np.flatnonzero(ids == self.zero).tolist(), ids.tobytes(), self.kind.itemsize
+            out.update((p, raw[size * a : size * e]) for p, a, e in zip(together, [0, *(x + 1 for x in ends)], ends, strict=False))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.encode().split() for t in texts]
+        for memo in (self.words, self.pieces):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+        cut = {w: self._pieces(w) for w in set().union(*split) - self.words.keys()}
+        new = list(set().union(*cut.values()) - self.pieces.keys())
+        self.pieces.update(self._library(new))
+        self.words.update((w, b"".join(map(self.pieces.__getitem__, p))) for w, p in cut.items())
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, s)), self.kind) for s in split]
+        for memo, more in ((self.words, cut), (self.pieces, new)):
+            for w in more:
+                if len(w) > LONG_WORD:
+                    del memo[w]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -145,7 +183,7 @@ def pack(df: DataFrame, definition: str | None = None, length: int = 2048, end_i
     def encode(batches):
         encoder = _encoder(definition)
         for b in slices(batches):
-            ids = [np.append(encoder.encode(t or ""), encoder.kind.type(end_id)) for t in b.column("__text").to_pylist()]
+            ids = [np.append(x, encoder.kind.type(end_id)) for x in encoder.encode([t or "" for t in b.column("__text").to_pylist()])]
             at = projected(ids)
             yield pa.RecordBatch.from_arrays(
                 [b.column("__key"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(at[:, k]) for k in range(DIMENSIONS))],
