@@ -26,8 +26,8 @@ from .common import Staged, slices
 HASHED, DIMENSIONS, BITS = 512, 4, 15
 #: Ids that one range of the curve holds, about.
 RANGE_IDS = 8_000_000
-#: Words met before that a worker remembers, about, and pieces of words; longer ones in bytes it forgets.
-MEMO_WORDS, LONG_WORD = 400_000, 64
+#: Pieces of words that a worker remembers, none longer in bytes.
+MEMO_PIECES, LONG_PIECE = 900_000, 64
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -41,7 +41,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 #: Fixed value: how the public tokenizer cuts a text without white space into what it merges within.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for lower-case ASCII.
-_ASCII_PIECES = re.compile(rb"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+_CUT = re.compile(rb"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9]+").findall
 
 
 class Encoder:
@@ -49,8 +49,8 @@ class Encoder:
 
     The tokenizer must drop white space and let no token cross it, so a text's ids are those of its words between ASCII
     spaces in turn; ``tokenizer_file`` names such a one, and a constructor check refuses others. Where it cuts words by
-    ``PIECES`` after lower-casing, ASCII words are cut here, so that the library sees each word once and not with every
-    punctuation. Ids are kept as little-endian bytes.
+    ``PIECES`` after lower-casing, ASCII texts are cut here, so that the library sees a word once and not with every
+    punctuation. Pieces met before are remembered, up to ``MEMO_PIECES``; ids are kept as little-endian bytes.
     """
 
     def __init__(self, definition: str):
@@ -61,41 +61,38 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.cuts = json.dumps(PIECES)[1:-1] in definition and '"Lowercase"' in definition
         self.zero = self.library.encode("0", add_special_tokens=False).ids[-1]
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         probe = "it's Two  words\n<|endoftext|>\t42 'tis"
         if self.encode([probe])[0].tolist() != self.library.encode(probe, add_special_tokens=False).ids:
             raise ValueError("this tokenizer's tokens depend on white space")
 
-    def _pieces(self, word: bytes) -> list[bytes]:
-        return _ASCII_PIECES(word.lower()) if self.cuts and word.isascii() and b"<|" not in word else [word]
-
     def _library(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The library's ids of each. Where a digit is always a token of its own, one call takes all pieces that hold no
         "0", with one between each two."""
         together = [p for p in pieces if b"0" not in p and b"<|" not in p] if self.cuts else []
-        alone = list(set(pieces) - set(together))
+        alone = [p for p in pieces if b"0" in p or b"<|" in p] if self.cuts else pieces
         out = {p: np.array(x.ids, self.kind).tobytes() for p, x in zip(alone, self.library.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False))}
         if together:
             ids = np.array(self.library.encode_batch_fast([(b" 0 ".join(together) + b" 0").decode()], add_special_tokens=False)[0].ids, self.kind)
-            ends, raw, size = np.flatnonzero(ids == self.zero).tolist(), ids.tobytes(), self.kind.itemsize
-            out.update((p, raw[size * a : size * e]) for p, a, e in zip(together, [0, *(x + 1 for x in ends)], ends, strict=False))
+            ends, raw, size = np.flatnonzero(ids == self.zero), ids.tobytes(), self.kind.itemsize
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            out.update((p, raw[a:e]) for p, a, e in zip(together, (starts * size).tolist(), (ends * size).tolist(), strict=True))
         return out
 
+    def _pieces(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        return _CUT(raw.lower()) if self.cuts and text.isascii() and "<|" not in text else raw.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        for memo in (self.words, self.pieces):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-        cut = {w: self._pieces(w) for w in set().union(*split) - self.words.keys()}
-        new = list(set().union(*cut.values()) - self.pieces.keys())
-        self.pieces.update(self._library(new))
-        self.words.update((w, b"".join(map(self.pieces.__getitem__, p))) for w, p in cut.items())
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, s)), self.kind) for s in split]
-        for memo, more in ((self.words, cut), (self.pieces, new)):
-            for w in more:
-                if len(w) > LONG_WORD:
-                    del memo[w]
+        cut = list(map(self._pieces, texts))
+        new = list(set().union(*cut).difference(self.memo))
+        found = self._library(new) if new else {}
+        room = MEMO_PIECES - len(self.memo)
+        self.memo.update(found)
+        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, c)), self.kind) for c in cut]
+        for k, p in enumerate(new):
+            if k >= room or len(p) > LONG_PIECE:
+                del self.memo[p]
         return out
 
 
