@@ -115,7 +115,7 @@ def texts(seed, count=150):
 @pytest.mark.parametrize("least, most, head", [(20, 2000, 1 << 18), (20, 5, 1 << 18), (3, 40, 4), (20, 2000, 0)])
 def test_phrases_equal_brute_force(spark, monkeypatch, least, most, head):
     """With every word held by workers, few, or none; runs and blocks of small sizes; ranges that cut phrases."""
-    for name, value in (("RUN_KEYS", 700), ("MOST_WORDS", 9), ("BLOCK_BYTES", 2000), ("RANGE_ROWS", 300)):
+    for name, value in (("RUN_KEYS", 700), ("MOST_WORDS", 9), ("BLOCK_BYTES", 2000), ("RANGE_ROWS", 300), ("SMALL", 0), ("SAMPLE", 0.3)):
         monkeypatch.setattr(collocations, name, value)
     docs = texts(5)
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5)
