@@ -129,6 +129,8 @@ def absorb(
         if choice[a] > -np.inf:
             into[b] = a
             room[a] -= size[b]
+    while (into[into] != into).any():  # whom a cluster went to may have gone on itself
+        into = into[into]
     return into
 
 

@@ -50,8 +50,8 @@ def home(stories: DataFrame) -> dict[str, DataFrame]:
         "most": global_and_regional(stories, order("breadth"), 8, 3, 2),
         "growing": global_and_regional(stories.where("state in ('new', 'surging')"), order("velocity"), 6, 3, 2),
         "elections": global_and_regional(stories.where(patterns.is_election(F.col("themes"))), order("breadth"), 6, 3, 1),
-        "disasters": global_and_regional(stories.where(patterns.first_label(F.col("title"), patterns.DISASTERS).isNotNull()), order("breadth"), 12, 5, 2),
-        "violence": global_and_regional(stories.where(patterns.violence_label(F.col("title")).isNotNull()), order("breadth"), 12, 5, 2),
+        "disasters": global_and_regional(stories.where(patterns.disaster_label(F.col("title"), F.col("themes")).isNotNull()), order("breadth"), 12, 5, 2),
+        "violence": global_and_regional(stories.where(patterns.violence_label(F.col("title"), F.col("themes")).isNotNull()), order("breadth"), 12, 5, 2),
     }
 
 

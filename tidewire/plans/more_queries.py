@@ -159,13 +159,17 @@ def title_gates(spark, sf_dir):
     return articles(spark, sf_dir).select("id", feeds.has(t, ["troops", "the", "clash"]).alias("armed"), ((F.length(t) <= 190) & (F.length(F.regexp_replace(t, "[^;]", "")) < 3)).alias("short"))
 
 
-@query(f"""SELECT event_id, CASE WHEN event_id % 4 >= 3 THEN ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY WHEN event_id % 4 = 2 THEN ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND event_type IN ('error', 'click') ELSE false END AS kept,
-  event_id % 3 <> 0 OR event_type = 'click' AS storm FROM events""")
+ADVICE = ["armed gangs near the border", "cyclone season begins", "security warning", "terrorism alert", "routine visa notice", "civil Unrest expected", "kidnapping risk"]
+
+
+@query(f"""WITH t AS (SELECT *, {ADVICE!r}[CAST(event_id % 7 AS INTEGER) + 1] AS title FROM events)
+SELECT event_id, CASE WHEN event_id % 4 >= 3 THEN ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY
+    WHEN event_id % 4 = 2 THEN ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND regexp_matches(lower(title), '\\b(terror|unrest|conflict|kidnap|armed|violence)\\b') ELSE false END AS kept,
+  event_id % 3 <> 0 OR contains(title, 'cyclone') AS storm FROM t""")
 def advisory_filter(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    title = F.when(F.col("event_type") == "error", "security warning").when(F.col("event_type") == "click", "cyclone").otherwise("calm")
+    title = F.element_at(F.array(*map(F.lit, ADVICE)), (F.col("event_id") % len(ADVICE) + 1).cast("int"))
     level = F.when(F.col("event_id") % 3 == 0, "Green").otherwise("Red")
-    return e.select("event_id", feeds.advisory_gate(F.col("event_id") % 4, F.col("ts"), title, now()).alias("kept"), feeds.storm_gate(level, title).alias("storm"))
+    return read(spark, sf_dir, "events").select("event_id", feeds.advisory_gate(F.col("event_id") % 4, F.col("ts"), title, now()).alias("kept"), feeds.storm_gate(level, title).alias("storm"))
 
 
 @query("""WITH t AS (SELECT event_id, ['daily news', 'weather today', 'election result', 'harbour'][CAST(event_id % 4 AS INTEGER) + 1] AS term, CASE WHEN event_id % 5 = 0 THEN 'Headline' END AS news FROM events)
@@ -188,13 +192,17 @@ def outlet_ratings(spark, sf_dir):
     return catalog.rate(s, r).select("id", "bias", "alignment")
 
 
-@query("""WITH b(id, label, weight, kw) AS (VALUES ('trade', 'Trade', 1.0, ['tariff']), ('unrest', 'Unrest', 0.9, ['riot'])), e(id, label, weight, kw) AS (VALUES ('trade', NULL, 0.5, ['export', 'tariff']), ('water', 'Water', 0.7, ['dam']))
-SELECT coalesce(b.id, e.id) AS id, coalesce(e.label, b.label) AS label, CAST(coalesce(e.weight, b.weight) AS DOUBLE) AS weight,
-  CASE coalesce(b.id, e.id) WHEN 'trade' THEN 'tariff,export' WHEN 'unrest' THEN 'riot' ELSE 'dam' END AS keywords FROM b FULL JOIN e ON e.id = b.id""")
+@query("""WITH b AS (SELECT event_type AS id, event_type AS label, CAST(count(*) AS DOUBLE) AS weight, list_sort(list(DISTINCT 'w' || event_id % 5)) AS kw FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+e AS (SELECT CASE WHEN event_type = 'error' THEN 'fault' ELSE event_type END AS id, NULL AS label, CAST(max(event_id) AS DOUBLE) AS weight, list_sort(list(DISTINCT 'w' || event_id % 8)) AS kw FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY 1)
+SELECT coalesce(b.id, e.id) AS id, coalesce(e.label, b.label) AS label, coalesce(e.weight, b.weight) AS weight,
+  array_to_string(list_concat(coalesce(b.kw, []), list_filter(coalesce(e.kw, []), lambda w: NOT list_contains(coalesce(b.kw, []), w))), ',') AS keywords FROM b FULL JOIN e ON e.id = b.id""")
 def theme_merge(spark, sf_dir):
-    schema = "id string, label string, weight double, category string, keywords array<string>"
-    b = spark.createDataFrame([("trade", "Trade", 1.0, None, ["tariff"]), ("unrest", "Unrest", 0.9, None, ["riot"])], schema)
-    e = spark.createDataFrame([("trade", None, 0.5, None, ["export", "tariff"]), ("water", "Water", 0.7, None, ["dam"])], schema)
+    ev, i = read(spark, sf_dir, "events"), F.col("event_id")
+    words = lambda n: F.sort_array(F.collect_set(F.concat(F.lit("w"), (i % n).cast("string")))).alias("keywords")
+    none = F.lit(None).cast("string")
+    b = ev.where("event_id % 2 = 0").groupBy(F.col("event_type").alias("id")).agg(F.first("event_type").alias("label"), F.count("*").cast("double").alias("weight"), F.first(none).alias("category"), words(5))
+    e = ev.where("event_id % 2 = 1 AND event_type <> 'click'").groupBy(F.when(F.col("event_type") == "error", "fault").otherwise(F.col("event_type")).alias("id"))
+    e = e.agg(F.first(none).alias("label"), F.max(i).cast("double").alias("weight"), F.first(none).alias("category"), words(8))
     return catalog.merged_themes(b, e).select("id", "label", "weight", F.array_join("keywords", ",").alias("keywords"))
 
 
@@ -272,7 +280,35 @@ def trend_badges(spark, sf_dir):
     return scored(spark, sf_dir).select("story_id", text.trend("last_24h", "articles").alias("trend"))
 
 
-@query()
+#: The home page's lists: rows, what leads, places in all, of a region, of a country.
+HOME = {
+    "most": ("true", "breadth", 8, 3, 2), "growing": ("state = 'surging'", "velocity", 6, 3, 2), "elections": ("id % 7 = 0", "breadth", 6, 3, 1),
+    "disasters": ("id % 11 = 0", "breadth", 12, 5, 2), "violence": ("id % 13 = 0 AND id % 11 <> 0", "breadth", 12, 5, 2),
+}
+
+
+def _home_sql(name: str) -> str:
+    rows, by, places, region, country = HOME[name]
+    order = f"{by} DESC, score DESC, id"
+    return f"""{name}_i AS (SELECT * FROM story WHERE {rows}),
+{name}_a AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY {order}) AS c FROM {name}_i),
+{name}_f AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM {name}_a WHERE c <= (SELECT CASE WHEN count(DISTINCT country) >= {places} THEN 1 ELSE {country} END FROM {name}_i)),
+{name}_g AS (SELECT * FROM {name}_f WHERE place <= {places}), {name}_t AS (SELECT country, count(*) AS n FROM {name}_g GROUP BY 1),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY {order}) AS c FROM {name}_i WHERE id NOT IN (SELECT id FROM {name}_g)),
+{name}_s AS (SELECT r.*, row_number() OVER (PARTITION BY region ORDER BY {order}) AS rr FROM {name}_r r LEFT JOIN {name}_t t USING (country) WHERE r.c <= {country} - coalesce(t.n, 0)),
+{name} AS (SELECT '{name}' AS list, id, place FROM {name}_g UNION ALL SELECT '{name}', id, {places} + row_number() OVER (ORDER BY {order}) FROM {name}_s WHERE rr <= {region})"""
+
+
+@query(f"""WITH base AS (
+  SELECT c_custkey AS id, n_name AS country, r_name AS region, c_acctbal AS score, c_custkey % 50 + 1 AS n, c_custkey % 9 AS h, c_custkey % 60 + 1 AS k,
+    c_custkey % 4 AS dom, c_custkey % 3 AS abroad, c_custkey % 2 AS intl, CASE WHEN c_custkey % 5 = 0 THEN 'surging' ELSE 'steady' END AS state
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+day AS (SELECT *, least(CAST(n AS DOUBLE), CAST(h * n AS DOUBLE) / greatest(1, k)) AS d FROM base),
+story AS (SELECT *, least(n, 15.0::DOUBLE) / 15.0::DOUBLE + 0.12::DOUBLE * log2(1 + greatest(0.0::DOUBLE, n - 15.0::DOUBLE)) + CASE WHEN dom >= 2 THEN 0.12::DOUBLE ELSE 0 END
+    + CASE WHEN (dom > 0)::INT + (abroad > 0)::INT + (intl > 0)::INT >= 2 THEN 0.08::DOUBLE ELSE 0 END AS breadth,
+    least(d, 15.0::DOUBLE) / 15.0::DOUBLE + 0.12::DOUBLE * log2(1 + greatest(0.0::DOUBLE, d - 15.0::DOUBLE)) AS velocity FROM day),
+{", ".join(map(_home_sql, HOME))}
+{" UNION ALL ".join(f"SELECT * FROM {name}" for name in HOME)}""")
 def home_lists(spark, sf_dir):
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     i = c.join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(r), F.col("r_regionkey") == F.col("n_regionkey"))
@@ -284,6 +320,6 @@ def home_lists(spark, sf_dir):
     lists = views.home(stories.breadth(s, F.lit(15.0)))
     out = None
     for name, df in lists.items():
-        part = df.select(F.lit(name).alias("list"), "id", "place")
+        part = df.select(F.lit(name).alias("list"), "id", F.col("place").cast("long").alias("place"))
         out = part if out is None else out.unionByName(part)
     return out
