@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .graph import small
 
 
 def assign_desks(events: DataFrame, desks: DataFrame) -> DataFrame:
     """(event_id, desk, priority): one desk per event; a primary name in the place, a regional one, the country in the title."""
     hit = lambda c, p: F.coalesce(F.regexp_like(F.col(c), F.col(p)), F.lit(False))
-    met = events.join(F.broadcast(desks), F.regexp_like("blob", F.col("any_re")))  # desks are a catalog of about a hundred rows
+    met = events.join(small(desks), F.regexp_like("blob", F.col("any_re")))  # desks are a catalog of about a hundred rows
     prio = F.when(hit("place", "primary_re"), 3).when(hit("place", "regional_re"), 2).when(hit("title", "country_re"), 1).otherwise(0)
     w = Window.partitionBy("event_id").orderBy(F.desc("priority"), "desk")
     return met.withColumn("priority", prio).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select("event_id", "desk", "priority")

@@ -26,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text that a broadcast may have.
+FEW_ROWS, FEW_BYTES = 500_000, 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast where its rows and the bytes of its strings are within bounds; a shuffled join else."""
+    text = [c for c, kind in df.dtypes if kind == "string"]
+    size = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text), F.lit(0))
+    n, held = df.agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= FEW_ROWS and held <= FEW_BYTES else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): the smallest node of each component. Nodes without an edge don't occur."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

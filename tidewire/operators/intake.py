@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import terms, text
+from .graph import cut, small
 
 
 def due_feeds(feeds: DataFrame, now: Column) -> DataFrame:
@@ -23,8 +24,10 @@ def with_link(items: DataFrame) -> DataFrame:
 def mentioned(items: DataFrame, mentions: DataFrame) -> DataFrame:
     """Items of international sources only where title or lead match the country's pattern (``mentions``: country, pattern)."""
     told = F.concat_ws(" ", "title", "lead")
-    rows = items.join(mentions, "country", "left")
-    return rows.where((F.col("scope") != "international") | F.coalesce(F.regexp_like(told, F.col("pattern")), F.lit(False))).drop("pattern")
+    own = mentions.groupBy("country").agg(F.collect_list("pattern").alias("__patterns"))  # a row a country, so no item comes twice
+    rows = items.join(own, "country", "left")
+    hit = F.exists("__patterns", lambda p: F.regexp_like(told, p))
+    return rows.where((F.col("scope") != "international") | F.coalesce(hit, F.lit(False))).drop("__patterns")
 
 
 def source_of(events: DataFrame, sources: DataFrame, prefix: str = "gdelt:") -> DataFrame:
@@ -36,19 +39,29 @@ def source_of(events: DataFrame, sources: DataFrame, prefix: str = "gdelt:") ->
     return rows.withColumn("source_id", F.coalesce("s.id", F.concat(F.lit(prefix), "domain"))).drop("s")
 
 
+#: Fixed value: an organisation whose name has a neighbour's; its titles concern that desk only if they name it otherwise.
+ELSEWHERE = ("lebanon", "kataib hezbollah", ("lebanon", "beirut"))
+
+
 def desks_of(events: DataFrame, desks: DataFrame) -> DataFrame:
     """(id, desk): every desk whose names the title has, or whose names the place has and any of whose terms the title has.
 
-    ``desks``: desk, names and terms, arrays of words in lower case (names are terms as well); titles and places are
-    taken word by word, so that this is a join on words, not of every event with every desk.
+    ``desks``: desk, names and terms, arrays of terms of one or more words (names are terms as well). One automaton finds
+    the terms of all desks in a text (``functions.terms``), so no event meets a desk that it doesn't name.
     """
-    flat = lambda c, kind: desks.select("desk", F.explode(c).alias("word")).distinct().withColumn("kind", F.lit(kind))
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    title = events.select("id", F.explode(words("title")).alias("word"))
-    place = events.select("id", F.explode(words("place")).alias("word"))
-    by = lambda e, d: e.join(d, "word").select("id", "desk").distinct()
-    named, told = by(title, flat("names", "name")), by(title, flat(F.concat("names", "terms"), "term"))
-    return named.unionByName(by(place, flat("names", "name")).join(told, ["id", "desk"])).distinct()
+    flat = lambda c, kind: desks.select("desk", F.explode(c).alias("term")).distinct().withColumn("kind", F.lit(kind))
+    catalog = cut(flat("names", "name").unionByName(flat("terms", "term")).withColumn("number", F.monotonically_increasing_id()))
+    texts = events.select("id", F.explode(F.array(F.struct(F.lit("title").alias("where"), F.col("title").alias("text")), F.struct(F.lit("place").alias("where"), F.col("place").alias("text")))).alias("x"))
+    texts = texts.select(F.struct("id", F.col("x.where").alias("where")).alias("at"), F.col("x.text").alias("text"))
+    desk, but, unless = ELSEWHERE
+    low = F.lower("text")
+    texts = texts.withColumn("not_here", F.coalesce(F.contains(low, F.lit(but)) & ~F.contains(low, F.lit(unless[0])) & ~F.contains(low, F.lit(unless[1])), F.lit(False)))
+    texts = texts.select(F.struct("at.id", "at.where", "not_here").alias("at"), "text")
+    met = terms.found_terms(texts, catalog, "at").join(small(catalog.select("number", "desk", "kind")), "number")
+    met = met.where(~((F.lower("desk") == desk) & F.col("at.not_here") & (F.col("kind") == "name")))
+    at = lambda where, *kinds: F.max((F.col("at.where") == where) & F.col("kind").isin(*kinds))
+    told = met.groupBy("at.id", "desk").agg(at("title", "name").alias("named"), at("title", "name", "term").alias("told"), at("place", "name").alias("here"))
+    return told.where("named or here and told").select("id", "desk")
 
 
 def candidates(events: DataFrame, most: int = 55) -> DataFrame:

@@ -42,16 +42,21 @@ def event_sources(spark, sf_dir):
     return intake.source_of(p, s).select("id", "source_id")
 
 
-DESKS = [("north", ["the", "and"], ["is"]), ("south", ["der", "die"], ["und", "von"]), ("west", ["le", "la"], ["de", "les"])]
-_LIST = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
+DESKS = [("north", ["the", "South Korea"], ["is", "Seoul"]), ("south", ["der", "die", "new Zealand"], ["und", "von"]), ("west", ["le", "la", "côte d'ivoire"], ["de", "les"]), ("east", ["日本"], ["東京"])]
+PLACES = ["", " In South  Korea", " south korea: talks", " Southkorea", " New Zealand's", " the Côte d'Ivoire", " 在日本的", " Seoul_"]
+_ANY = lambda words: "(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(w.lower() for w in words).replace("'", "''") + ")(?:[^\\p{L}\\p{N}_]|$)"
+_HAS = lambda c, words: f"contains({c}, '{words[0]}')" if words[0] in ("日本", "東京") else f"regexp_matches({c}, '{_ANY(words)}')"
+_QUOTED = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PLACES) + "]"
+_EITHER = lambda c, n, t: f"({_HAS(c, n)} OR {_HAS(c, t)})"
 
 
-@query(f"""WITH {ARTICLE}, d AS (SELECT * FROM (VALUES {", ".join(f"('{d}', {_LIST(n)}, {_LIST(n + t)})" for d, n, t in DESKS)}) AS d(desk, names, terms)),
-w AS (SELECT id, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+') AS t, regexp_extract_all(lower(coalesce(lead, '')), '[\\p{{L}}\\p{{N}}]+') AS p FROM article)
-SELECT id, desk FROM w, d WHERE list_has_any(t, names) OR (list_has_any(p, names) AND list_has_any(t, terms))""")
+@query(f"""WITH {ARTICLE}, w AS (SELECT id, lower(title || {_QUOTED}[CAST(id % {len(PLACES)} AS INTEGER) + 1]) AS t, lower(coalesce(lead, '') || {_QUOTED}[CAST(id % 5 AS INTEGER) + 1]) AS p FROM article)
+{" UNION ALL ".join(f"SELECT id, '{d}' AS desk FROM w WHERE {_HAS('t', n)} OR ({_HAS('p', n)} AND {_EITHER('t', n, t)})" for d, n, t in DESKS)}""")
 def event_desks(spark, sf_dir):
     d = spark.createDataFrame(DESKS, "desk string, names array<string>, terms array<string>")
-    return intake.desks_of(articles(spark, sf_dir).select("id", "title", F.col("lead").alias("place")), d)
+    place = lambda n: F.element_at(F.array(*map(F.lit, PLACES)), (F.col("id") % n + 1).cast("int"))
+    a = articles(spark, sf_dir).select("id", F.concat("title", place(len(PLACES))).alias("title"), F.concat(F.coalesce("lead", F.lit("")), place(5)).alias("place"))
+    return intake.desks_of(a, d)
 
 
 @query("SELECT event_id AS id FROM events ORDER BY event_id % 4 = 0 DESC, event_type IN ('click', 'view') DESC, CAST(ts AS DATE) DESC, event_id LIMIT 55")
