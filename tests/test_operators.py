@@ -309,6 +309,7 @@ def test_robots_and_status(spark):
 
 
 def test_streams(spark, tmp_path):
+    streaming.needs_rocksdb(spark)
     t = dt.datetime(2024, 1, 1)
     rows = [(f"https://x.org/{k % 3}?utm_source={k}", t + dt.timedelta(minutes=k)) for k in range(9)]
     spark.createDataFrame(rows, "url string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -24,16 +24,25 @@ def state(curr: Column, prev: Column) -> Column:
     )
 
 
+#: What ``compared`` says of each story.
+STORY_DELTA = ["story_id", "curr", "prev", "net", "ratio", "state", "velocity_z", "scope_shift", "state_share_curr", "state_share_prev", "state_surge", "state_recede"]
+
+
 def story_deltas(members: DataFrame, now: str, days: int = 7) -> DataFrame:
     """Per story: curr, prev, net, ratio, state, velocity_z, scope_shift, shares of state outlets and their surge.
 
     ``members``: story_id, at, similarity, scope, state_outlet.
     """
-    p = members.withColumn("p", period(F.col("at"), now, days)).where("p is not null")
+    rows = members.withColumn("p", period(F.col("at"), now, days)).where("p is not null")
+    return compared(rows, ["story_id"]).select(*STORY_DELTA)
+
+
+def compared(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Rows of both windows (p: curr or prev) compared per group: one aggregation, in batch as on a stream."""
     core = F.col("similarity") >= 0.93
     when = lambda name, c=F.lit(True): F.count_if((F.col("p") == name) & c)
     share = lambda name: F.round(F.coalesce(when(name, core & F.col("state_outlet")) / F.nullif(when(name, core), F.lit(0)), F.lit(0.0)), 2)
-    out = p.groupBy("story_id").agg(
+    out = rows.groupBy(*more, *by).agg(
         when("curr").alias("curr"), when("prev").alias("prev"),
         when("prev", F.col("scope") == "domestic").alias("pd"), when("curr", F.col("scope") == "international").alias("ci"),
         when("curr", F.col("scope") == "abroad_local").alias("ca"), when("curr", core).alias("cc"), when("prev", core).alias("cp"),
@@ -43,12 +52,12 @@ def story_deltas(members: DataFrame, now: str, days: int = 7) -> DataFrame:
     enough = (F.col("cc") >= 4) & (F.col("cp") >= 4)
     moved = F.round(F.col("state_share_curr") - F.col("state_share_prev"), 2)
     net = F.col("curr") - F.col("prev")
-    return out.select(
-        "story_id", "curr", "prev", net.alias("net"), F.round(F.col("curr") / F.greatest(F.lit(1), F.col("prev")), 2).alias("ratio"),
-        state(F.col("curr"), F.col("prev")).alias("state"), F.round(net / F.sqrt(F.greatest(F.lit(1), F.col("prev"))), 2).alias("velocity_z"),
-        F.when(home_only & (F.col("ci") > 0), "international_pickup").when(home_only & (F.col("ca") > 0), "diaspora_pickup").alias("scope_shift"),
-        "state_share_curr", "state_share_prev", (enough & (moved >= 0.3)).alias("state_surge"), (enough & (moved <= -0.3)).alias("state_recede"),
-    )
+    return out.withColumns({
+        "net": net, "ratio": F.round(F.col("curr") / F.greatest(F.lit(1), F.col("prev")), 2), "state": state(F.col("curr"), F.col("prev")),
+        "velocity_z": F.round(net / F.sqrt(F.greatest(F.lit(1), F.col("prev"))), 2),
+        "scope_shift": F.when(home_only & (F.col("ci") > 0), "international_pickup").when(home_only & (F.col("ca") > 0), "diaspora_pickup"),
+        "state_surge": enough & (moved >= 0.3), "state_recede": enough & (moved <= -0.3),
+    })
 
 
 def agenda(rows: DataFrame, now: str, days: int = 7, categories: list[str] | None = None) -> DataFrame:

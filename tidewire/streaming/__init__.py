@@ -1,15 +1,15 @@
-"""Continuous ingestion: idempotent articles, daily volumes, feed backoff."""
+"""Continuous ingestion: idempotent articles, volumes, windows compared as they run; state that ends by itself is in ``keyed``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
+from ..operators import delta
+from .keyed import carried_over, feed_states, needs_rocksdb, polled, retained
+
+__all__ = ["backoff", "carried_over", "feed_states", "needs_rocksdb", "polled", "retained", "story_deltas", "unique_articles", "unique_titles", "volumes"]
 
 
 def unique_articles(stream: DataFrame, late: str = "7 days") -> DataFrame:
@@ -35,17 +35,16 @@ def backoff(errors: Column, now: Column) -> Column:
     return F.when(errors >= 3, now + F.make_dt_interval(F.lit(0), hours))
 
 
-def feed_states(polls: DataFrame) -> DataFrame:
-    """Running state per feed from polls (feed, at, ok): errors in a row and the time of the next poll."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors = state.get[0] if state.exists else 0
-        out = []
-        for p in sorted((r for b in batches for r in b.itertuples()), key=lambda r: r.at):
-            errors = 0 if p.ok else errors + 1
-            wait = min(48, 6 * 2 ** (errors - 3)) if errors >= 3 else 0
-            out.append((key[0], p.at, errors, p.at + pd.Timedelta(hours=wait) if wait else pd.NaT))
-        state.update((errors,))
-        yield pd.DataFrame(out, columns=["feed", "at", "errors", "retry_after"])
+def story_deltas(stream: DataFrame, days: int = 7, every: str | None = None, late_days: int = 2) -> DataFrame:
+    """``delta.story_deltas`` as a stream runs: per ``as_of`` (the end of a window of ``days``, one each ``every``) and
+    story the window compared with the one before it.
 
-    return polls.groupBy("feed").applyInPandasWithState(step, "feed string, at timestamp, errors int, retry_after timestamp", "errors int", "append", GroupStateTimeout.NoTimeout)
+    ``stream``: story_id, at, similarity, scope, state_outlet. A row counts in the windows it lies in, and in those that
+    begin where they end: it is sent twice, the second time moved on by a window, so that both counts of a comparison
+    meet in one state and a late row corrects both. In update mode a comparison comes again when it changes.
+    """
+    copies = F.explode(F.array(F.struct(F.lit("curr").alias("p"), F.col("at").alias("t")), F.struct(F.lit("prev").alias("p"), (F.col("at") + F.make_dt_interval(F.lit(days))).alias("t"))))
+    rows = stream.select("*", copies.alias("__x")).select("story_id", "similarity", "scope", "state_outlet", "__x.p", "__x.t")
+    rows = rows.withWatermark("t", f"{days + late_days} days")  # copies are ahead of the rows by a window
+    width = f"{days} days"
+    return delta.compared(rows, ["story_id"], F.window("t", width, every or width).alias("window")).select(F.col("window.end").alias("as_of"), *delta.STORY_DELTA)
