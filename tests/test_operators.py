@@ -377,3 +377,72 @@ def test_http_source(spark):
     server.shutdown()
     assert (got["/a"].status, bytes(got["/a"].body), got["/a"].etag) == (200, b"hello", "v1")
     assert got["/b"].status == 304 and got["/gone"].status == 404 and got["http://127.0.0.1:1/none"].status == 0
+
+
+def test_conflicts_merge_once(spark):
+    from tidewire.operators import events
+
+    ev = [(1, "Clash in Alpha", "Alpha City", "https://www.Paper.al/a?utm_source=z", None, "Paper", None), (2, "again", "Alpha City", "https://paper.al/a", "t" * 300, None, None),
+          (3, "Far", "Beta", "https://paper.al/b", "short", None, "lead"), (4, "Nobody", "Nowhere", "https://paper.al/c", None, None, None), (5, "Alpha", "", "no address", None, None, None), (6, "Alpha", "", "https://known.org/x", "t" * 201, None, None)]
+    df = spark.createDataFrame(ev, "event_id long, title string, place string, url string, text string, site string, lead string")
+    df = df.withColumn("at", F.lit(dt.datetime(2024, 1, 1))).withColumn("blob", F.concat_ws(" ", "place", "title"))
+    desks = spark.createDataFrame([("alpha", "(?i)alpha", "(?i)alpha city", None, "(?i)alpha", "al"), ("beta", "(?i)beta", "(?i)beta", None, "(?i)beta", "be")], "desk string, any_re string, primary_re string, regional_re string, country_re string, geo string")
+    outlets = spark.createDataFrame([("alpha", 0, "k", "https://known.org/", "hu", "abroad_local")], "country string, place int, id string, homepage string, language string, scope string")
+    s_kind = "id string, name string, homepage string, language string, scope string, bias string, alignment string, factuality string"
+    a_kind = "url string, source_id string, country string, title string, lead string, text string, language string, at timestamp, status string, relevant boolean"
+    sources = spark.createDataFrame([("k", "Known", "https://known.org/", "hu", "abroad_local", "left", "x", "y"), ("gdelt:paper.al", "Old", "https://paper.al", "sq", "international", "right", None, "high")], s_kind)
+    articles = spark.createDataFrame([("https://paper.al/b", "p", "beta", "T", "", None, "sq", None, "pending", False), ("https://other.org/", "p", "beta", "T", "", "text", "sq", None, "ok", None)], a_kind)
+    ratings = spark.createDataFrame([(1, "Paper", "center", "independent", "mixed")], "ord int, name string, bias string, alignment string, factuality string")
+    got = events.merge_conflicts(df, desks, outlets, sources, articles, ratings)
+    s = {r.id: r for r in got[0].collect()}
+    assert sorted(s) == ["gdelt:paper.al", "k"] and s["k"].scope == "abroad_local" and s["k"].bias == "left"
+    assert (s["gdelt:paper.al"].scope, s["gdelt:paper.al"].name, s["gdelt:paper.al"].bias) == ("domestic", "Old", "center")
+    told = {r.url: (r.source_id, r.country, r.status, len(r.text or ""), r.relevant) for r in got[1].collect()}
+    assert told == {"https://www.paper.al/a": ("gdelt:paper.al", "alpha", "pending", 0, True), "https://paper.al/a": ("gdelt:paper.al", "alpha", "ok", 300, True),
+                    "https://paper.al/b": ("p", "beta", "ok", 5, True), "https://other.org/": ("p", "beta", "ok", 4, False), "https://known.org/x": ("k", "alpha", "ok", 201, True)}
+    again = events.merge_conflicts(df, desks, outlets, *got, ratings)
+    for before, after in zip(got, again):
+        assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
+
+
+def test_terms_in_one_pass(spark, monkeypatch):
+    from tidewire.functions import terms
+
+    rows = [(1, "South Korea's talks"), (2, "southkorea"), (3, "在南韓的"), (4, "Côte d'Ivoire, Seoul"), (5, None), (6, ""), (7, "A_seoul seoul_ seoul2"), (8, "韓Seoul韓 and south korea")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    catalog = spark.createDataFrame([(0, "south korea"), (1, "南韓"), (2, "SEOUL"), (3, "côte d'ivoire"), (4, "korea"), (5, "seoul"), (6, None), (7, " ")], "number long, term string")
+    want = [(1, 0), (1, 4), (3, 1), (4, 2), (4, 3), (4, 5), (8, 0), (8, 2), (8, 4), (8, 5)]
+    assert sorted(map(tuple, terms.found_terms(texts, catalog).collect())) == want
+    for c in (t for _, t in catalog.collect() if t and t.strip()):  # as the patterns of single terms say
+        by_pattern = {r.id for r in texts.where(F.col("text").rlike(patterns.any_term([c]))).collect()}
+        numbers = {r.number for r in catalog.collect() if r.term == c}
+        assert by_pattern == {i for i, n in want if n in numbers}
+    monkeypatch.setattr(terms, "MOST_TERMS", 2)  # several passes
+    assert sorted(map(tuple, terms.found_terms(texts, catalog).collect())) == want
+    assert terms.found_terms(texts, catalog.limit(0)).count() == 0
+
+
+def test_nearest_centres_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(size=(60, 5)), rng.normal(size=(17, 5))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[9] = c[4]
+    rows = spark.createDataFrame([(k, "ab"[k % 2], x[k].tolist()) for k in range(60)] + [(99, "a", None), (98, "z", [1.0] * 5), (97, None, [1.0] * 5)], "id long, country string, vector array<double>")
+    centres = spark.createDataFrame([(k, "ab"[k % 3 == 0], c[k].tolist()) for k in range(17)], "story_id long, country string, centre array<double>")
+    want = {}
+    for k in range(60):
+        best = max((round(float(x[k] @ c[j]), 9), -j) for j in range(17) if "ab"[j % 3 == 0] == "ab"[k % 2])
+        want[k] = (-best[1], best[0])
+    for blocks in ((4096, 1024), (7, 3)):
+        monkeypatch.setattr(stories, "ROW_BLOCK", blocks[0])
+        monkeypatch.setattr(stories, "CENTRE_BLOCK", blocks[1])
+        assert {r.id: (r.story_id, round(r.sim, 9)) for r in stories.nearest_centres(rows, centres).collect()} == want
+
+
+def test_absorbed_clusters_follow_the_chain(spark):
+    turn = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    x = np.array([turn(0), turn(24), turn(48)])
+    assert clustering.absorb(x, x, np.array([1, 2, 3]), np.zeros(3), np.zeros(3), np.zeros(3, bool), 0.895, 10).tolist() == [2, 2, 2]
+    rows = [(k, "hu", f"2024-01-01 0{k}:00:00", turn(d)) for k, d in enumerate((0, 24, 24, 48, 48, 48))]
+    df = spark.createDataFrame(rows, "id long, country string, at string, vector array<double>").withColumn("at", F.to_timestamp("at"))
+    assert {r.id for r in clustering.assemble(df, clustering.cluster(df)).collect()} == set(range(6))

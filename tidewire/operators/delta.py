@@ -70,3 +70,26 @@ def agenda(rows: DataFrame, now: str, days: int = 7, categories: list[str] | Non
     out = out.crossJoin(F.broadcast(total))  # one row
     part = lambda c, t: 100.0 * F.col(c) / F.greatest(F.lit(1), F.col(t))
     return out.select("category", "curr", "prev", (F.col("curr") - F.col("prev")).alias("net"), F.round(part("curr", "tc"), 1).alias("share_pct"), F.round(part("curr", "tc") - part("prev", "tp"), 1).alias("share_delta_pct"))
+
+
+def with_prior_matches(members: DataFrame, matches: DataFrame, now: str, days: int = 7, least: float = 0.895, core: float = 0.91) -> DataFrame:
+    """``members`` (story_id, id, at, similarity, scope, state_outlet) with the earlier window's rows that are near a story.
+
+    ``matches``: story_id, id, sim, at, scope, state_outlet of rows of the window before. Those of ``least`` similarity
+    join their story's earlier window, unless it has them already; from ``core`` on they count among its core.
+    """
+    names = ["story_id", "id", "at", "similarity", "scope", "state_outlet"]
+    has = members.where(period(F.col("at"), now, days) == "prev").select("story_id", "id")
+    new = matches.where((F.col("sim") >= least) & (period(F.col("at"), now, days) == "prev")).dropDuplicates(["story_id", "id"])
+    new = new.join(has, ["story_id", "id"], "left_anti").withColumn("similarity", F.when(F.col("sim") >= core, 0.93).otherwise(0.9))
+    return members.select(*names).unionByName(new.select(*names))
+
+
+def prior_categories(prior: DataFrame, matches: DataFrame, least: float = 0.86) -> DataFrame:
+    """(country, category, n) of the window before: a row (id, country, story_category, hint) counts for its story's
+    category, else for that of the story it is near (``matches``: id, category, sim), else for its feed's hint, else as other."""
+    near = matches.where(F.col("sim") >= least).groupBy("id").agg(F.max_by("category", F.struct("sim", "category")).alias("near"))
+    known = lambda c: F.when(F.col(c).isin(CATEGORIES), F.col(c))
+    first = F.coalesce("story_category", "near", known("hint"))
+    rows = prior.join(near, "id", "left").withColumn("category", F.when(first.isin(CATEGORIES), first).otherwise("other"))
+    return rows.groupBy("country", "category").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from . import catalog
 from .graph import small
 
 
@@ -84,3 +85,67 @@ def pack_batches(desks: DataFrame, max_desks: int = 6, max_items: int = 18) -> D
         return pd.DataFrame(out, columns=["desk", "batch"])
 
     return desks.groupBy().applyInPandas(pack, f"desk {desks.schema['desk'].dataType.simpleString()}, batch int")
+
+
+#: Length of a text from which on an article counts as read.
+READ = 200
+
+
+def merge_conflicts(events: DataFrame, desks: DataFrame, outlets: DataFrame, sources: DataFrame, articles: DataFrame, ratings: DataFrame | None = None, prefix: str = "gdelt:") -> tuple[DataFrame, DataFrame]:
+    """(sources, articles) once conflict events are in them; another run with the same events changes nothing.
+
+    ``events``: event_id, title, place, blob, url, at, site, lead, text. ``desks`` as ``assign_desks`` has them, with geo;
+    ``outlets``: country, place, id, homepage, language, scope, the outlets that desks know. ``sources``: id, name, homepage,
+    language, scope, bias, alignment, factuality. ``articles``: url, source_id, country, title, lead, text, language, at, status,
+    relevant. Events go to one desk each; those of no desk or without an address's domain go. Of a known outlet that is among ``sources`` the article is
+    its own; others belong to a source that goes by the domain, which is new or merged column by column: the scope only
+    moves towards home, ratings are those that ``ratings`` (as ``catalog.rate`` takes them) give its outlet. An address enters once, by its first event (by event_id);
+    where it is known, its missing text is filled in and its status follows.
+    """
+    at_desk = assign_desks(events, desks.drop("geo")).join(desks.select("desk", "geo"), "desk")
+    rows = events.join(at_desk.select("event_id", F.col("desk").alias("country"), "geo"), "event_id").withColumn("url", text.clean_url("url"))
+    rows = rows.withColumn("domain", text.domain("url")).where("domain <> ''")
+    known = outlets.select("country", text.domain("homepage").alias("domain"), "place", F.struct("place", "id", "language", "scope").alias("o"))
+    known = known.groupBy("country", "domain").agg(F.min("o").alias("o"))
+    rows = rows.join(known, ["country", "domain"], "left")
+    there = sources.select(F.col("id").alias("__id"))
+    rows = rows.join(there, F.col("o.id") == F.col("__id"), "left").withColumn("own", F.col("__id").isNotNull()).drop("__id")
+    rows = rows.withColumn("source_id", F.when(F.col("own"), F.col("o.id")).otherwise(F.concat(F.lit(prefix), "domain"))).withColumn("language", F.coalesce("o.language", F.lit("en")))
+    geo = F.lower(F.coalesce("geo", F.lit("")))
+    at_home = (F.length(geo) == 2) & (F.endswith("domain", F.concat(F.lit("."), geo)) | F.contains(F.col("domain"), F.concat(F.lit("."), geo, F.lit("."))))
+    rows = rows.withColumn("scope", F.coalesce("o.scope", F.when(at_home, "domestic").otherwise("international")))
+    home = lambda c: F.when(F.col(c) == "domestic", 0).when(F.col(c) != "international", 1).otherwise(2)
+    found = rows.where(~F.col("own")).groupBy("source_id").agg(
+        F.min_by(F.struct(F.coalesce("site", "domain").alias("name"), F.concat(F.lit("https://"), "domain").alias("homepage"), "language"), "event_id").alias("n"),
+        F.min_by("scope", F.struct(home("scope"), "event_id")).alias("__scope"),
+    )
+    rated = ["bias", "alignment", "factuality"]
+    if ratings is None:
+        found = found.withColumns({f"__{c}": F.lit(None).cast("string") for c in rated})
+    else:
+        outlets_found = found.select(F.col("source_id").alias("id"), F.col("n.name").alias("name"), text.domain("n.homepage").alias("domain"), F.lit(False).alias("state_affiliated"))
+        given = catalog.rate(outlets_found, ratings).select(F.col("id").alias("source_id"), *(F.col(c).alias(f"__{c}") for c in rated))
+        found = found.join(given, "source_id", "left")
+    merged = sources.join(found, F.col("id") == F.col("source_id"), "full_outer")
+    nearer = F.col("scope").isNull() | (home("__scope") < home("scope"))
+    merged = merged.select(
+        F.coalesce("id", "source_id").alias("id"), *(F.coalesce(c, f"n.{c}").alias(c) for c in ("name", "homepage", "language")),
+        F.when(F.col("__scope").isNotNull() & nearer, F.col("__scope")).otherwise(F.col("scope")).alias("scope"),
+        *(F.when(F.col("id").isNull(), F.coalesce(f"__{c}", F.lit("unrated"))).otherwise(F.coalesce(f"__{c}", c)).alias(c) for c in rated),
+    )
+    has = F.col("text").isNotNull()
+    new = rows.groupBy(F.col("url").alias("__url")).agg(
+        F.min_by(F.struct("source_id", "country", "title", "lead", "text", "language", "at"), "event_id").alias("n"),
+        F.min_by(F.when(has, F.col("text")), F.when(has, F.col("event_id"))).alias("__text"),
+    )
+    out = articles.join(new, F.col("url") == F.col("__url"), "full_outer")
+    is_old, met = F.col("url").isNotNull(), F.col("__url").isNotNull()
+    entered = F.when(F.length("n.text") > READ, "ok").when(F.col("n.text").isNull() & F.col("__text").isNotNull(), "ok").otherwise("pending")
+    status = F.when(is_old & met & F.col("text").isNull() & F.col("__text").isNotNull(), "ok").when(is_old, F.col("status")).otherwise(entered)
+    plain = ["source_id", "country", "title", "language", "at"]
+    out = out.select(
+        F.coalesce("url", "__url").alias("url"), *(F.when(is_old, F.col(c)).otherwise(F.col(f"n.{c}")).alias(c) for c in plain),
+        F.when(is_old, F.col("lead")).otherwise(F.coalesce("n.lead", F.lit(""))).alias("lead"), F.coalesce("text", "__text").alias("text"),
+        status.alias("status"), (met | F.coalesce("relevant", F.lit(False))).alias("relevant"),
+    )
+    return merged, out.select(*articles.columns)

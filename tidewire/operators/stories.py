@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fixed
 from ..functions import patterns, vectors
+from .graph import cut
 
 
 def representative_bonus(r: dict[str, Column], has_domestic: Column) -> Column:
@@ -117,3 +121,37 @@ def breadth(stories: DataFrame, scale: Column) -> DataFrame:
     day = F.least(n.cast("double"), F.col("last_24h") * n / F.greatest(F.lit(1), F.col("articles")))
     fast = F.least(day, s.cast("double")) / s + 0.12 * F.log2(1 + F.greatest(F.lit(0.0), day - s))
     return stories.withColumn("breadth", wide).withColumn("velocity", fast)
+
+
+#: Rows and centres that meet in one task.
+ROW_BLOCK, CENTRE_BLOCK = 4096, 1024
+
+
+def nearest_centres(rows: DataFrame, centres: DataFrame, by: str = "country") -> DataFrame:
+    """(id, story_id, sim): of each row (id, ``by``, vector) the nearest centre (story_id, ``by``, centre) of its group.
+
+    Rows and centres of a group are dealt to blocks; a pair of blocks is one matrix product in one task, of which a row a
+    row is left. Nothing is broadcast, and a group of any size is many tasks. Unit vectors; rows and centres without a
+    vector go; similarities count to nine digits, equal ones go to the smaller story.
+    """
+    r = rows.where("vector is not null").select("id", F.col(by).alias("g"), F.col("vector").cast("array<double>").alias("v"))
+    c = centres.where("centre is not null").select("story_id", F.col(by).alias("g"), F.col("centre").cast("array<double>").alias("c"))
+    blocks = lambda d, n, name: d.groupBy("g").agg(F.ceil(F.count("*") / n).alias(name))
+    sizes = cut(blocks(r, ROW_BLOCK, "rows").join(blocks(c, CENTRE_BLOCK, "centres"), "g"))
+    deal = lambda d, key, own, other, i, j: d.join(sizes, "g").withColumn(i, F.pmod(F.xxhash64(key), F.col(own))).withColumn(j, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("rows", "centres")
+    r, c = deal(r, "id", "rows", "centres", "i", "j"), deal(c, "story_id", "centres", "rows", "j", "i")
+    kinds = {n: d.schema[n].dataType for d, n in ((rows, "id"), (centres, "story_id"))}
+    arrow = {n: to_arrow_type(k) for n, k in kinds.items()}
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table({"id": pa.array([], arrow["id"]), "story_id": pa.array([], arrow["story_id"]), "sim": pa.array([], pa.float64())})
+        b = b.sort_by("story_id")
+        sim = np.array(a.column("v").to_pylist()) @ np.array(b.column("c").to_pylist()).T
+        best = np.round(sim, 9).argmax(1)  # the first of equals
+        return pa.table({"id": a.column("id"), "story_id": b.column("story_id").take(pa.array(best)), "sim": pa.array(sim[np.arange(len(best)), best])})
+
+    keys = ["g", "i", "j"]
+    met = r.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(compare, f"id {kinds['id'].simpleString()}, story_id {kinds['story_id'].simpleString()}, sim double")
+    best = met.groupBy("id").agg(F.min_by(F.struct("story_id", "sim"), F.struct(-F.round("sim", 9), "story_id")).alias("b"))
+    return best.select("id", "b.story_id", "b.sim")

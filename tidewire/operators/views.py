@@ -92,6 +92,57 @@ def band_document(stories: DataFrame, members: DataFrame, quotes: DataFrame) ->
     return stories.join(a, "story_id", "left").join(q, "story_id", "left")
 
 
+#: How many articles of a story's three bands are listed.
+LISTED = {"core": 10, "close": 8, "broad": 6}
+
+
+def story_records(stories: DataFrame, members: DataFrame, quotes: DataFrame, edges: DataFrame, deltas: DataFrame, now: Column) -> DataFrame:
+    """Stories whole: counts of their core, who covers them and how that side stands, days, listed articles, quotations,
+    related stories and how the window compares with the one before.
+
+    ``stories``: story_id and what they have of their own; ``members``: story_id, id, at, similarity, title, url, source_id,
+    scope, kind, alignment, bias, factuality, syndicated_of; ``quotes``, ``edges``, ``deltas`` as ``excerpts.choose``,
+    ``related`` and ``delta.story_deltas`` have them. Core rows have a similarity of 0.93 or more; a story without any has
+    all rows as its core. What a story gathers is bounded: listed rows, labels, days. No window holds a whole story but
+    that of a band, which is cut to its listed rows before the shuffle.
+    """
+    sim = F.coalesce("similarity", F.lit(1.0))
+    rows = members.withColumn("similarity", sim)
+    some = rows.groupBy("story_id").agg(F.max(F.col("similarity") >= 0.93).alias("__some"))
+    rows = rows.join(some, "story_id").withColumn("core", (F.col("similarity") >= 0.93) | ~F.col("__some")).drop("__some")
+    core = F.col("core")
+    with_state = F.coalesce(F.col("alignment").isin("state_controlled", "pro_government") | (F.col("kind") == "official"), F.lit(False))
+    facts = rows.groupBy("story_id").agg(
+        F.count("*").alias("articles"),
+        F.greatest(F.lit(1), F.count_distinct(F.when(core & F.col("syndicated_of").isNull(), F.col("source_id")))).alias("independent"),
+        *(F.count_if(core & (F.col("scope") == s)).alias(s) for s in ("domestic", "abroad_local", "international")),
+        F.when(F.max(core & (F.col("kind") == "official")), "OFFICIAL").otherwise("REPORTED").alias("evidence"),
+        F.round(F.count_if(core & with_state) / F.count_if(core), 2).alias("state_share"),
+        F.count_if(core & (F.col("at") >= now - F.make_dt_interval(F.lit(1)))).alias("last_24h"),
+        F.min_by(F.when(core & F.col("at").isNotNull(), F.struct("source_id", "at")), F.when(core & F.col("at").isNotNull(), F.struct("at", "id"))).alias("first"),
+    )
+    count = lambda c, name: rows.where(core & F.col(c).isNotNull() & (F.col(c) != "unrated")).groupBy("story_id", F.col(c).alias("label")).agg(F.count("*").alias("n")).groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias(name))
+    days = rows.where(core & F.col("at").isNotNull()).groupBy("story_id", F.to_date("at").alias("day")).agg(F.count("*").alias("n"))
+    days = days.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("day", "n"))).alias("per_day"))
+    band = F.when(F.col("similarity") >= 0.93, "core").when(F.col("similarity") >= 0.85, "close").otherwise("broad")
+    copy = F.col("syndicated_of").isNotNull()
+    order = [copy.cast("int"), F.desc("similarity"), F.asc("at"), F.asc("id")]
+    listed = top_per(rows.withColumn("band", band), ["story_id", "band"], order, max(LISTED.values()))
+    listed = listed.where(F.col("rn") <= F.coalesce(*(F.when(F.col("band") == b, n) for b, n in LISTED.items())))
+    place = F.when(F.col("band") == "core", 0).when(F.col("band") == "close", 1).otherwise(2)
+    rated = lambda c: F.coalesce(c, F.lit("unrated")).alias(c)
+    one = F.struct(place.alias("part"), "rn", "id", "title", "url", "source_id", "scope", "at", copy.alias("copy"), F.round(F.col("similarity") * 100).cast("int").alias("sim"), *map(rated, ("bias", "alignment", "factuality")))
+    listed = listed.groupBy("story_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
+    said = quotes.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "sentence"))).alias("excerpts"))
+    near = related(edges, facts.select("story_id", "articles"))
+    near = near.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("rn", "other", "articles"))).alias("related"))
+    moved = deltas.select("story_id", F.struct(*(c for c in deltas.columns if c != "story_id")).alias("delta"))
+    out = stories.drop(*(c for c in facts.columns if c != "story_id")).join(facts, "story_id")
+    for part in (count("alignment", "alignment"), count("bias", "bias"), days, listed, said, near, moved):
+        out = out.join(part, "story_id", "left")
+    return out
+
+
 def related(edges: DataFrame, stories: DataFrame, most: int = 2) -> DataFrame:
     """Per story its closest related stories with their core size; edges are taken both ways."""
     both = edges.select(F.col("a").alias("story_id"), F.col("b").alias("other"), "sim").union(edges.select("b", "a", "sim"))

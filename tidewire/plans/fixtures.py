@@ -25,8 +25,8 @@ SCOPES, KINDS = ["domestic", "abroad_local", "international"], ["media", "wire",
 FACTS, SIMS = ["high", "mixed", "unrated", "very_high", "low"], [1.0, 0.95, 0.93, 0.9, 0.8]
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+def articles(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    d, i = read(spark, sf_dir, "documents") if docs is None else docs, F.col("doc_id")
     n = F.substring("source", 4, 9).cast("int")
     line = lambda k: F.split_part("text", F.lit("\n"), F.lit(k))
     return d.select(

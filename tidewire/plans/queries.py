@@ -597,14 +597,16 @@ def theme_policy(spark, sf_dir):
     return stories.theme_tags(x).select("story_id", F.round("policy", 6).alias("policy"), "themes")
 
 
-@query()
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives over all that is there, by way of Parquet in the shared folder; complete mode, or one batch."""
+    path = graph.shared_path(stream.sparkSession, "stream")
+    done = stream.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state")
+    done.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
 def volumes_stream(spark, sf_dir):
-    """The events as a stream: available files in one go, daily volumes in complete mode to a memory table."""
-    import uuid
-
-    schema = read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"volumes_{uuid.uuid4().hex}"
-    q = streaming.volumes(stream, "event_type").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """The events as a stream: available files in one go, daily volumes in complete mode."""
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return drained(streaming.volumes(stream, "event_type"), "complete").withColumn("value", F.round("value", 4))
