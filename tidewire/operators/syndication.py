@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from hashlib import md5
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -13,49 +15,85 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fixed
 from ..functions import patterns, text
+from .graph import cut
+
+
+_WORDS = re.compile(r"\w+").findall
+_PAIRED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]").search
+
+
+def content_words(content: str) -> list[str]:
+    """Lower-case words as ``text.words`` has them; those with Chinese or Japanese characters as their character pairs."""
+    found = _WORDS(content.lower())
+    if not _PAIRED(content):
+        return found
+    return [x for w in found for x in ([w[k : k + 2] for k in range(len(w) - 1)] if len(w) > 1 and _PAIRED(w) else [w])]
 
 
 def shingle_hashes(words: list[str], width: int = 8) -> np.ndarray:
     """Distinct hashes of the runs of ``width`` words: the first 64 bits of the md5, of which one in four is kept (those
-    that are divisible by 4)."""
+    that are divisible by 4). Runs are slices of the words written once."""
     if len(words) < width:
         return np.zeros(0, np.int64)
-    runs = (" ".join(words[k : k + width]).encode() for k in range(len(words) - width + 1))
-    h = np.frombuffer(b"".join(md5(r).digest()[:8] for r in runs), ">i8").astype(np.int64)
+    raw = [w.encode() for w in words]
+    whole, ends = b" ".join(raw), list(accumulate(len(w) + 1 for w in raw))
+    starts = [0, *ends]
+    h = np.frombuffer(b"".join([md5(whole[starts[k] : ends[k + width - 1] - 1]).digest()[:8] for k in range(len(words) - width + 1)]), ">i8").astype(np.int64)
     return np.unique(h[h & 3 == 0])
 
 
 def _hashed(df: DataFrame) -> DataFrame:
-    """``df`` (with ``words``, an array) with ``hashes`` in its place."""
-    names = [c for c in df.columns if c != "words"]
+    """``df`` (with ``content``) with ``hashes`` in its place."""
+    names = [c for c in df.columns if c != "content"]
 
     def run(batches):
         for b in batches:
-            lists = [shingle_hashes(w or []) for w in b.column("words").to_pylist()]
+            lists = [shingle_hashes(content_words(c or "")) for c in b.column("content").to_pylist()]
             offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), flat)], [*names, "hashes"])
 
-    return df.mapInArrow(run, df.drop("words").schema.add("hashes", T.ArrayType(T.LongType())))
+    return df.mapInArrow(run, df.drop("content").schema.add("hashes", T.ArrayType(T.LongType())))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores at least; a small input comes as one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def reprints(articles: DataFrame, least: int = 5, share: float = 0.6, wire_share: float = 0.35) -> DataFrame:
     """(id, syndicated_of, votes, n_hashes) of each article that reprints an earlier one.
 
     ``articles``: id, country, source_id, ord (time order), content, wire (the source is a wire or state outlet).
-    Articles of a country with the same hashes are one class, and only classes are joined on (country, hash): however
-    often a text is reprinted, it is one row there. Of a class an article takes the earliest member of another source:
-    the class's first, or the first that isn't of that one's source. The best class has most votes, then the earliest.
+    Articles of a country with the same hashes are one class, and only classes meet: however often a text is reprinted,
+    it is one row there. Of a class an article takes the earliest member of another source: the class's first, or the
+    first that isn't of that one's source. The best class has most votes, then the earliest.
+
+    A class whose hashes another has to a share s has one of its n - ceil(s n) + 1 rarest hashes in common with it, so
+    only these are looked up (with s the smaller of the two shares). Hashes of one class alone come first among the
+    rarest: a text of which too little occurs elsewhere is not looked up at all, nor is boilerplate that many texts
+    share, unless it is most of a text. The votes of pairs found so are counted over all hashes.
     """
-    rows = articles.select("id", "country", "source_id", "ord", "wire", patterns.matches(F.col("content"), fixed.WIRE_CREDITS).alias("credit"), text.words(F.col("content")).alias("words"))
-    rows = _hashed(rows).where(F.size("hashes") >= least).withColumn("class", F.xxhash64("country", "hashes"))
+    rows = _spread(articles).select("id", "country", "source_id", "ord", "wire", patterns.matches(F.col("content"), fixed.WIRE_CREDITS).alias("credit"), "content")
+    rows = cut(_hashed(rows).where(F.size("hashes") >= least).withColumn("class", F.xxhash64("country", "hashes")))
     member = F.struct("ord", "id", "source_id", "wire")
-    classes = rows.groupBy("country", "class").agg(F.min(member).alias("first"), F.max("ord").alias("last"), F.any_value("hashes").alias("hashes"))
+    classes = cut(rows.groupBy("country", "class").agg(F.min(member).alias("first"), F.max("ord").alias("last"), F.any_value("hashes").alias("hashes")))
     rows = rows.drop("hashes").join(classes.select("class", "first", F.size("hashes").alias("n_hashes")), "class")
     others = rows.where(F.col("source_id") != F.col("first.source_id")).groupBy("class").agg(F.min(member).alias("other"))
-    flat = classes.select("country", "class", "last", F.col("first.ord").alias("start"), F.explode("hashes").alias("h"))
+    flat = classes.select("country", "class", F.size("hashes").alias("n"), "last", F.col("first.ord").alias("start"), F.explode("hashes").alias("h"))
+    common = flat.groupBy("country", "h").agg(F.count("*").alias("held")).where("held > 1")
+    flat = cut(flat.join(common, ["country", "h"]))
+    rare = Window.partitionBy("class").orderBy("held", "h")
+    shared = F.count("*").over(Window.partitionBy("class"))
+    room = F.col("n") - F.ceil(F.col("n") * min(share, wire_share) - 1e-9) + 1 - (F.col("n") - shared)  # of the rarest, those that others have
+    asked = flat.withColumn("room", room).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("room"))
     of = flat.select("country", "h", F.col("class").alias("of"), F.col("start").alias("of_start"))
-    votes = flat.join(of, ["country", "h"]).where(F.col("of_start") < F.col("last")).groupBy("class", "of").agg(F.count("*").alias("votes"))
+    pairs = asked.select("country", "h", "class", "last").join(of, ["country", "h"]).where((F.col("of_start") < F.col("last")) & (F.col("of") != F.col("class"))).select("class", "of").distinct()
+    own, theirs = classes.select("class", F.col("hashes").alias("a")), classes.select(F.col("class").alias("of"), F.col("hashes").alias("b"))
+    votes = pairs.join(own, "class").join(theirs, "of").select("class", "of", F.size(F.array_intersect("a", "b")).cast("long").alias("votes"))
+    itself = classes.where(F.col("first.ord") < F.col("last")).select("class", F.col("class").alias("of"), F.size("hashes").cast("long").alias("votes"))
+    votes = votes.unionByName(itself)
     held = classes.select(F.col("class").alias("of"), F.col("first").alias("of_first")).join(others.select(F.col("class").alias("of"), "other"), "of", "left")
     met = rows.select("id", "source_id", "ord", "credit", "n_hashes", "class").join(votes, "class").join(held, "of")
     met = met.withColumn("a", F.when(F.col("of_first.source_id") != F.col("source_id"), F.col("of_first")).otherwise(F.col("other")))
