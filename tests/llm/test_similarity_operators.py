@@ -259,8 +259,41 @@ def test_splitting_tree_keeps_quotas():
     counts = np.bincount(shard, minlength=10)
     assert counts.min() >= 310 and np.ptp(counts) <= 2
     assert all((np.diff(shard[source == k]) >= 0).all() for k in range(4))  # runs of each source's permutation
-    big = [mixing._drawn(np.random.default_rng(k), 6 * 10**9, 4 * 10**9, 10**6) for k in range(200)]
-    assert abs(np.mean(big) - 600_000) < 200 and 350 < np.std(big) < 650
+    drawn = [mixing._drawn(np.random.default_rng(k), 600, 400, 100) for k in range(400)]
+    assert abs(np.mean(drawn) - 60) < 1 and 4 < np.std(drawn) < 5.5
+
+
+def test_blocks_grow_where_there_would_be_too_many(spark, monkeypatch):
+    """Every draw stays one that the library makes exactly: larger blocks, the same words of each source."""
+    rng = random.Random(17)
+    df = spark.createDataFrame([(k, text_of(rng, rng.randrange(1, 40)), "abc"[k % 3]) for k in range(2000)], "doc_id long, text string, source string")
+    taken = lambda: {r.source: r.n for r in mixing.plan_mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    before = taken()
+    asked = []
+    whole = mixing._drawn
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    monkeypatch.setattr(mixing, "_drawn", lambda rng, good, bad, take: asked.append(good + bad) or whole(rng, good, bad, take))
+    assert taken() == before
+
+
+def test_mix_loses_no_row_for_its_nulls(spark):
+    rows = [(1, "one two", "en", None), (1, "one two", None, "en"), (None, "one two", "en", None), (1, None, "en", "one two"), (1, "one two", "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter(map(tuple, mixing.mix(df).collect()))
+    assert set(got) == set(rows) and max(got.values()) <= 2  # the words of every source are taken once at least
+    assert {r for r in got if r[2] is None} == {rows[1]}  # the only row of its source
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    rng = random.Random(31)
+    p, q, a, b = text_of(rng, 60), text_of(rng, 70), text_of(rng, 30), text_of(rng, 21)
+    rows = [(1, p), (5, f"{a} {p}"), (5, b), (5, q), (6, f"{b} {q}"), (5, q), (None, p), (None, None), (7, None), (7, "")]
+    df = spark.createDataFrame([(k, t, "x", 3) for k, t in rows], "doc_id long, text string, id string, document int")
+    got = sorted((r.id is None, r.id or 0, r.n_words, [tuple(s) for s in r.spans], r.n_repeated, r.sources) for r in substrings.repeated_passages(df).collect())
+    assert got == sorted([
+        (False, 1, 60, [], 0, []), (False, 5, 90, [(30, 90)], 60, [1]), (False, 5, 21, [], 0, []), (False, 5, 70, [], 0, []), (False, 5, 70, [], 0, []),
+        (False, 6, 91, [(21, 91)], 70, [5]), (False, 7, 0, [], 0, []), (False, 7, 0, [], 0, []), (True, 0, 0, [], 0, []), (True, 0, 60, [], 0, []),
+    ])
 
 
 def test_shards_are_partitions(spark):
@@ -378,6 +411,25 @@ def odd_documents(spark, rng):
     return spark.createDataFrame([(*r, "en", None, len(r[1] or ""), "own", 7, "x", 1) for r in rows], columns), (w, u, long_, own)
 
 
+def test_language_stage_rejects_what_was_not_learned(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    strange = ["这是一个中文句子，关于新闻和政治的报道。" * 3, "Αυτό είναι ένα κείμενο στα ελληνικά", "Это русский текст о новостях", "qwzx jkvv zzkq " * 4, "½ ② Ⅷ 12", None, "", "日本"]
+    more = spark.createDataFrame([(10**9 + k, t, None, "s", 1) for k, t in enumerate(strange)], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), sf_dir).collect()}
+    assert got == {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert len(got) > 0.95 * docs.count()
+
+
+def test_keys_of_rows_see_nulls(spark):
+    import corpus_pipeline
+
+    rows = [(1, "t", "en", None, 1), (1, "t", None, "en", 1), (2, "t", None, None, 1), (None, "t", None, None, 1), (None, "t", None, None, None)]
+    got = corpus_pipeline.keyed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).collect()
+    assert len({r["__key"] for r in got}) == 5 and [r["__key"] for r in got if r["__alone"]] == [2]
+
+
 def test_near_duplicates_of_rows_with_equal_ids(spark, sf_dir):
     import corpus_pipeline
 
@@ -413,12 +465,16 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
 
     docs, (w, u, long_, own) = odd_documents(spark, random.Random(23))
     first = corpus_pipeline.identify_language(spark, docs, sf_dir)
-    assert first.columns == docs.columns and first.count() <= 8  # texts without a letter go
+    assert first.columns == docs.columns
+    said = [r.text for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    assert sorted(r.text for r in first.collect()) == sorted(said)  # a model of these texts knows them all
     mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
     assert mixed.columns == docs.columns
     copies = Counter(r.text for r in mixed.collect())
     assert set(copies) <= {r.text for r in docs.collect()}
-    assert abs(sum(len((t or "").split()) * n for t, n in copies.items()) - 1.5 * sum(len((t or "").split()) for t in {r.text for r in docs.collect()})) <= 30000
+    plan = mixing.plan_mix(docs.distinct()).select("id", "size", "taken").collect()
+    whole = sum(round(r.taken / r.size) * r.size for r in plan if r.size)
+    assert sum(len((t or "").split()) * n for t, n in copies.items()) == pytest.approx(whole, abs=max(r.size for r in plan))
     coded = corpus_pipeline.encode_pieces(spark, docs, sf_dir).collect()
     assert len(coded) == docs.count() and all(r.round_trip for r in coded)
     for name, stage in corpus_pipeline.STAGES:

@@ -192,6 +192,40 @@ def test_language_held_out_and_edges(spark, docs, sf_dir):
     assert [r.lang_pred for r in blind] == [r.lang_pred for r in language_id.predict(table, model).orderBy("doc_id").collect()]
 
 
+def test_letters_of_all_scripts(spark, sf_dir):
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = [(0, "½ ② ① Ⅷ"), (1, "٣٤ 12_3"), (2, "½ a"), (3, "日"), (4, "\u0301"), (5, "ʰ")]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, learned="known").collect()}
+    assert {k for k, r in got.items() if r.lang_pred == "und"} == {0, 1, 4} and not got[3].known and not got[0].known
+
+
+def test_kernel_ridge_equals_the_dense_solution():
+    """With every training text a landmark and hardly any penalty the features are exact: the dense weighted kernel
+    ridge regression on the same texts scores alike."""
+    rng = np.random.default_rng(4)
+    words = {"x": ["alpha", "beta", "gamma", "delta"], "y": ["ein", "haus", "über", "strasse"], "z": ["élan", "vélo", "garçon", "forêt"]}
+    made = [(" ".join(rng.choice(words[k], 6)), k) for k in words for _ in range(8 + 4 * (k == "x"))]
+    texts, labels = [language_id.distinct_grams(t) for t, _ in made], [k for _, k in made]
+    model = language_id.fit(texts, labels, n_landmarks=len(texts), n_grams=1 << 16, ridge=0.5)
+    codes = np.unique(np.concatenate(texts))
+    x = np.array([np.isin(codes, t).astype(float) for t in texts])
+    x /= np.sqrt(x.sum(1, keepdims=True))
+    k, y = x @ x.T, np.array([sorted(words).index(v) for v in labels])
+    weight = np.diag((len(y) / 3 / np.bincount(y))[y])
+    target = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    # The minimum over f in the span of the texts of sum weight (f - target)^2 + ridge n / 100 |f|^2.
+    alpha = np.linalg.solve(weight @ k + 0.5 * len(y) / 100 * np.eye(len(y)), weight @ target)
+    probe = [t for t, _ in made[::3]] + ["gamma haus", "vélo ein ein"]
+    scorer = language_id.Scorer(model)
+    got = np.log(scorer.score(probe)) / scorer.sharpness
+    at = [language_id.distinct_grams(t) for t in probe]
+    p = np.array([np.isin(codes, t).astype(float) for t in at])
+    p /= np.sqrt(p.sum(1, keepdims=True))
+    want = p @ x.T @ alpha
+    centred = lambda m: m - m.mean(1, keepdims=True)
+    assert np.abs(centred(got) - centred(want)).max() < 0.02
+
+
 def test_presence_kernel():
     a, b = language_id.distinct_grams("Über  Haus"), language_id.distinct_grams("über haus!")
     assert a.tolist() == b.tolist()

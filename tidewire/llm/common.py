@@ -42,6 +42,11 @@ def few(df: DataFrame, most: int = FEW_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def whole_row(names: list[str]) -> list[Column]:
+    """What a hash of a whole row takes: each column and whether it is null, for hashes pass over nulls."""
+    return [x for c in names for x in (F.col(c), F.col(c).isNull())]
+
+
 def small_batches(df: DataFrame, most: str = "8m") -> None:
     """Have the session send workers Arrow batches of at most ``most``, unless it was told otherwise than the default.
 

@@ -8,7 +8,6 @@ landmark similarities by coefficients.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,13 @@ from pyspark.sql import functions as F
 from .common import lean, remainder, slices, small_batches
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits, fractions and numerals of any script are none."""
+    return any(map(str.isalpha, text))
+
+
 #: ASCII that is not a letter reads as a space; bytes of other characters stay.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -47,6 +52,11 @@ class Model:
     grams: np.ndarray  # codes, sorted
     landmarks: np.ndarray  # grams x landmarks, columns of unit length
     coefficients: np.ndarray  # landmarks x labels
+    least_known: float = 0.0  # share of known 3-grams below which a text is of no learned language
+
+
+#: Part of the least share of known 3-grams of any training text that a text must have itself.
+KNOWN_PART = 0.7
 
 
 def fit(
@@ -56,6 +66,8 @@ def fit(
     names = sorted(set(labels))
     codes, df = np.unique(np.concatenate(texts), return_counts=True)
     top = np.sort(codes[np.lexsort((codes, -df))[:n_grams]])
+    threes = (t[t >= 1 << 16] for t in texts)
+    shares = [np.isin(t, top).mean() for t in threes if len(t)]
     x = np.zeros((len(texts), len(top)), np.float32)
     for row, t in enumerate(texts):
         at = np.searchsorted(top, t)
@@ -77,7 +89,7 @@ def fit(
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y][:, None]
     a = phi.T @ (phi * weight) + ridge * len(y) * np.eye(phi.shape[1]) / 100
-    return Model(names, top, marks, (root @ np.linalg.solve(a, phi.T @ (target * weight))).astype(np.float32))
+    return Model(names, top, marks, (root @ np.linalg.solve(a, phi.T @ (target * weight))).astype(np.float32), KNOWN_PART * min(shares, default=0.0))
 
 
 def training_rows(df: DataFrame, key: str, text: str, label: str, keep, per_label: int) -> DataFrame:
@@ -122,6 +134,10 @@ class Scorer:
         self.columns = np.full(1 << 24, len(model.grams), np.int16 if len(model.grams) < 32000 else np.int32)
         self.columns[model.grams] = np.arange(len(model.grams))
 
+    def known(self, text: str) -> float:
+        """The share of the text's 3-grams that the model has."""
+        return float((self.columns[gram_codes(text)[2]] < len(self.m.grams)).mean())
+
     def score(self, texts: list[str]) -> np.ndarray:
         """Texts by labels, rows that add up to 1."""
         n = len(self.m.grams)
@@ -141,16 +157,19 @@ class Scorer:
 
 
 def predict(
-    df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", passing: bool = False, out: tuple[str, str] = ("lang_pred", "score")
+    df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", passing: bool = False, out: tuple[str, str] = ("lang_pred", "score"), learned: str | None = None
 ) -> DataFrame:
     """Per row ``key``, lang_pred and score (named by ``out``) (the winner's share, 0 to 1); with ``passing``, all of ``df``'s columns too.
 
     Null texts and texts without a letter get ``und`` and score 0, as all do without a model. Existing columns
-    of these names are replaced. Rows are scored one by one: repeated rows get equal results.
+    of these names are replaced. ``learned`` names a further column: whether the text is of a learned language at all, as
+    its share of 3-grams that the model knows tells (``Model.least_known``). Rows are scored one by one: repeated rows get equal results.
     """
-    kept = [c for c in df.columns if c not in out] if passing else list(dict.fromkeys([key, text]))
+    added = [*out, *([learned] if learned else [])]
+    kept = [c for c in df.columns if c not in added] if passing else list(dict.fromkeys([key, text]))
     given = [c for c in kept if passing or c == key]
     schema = df.select(*given).schema.add(out[0], "string").add(out[1], "double")
+    schema = schema.add(learned, "boolean") if learned else schema
 
     small_batches(df)
 
@@ -159,15 +178,19 @@ def predict(
         scorer = Scorer(model) if model else None
         for b in slices(batches):
             texts = b.column(text).to_pylist()
-            known = [k for k, t in enumerate(texts) if scorer and t and _LETTER(t)]
+            known = [k for k, t in enumerate(texts) if scorer and t and has_letter(t)]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if known:
                 p = scorer.score([texts[k] for k in known])
                 for k, best, s in zip(known, p.argmax(1), p.max(1), strict=True):
                     lang[k], score[k] = model.labels[best], float(s)
+            more = []
+            if learned:
+                found = set(known)
+                more = [pa.array([k in found and scorer.known(t) >= model.least_known for k, t in enumerate(texts)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in given), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                [*given, *out],
+                [*(b.column(c) for c in given), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more],
+                [*given, *added],
             )
 
     return df.select(*kept).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, few
+from .common import WORD, cut, few, whole_row
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -94,19 +94,13 @@ class SplittingTree:
         return out
 
 
-#: Populations that the library draws from exactly.
-LARGEST = 10**9 - 1
+#: Blocks that the tree deals at most, all copies together: what the library draws from. Beyond that blocks grow.
+MOST_BLOCKS = 10**9 - 1
 
 
 def _drawn(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
     """How many of ``take`` draws without replacement are good ones."""
-    if not (good and take):
-        return 0
-    if good + bad <= LARGEST:
-        return int(rng.hypergeometric(good, bad, take))
-    mean = take * good / (good + bad)  # at such sizes the normal distribution is as exact as a double
-    spread = np.sqrt(mean * (bad / (good + bad)) * ((good + bad - take) / (good + bad - 1)))
-    return int(min(good, take, max(0, take - bad, round(rng.normal(mean, spread)))))
+    return int(rng.hypergeometric(good, bad, take)) if good and take else 0
 
 
 def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, shards: int | None = None) -> DataFrame:
@@ -127,7 +121,9 @@ def _plan(df: DataFrame, key: str, text: str, source: str, seed: int, shards: in
     rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"))
     rows = cut(rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col("id").cast("string"))))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_DOCS)).cast("long"))
+    # Two copies of each document at most; four leave room for each source's last block.
+    docs_of_block = F.greatest(F.lit(BLOCK_DOCS), F.ceil(F.sum("n").over(Window.partitionBy()) * 4 / F.lit(MOST_BLOCKS)))  # a row a source
+    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / docs_of_block)).cast("long"))
     words = F.round("target").cast("long")
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long"))
     sources = cut(sources.withColumn("rest", words - F.col("passes") * F.col("source_size")))
@@ -189,7 +185,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     in every column count as one. Each shard is one partition, shuffled by hash within.
     """
     names = df.columns
-    docs = df.withColumn("__key", F.xxhash64(F.lit(seed), *names)).dropDuplicates(["__key"])
+    row = whole_row(names)
+    half = lambda k: F.hex(F.xxhash64(F.lit(seed + k), *row))
+    docs = df.withColumn("__key", F.concat_ws("-", half(0), half(1))).dropDuplicates(["__key"])  # 128 bits
     plan, shards = _plan(docs, "__key", text, source, seed, shards)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.size("shards")).cast("int")
     # A document without words takes no words: it comes as often as its block is drawn.

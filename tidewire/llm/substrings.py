@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, cut, few, lean, mix64, shingles, slices, small_batches, tidy, word_hashes
+from .common import WORD, Staged, cut, few, lean, mix64, numbered, shingles, slices, small_batches, tidy, word_hashes
 
 WIDTH, WORDS, HASHES, HITS = 5, 50, 4, 2
 _LOW = np.uint64(0xFFFFFF)
@@ -383,17 +383,11 @@ def _meetings(windows: Windows, ask: np.ndarray, words: int) -> list[tuple[int,
     return out
 
 
-def repeated_passages(
+def _passages(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = 0.8,
     hashes: int = HASHES, hits: int = HITS,
 ) -> DataFrame:
-    """Per row of ``df``: id, n_words, spans, n_repeated, sources.
-
-    ``spans`` are the word ranges [start, end) that an earlier document (of a smaller key) holds too, exactly or
-    nearly (``repeated_spans``); n_repeated is their length, ``sources`` the keys of such documents. The first holder
-    of a passage keeps it. Passages that only one document repeats in itself stay. Null, empty and short texts and
-    rows with a null key have no spans. Rows with equal keys count as one document (their first text by order of text).
-    """
+    """``repeated_passages`` of rows with a key of their own."""
     kind = df.schema[key].dataType.simpleString()
     shared = _shared(df, key, text, words, hashes)
     met = shared.df
@@ -459,6 +453,39 @@ def repeated_passages(
     )
 
 
+def repeated_passages(
+    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = 0.8,
+    hashes: int = HASHES, hits: int = HITS,
+) -> DataFrame:
+    """Per row of ``df``: id, n_words, spans, n_repeated, sources.
+
+    ``spans`` are the word ranges [start, end) that an earlier document holds too, exactly or nearly
+    (``repeated_spans``); n_repeated is their length, ``sources`` the keys of such documents. The first holder of a
+    passage keeps it. Passages that only one document repeats in itself stay. Null, empty and short texts and rows with
+    a null key have no spans. Documents are in order of their keys; different texts of one key are documents of their
+    own, in order of text, and equal rows are one document, whose result each of them has.
+    """
+    args = (words, least, hashes, hits)
+    known = df.where(F.col(key).isNotNull())
+    if known.groupBy(key).count().where("count > 1").isEmpty():
+        return _passages(df, key, text, *args)
+    kind = df.schema[key].dataType.simpleString()
+    rows = Staged(df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))).df
+    one, _ = numbered(rows.where("id is not null").groupBy("id", "digest").agg(F.min("text").alias("text")), "id", "text", "digest", name="document")
+    one = Staged(one).df
+    found = cut(_passages(one, "document", "text", *args).withColumnRenamed("id", "document"))
+    at = one.select("document", "id", "digest")
+    held = found.select("document", F.explode("sources").alias("of")).join(at.select(F.col("document").alias("of"), F.col("id").alias("source")), "of")
+    held = held.groupBy("document").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    found = at.join(found.drop("sources"), "document").join(held, "document", "left").drop("document")
+    found = rows.drop("text").join(found, ["id", "digest"], "left").drop("digest")
+    counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    loose = rows.where("id is null").select("id", counted.alias("n_words"))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    out = found.where("id is not null").select("id", "n_words", "spans", "n_repeated", F.coalesce("sources", F.array().cast(f"array<{kind}>")).alias("sources"))
+    return out.unionByName(loose.select("id", "n_words", empty.alias("spans"), F.lit(0).cast("long").alias("n_repeated"), F.array().cast(f"array<{kind}>").alias("sources")))
+
+
 def without_spans(df: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the words of each row's spans (``repeated_passages``) cut from its text, with the white space before
     them; columns and other rows stay as they are."""
