@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import language_id, minhash, mixing, sentence_pieces, substrings
-from tidewire.llm.common import WORD, Staged, few, table
-
-#: Least share of the winning language; the fixed value rejects texts for which no language stands out.
-LEAST_SCORE = 0.3
+from tidewire.llm.common import WORD, Staged, few, table, whole_row
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts for which no learned language stands out, go."""
-    named = language_id.predict(docs, language_id.train(docs), passing=True, out=("__lang", "__score"))
-    return named.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    """Texts of no learned language go: those without a letter (null and empty ones too), and those of whose 3-grams the
+    model knows too few, whatever their length. Repeated rows and rows of one id are judged each by its text."""
+    model = language_id.train(docs)
+    named = language_id.predict(docs, model, passing=True, out=("__lang", "__score"), learned="__learned")
+    return named.where((F.col("__lang") != language_id.UNKNOWN) & F.col("__learned")).select(*docs.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__key``: the id of a row that has one to itself, a hash of the whole row otherwise."""
+    """``docs`` with ``__key``: the id of a row that has one to itself, a hash of the whole row, nulls and all, otherwise.
+
+    Such hashes have 64 bits: of n rows that share ids or have none, two different ones get one with a chance of n^2 / 2^65.
+    """
     alone = F.col("doc_id").isNotNull() & F.col("__shared").isNull()
     shared = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__shared"))
     rows = docs.join(few(shared), "doc_id", "left").select(*docs.columns, "__shared")
-    return rows.select(*docs.columns, alone.alias("__alone"), F.when(alone, F.col("doc_id")).otherwise(F.xxhash64(*docs.columns)).alias("__key"))
+    whole = F.xxhash64(*whole_row(docs.columns))
+    return rows.select(*docs.columns, alone.alias("__alone"), F.when(alone, F.col("doc_id")).otherwise(whole).alias("__key"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +54,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in shards that are shuffled."""
+    """Documents as often as the mix takes them, in shards that are shuffled. Null and empty texts count no words; rows
+    that are equal in every column are one, rows that share an id are not."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to it again."""
+    """Ids of each text, and whether they decode to it again; null and empty texts have no ids, equal rows equal ones."""
     model = sentence_pieces.model_bytes()
     coded = sentence_pieces.encode(docs, model, check="round_trip")
     return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
