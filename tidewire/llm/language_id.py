@@ -55,7 +55,7 @@ class Model:
     least_known: float = 0.0  # share of known 3-grams below which a text is of no learned language
 
 
-#: Part of the least share of known 3-grams of any training text that a text must have itself.
+#: Part of the least share of known 3-grams of any training text (known from the other half of them) that a text must have.
 KNOWN_PART = 0.7
 
 
@@ -66,8 +66,10 @@ def fit(
     names = sorted(set(labels))
     codes, df = np.unique(np.concatenate(texts), return_counts=True)
     top = np.sort(codes[np.lexsort((codes, -df))[:n_grams]])
-    threes = (t[t >= 1 << 16] for t in texts)
-    shares = [np.isin(t, top).mean() for t in threes if len(t)]
+    # How much of a text is known that took no part: each half of the sample by what the other half has.
+    halves = [np.intersect1d(np.concatenate([np.zeros(0, top.dtype), *texts[k::2]]), top) for k in (0, 1)]
+    threes = [t[t >= 1 << 16] for t in texts]
+    shares = [np.isin(t, halves[1 - k % 2]).mean() for k, t in enumerate(threes) if len(t)]
     x = np.zeros((len(texts), len(top)), np.float32)
     for row, t in enumerate(texts):
         at = np.searchsorted(top, t)
