@@ -361,7 +361,7 @@ def test_queries_match_their_sql(spark, sf_dir):
     from tidewire.llm import queries
 
     con = duckdb.connect()
-    for name in ("embeddings", "conversations"):
+    for name in ("embeddings", "conversations", "documents", "labels"):
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, sf_dir)
