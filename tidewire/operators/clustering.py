@@ -3,7 +3,9 @@
 Average linkage joins two clusters only if some pair across them is near enough, so every cluster lies inside one
 connected component of the graph of near pairs: components come first, and only they enter numpy. Clusters are merged
 and absorbed by their centres and representatives; for these steps components of the graph of near centres come first,
-and numpy sees a row per cluster, not its articles.
+and numpy sees a row per cluster, not its articles. A component is one task's, which holds its vectors a few times over
+but never their pairs: 100,000 vectors of 384 numbers take 0.3 GB a copy, some 2 GB in all. A component beyond a task's
+memory fails that task rather than giving other clusters; a higher similarity or fewer days cut it.
 """
 
 from __future__ import annotations
@@ -59,52 +61,141 @@ def near_pairs(vecs: DataFrame, least: float, days: float, by: str = "country")
     return v.groupBy("g", "k", "i", "j").applyInArrow(compare, schema)
 
 
+class _Live:
+    """Sums, sizes and spans of the clusters that may still join; rows of others are let go as they become many."""
+
+    def __init__(self, x: np.ndarray, t: np.ndarray):
+        self.ids, self.on = np.arange(len(x)), np.ones(len(x), bool)
+        self.sums, self.size, self.low, self.high = x.copy(), np.ones(len(x)), t.copy(), t.copy()
+
+    def row(self, cluster: int) -> int:
+        return int(np.searchsorted(self.ids, cluster))
+
+    def drop(self, row: int) -> None:
+        self.on[row] = False
+        if 2 * np.count_nonzero(self.on) < len(self.on):
+            keep = self.on
+            self.ids, self.sums, self.size, self.low, self.high = (v[keep] for v in (self.ids, self.sums, self.size, self.low, self.high))
+            self.on = np.ones(len(self.ids), bool)
+
+    def join(self, a: int, b: int) -> None:
+        i, j = self.row(a), self.row(b)
+        self.sums[i] += self.sums[j]
+        self.size[i] += self.size[j]
+        self.low[i], self.high[i] = min(self.low[i], self.low[j]), max(self.high[i], self.high[j])
+        self.drop(j)
+
+
+def _chain(nearest, join, settle, first, enough) -> None:
+    """Joins clusters pair by pair along chains of nearest neighbours, until no pair is similar ``enough``.
+
+    Linkages by mean or by extremes bring no joined cluster nearer to a third than its parts were. So two clusters that are
+    each other's nearest may join at once, whatever else is open, and one whose nearest isn't near enough is settled for
+    good; the clusters are those of joining the nearest pair of all each time. Similarities that differ by less than
+    1e-12 are equal; the one before in the chain goes first, then the smaller cluster number.
+    """
+    path: list[int] = []
+    while path or (start := first()) is not None:
+        if not path:
+            path.append(start)
+        ids, sim = nearest(path[-1])
+        best = int(sim.argmax()) if len(sim) else -1
+        if best < 0 or not enough(sim[best]):
+            settle(path[-1])
+            path = []
+            continue
+        before = path[-2] if len(path) > 1 else None
+        if before is not None and sim[np.searchsorted(ids, before)] >= sim[best] - 1e-12:
+            join(*sorted(path[-2:]))
+            del path[-2:]
+        else:
+            path.append(int(ids[best]))
+
+
 def average_linkage(x: np.ndarray, t: np.ndarray, cut: float, gap: float) -> np.ndarray:
-    """Labels by average linkage on cosine distance; pairs further apart in time than ``gap`` count as distance 2."""
-    n = len(x)
-    d = 1 - x @ x.T
-    d[np.abs(t[:, None] - t[None, :]) > gap] = 2.0
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while True:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] < cut:
-            return label
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
+    """Labels (a cluster's smallest row) by average linkage on cosine distance of unit vectors; pairs further apart in time
+    than ``gap`` count as distance 2.
+
+    No matrix of pairs is made: the mean similarity of two clusters is the product of their sums; where their joint span
+    is longer than the gap, each row of the one takes the sum of the rows of the other that are in its reach, a difference
+    of two running sums in order of time. Memory is that of about five copies of the vectors.
+    """
+    order = np.argsort(t, kind="stable")
+    rows, times, label = x[order], t[order], order.copy()  # in order of time
+    live = _Live(x, t)
+
+    def nearest(c: int) -> tuple[np.ndarray, np.ndarray]:
+        i = live.row(c)
+        total = live.sums @ live.sums[i]
+        apart = (live.low > live.high[i] + gap) | (live.high < live.low[i] - gap)
+        total[apart] = -live.size[apart] * live.size[i]
+        part = live.on & ~apart & (np.maximum(live.high, live.high[i]) - np.minimum(live.low, live.low[i]) > gap)
+        part[i] = False
+        if part.any():
+            mine = np.flatnonzero(label == c)
+            running = np.vstack([np.zeros(x.shape[1]), np.cumsum(rows[mine], axis=0)])
+            place = np.full(len(x), -1)
+            place[live.ids[part]] = np.flatnonzero(part)
+            met = np.flatnonzero(place[label] >= 0)
+            total[part] = 0.0
+            for p in np.array_split(met, len(met) // 4096 + 1):
+                lo, hi = np.searchsorted(times[mine], times[p] - gap), np.searchsorted(times[mine], times[p] + gap, "right")
+                near = np.einsum("nd,nd->n", running[hi] - running[lo], rows[p])
+                np.add.at(total, place[label[p]], near - (len(mine) - (hi - lo)))
+        sim = np.where(live.on, total / (live.size * live.size[i]), -np.inf)
+        sim[i] = -np.inf
+        return live.ids, sim
+
+    def join(a: int, b: int) -> None:
+        live.join(a, b)
+        label[label == b] = a
+
+    def first() -> int | None:
+        return int(live.ids[live.on.argmax()]) if live.on.any() else None
+
+    _chain(nearest, join, lambda c: live.drop(live.row(c)), first, lambda s: 1 - s < cut)
+    out = np.empty(len(x), label.dtype)
+    out[order] = label
+    return out
 
 
 def merge_close(centre: np.ndarray, low: np.ndarray, high: np.ndarray, least: float, gap: float, related: float = 2.0) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """(group of each cluster, pairs of groups of ``related`` similarity or more that stay apart).
 
     Unit centres; groups join while their least similarity, over all pairs of first centres across them, is ``least`` or
-    more and their joint span is ``gap`` or less. A group goes by its first cluster.
+    more and their joint span is ``gap`` or less. A group goes by its first cluster. Similarities are made anew for one
+    group at a time, so memory grows with the clusters, not with their pairs.
     """
     n = len(centre)
     group, low, high = np.arange(n), low.astype(float).copy(), high.astype(float).copy()
-    sim, alive = centre @ centre.T, np.ones(n, bool)
-
-    def open_to(k) -> np.ndarray:
-        """Similarities of groups ``k`` to all, -1 where they may not join."""
-        span = np.maximum.outer(high[k], high) - np.minimum.outer(low[k], low)
-        return np.where((span <= gap) & alive, sim[k], -1.0)
-
-    pairs = open_to(np.arange(n))
-    np.fill_diagonal(pairs, -1.0)
-    while n > 1 and pairs.max() >= least:
-        i, j = sorted(divmod(int(pairs.argmax()), n))
-        sim[i] = sim[:, i] = np.minimum(sim[i], sim[j])
-        low[i], high[i], alive[j] = min(low[i], low[j]), max(high[i], high[j]), False
+    alive, open_ = np.ones(n, bool), np.ones(n, bool)
+
+    def similar(k: int) -> np.ndarray:
+        """Least similarity of group ``k`` to each group, -1 where they may not join."""
+        least_of, mine = np.full(n, np.inf), np.flatnonzero(group == k)
+        for part in np.array_split(mine, len(mine) // 64 + 1):
+            np.minimum(least_of, (centre @ centre[part].T).min(1), out=least_of)
+        sim = np.full(n, np.inf)
+        np.minimum.at(sim, group, least_of)
+        span = np.maximum(high[k], high) - np.minimum(low[k], low)
+        sim = np.where((span <= gap) & alive, sim, -1.0)
+        sim[k] = -1.0
+        return sim
+
+    def join(i: int, j: int) -> None:
+        low[i], high[i], alive[j], open_[j] = min(low[i], low[j]), max(high[i], high[j]), False, False
         group[group == j] = i
-        pairs[i] = pairs[:, i] = open_to(i)
-        pairs[i, i] = -1.0
-        pairs[j] = pairs[:, j] = -1.0
-    return group, [(int(i), int(j), float(pairs[i, j])) for i, j in np.argwhere(np.triu(pairs, 1) >= related)]
+
+    def settle(k: int) -> None:
+        open_[k] = False
+
+    ids = np.arange(n)
+    _chain(lambda k: (ids, similar(k)), join, settle, lambda: int(open_.argmax()) if open_.any() else None, lambda s: s >= least)
+    pairs = []
+    for i in np.flatnonzero(alive).tolist():
+        sim = similar(i)
+        pairs += [(i, int(j), float(sim[j])) for j in np.flatnonzero(sim >= related) if j > i]
+    return group, pairs
 
 
 def absorb(
@@ -112,23 +203,24 @@ def absorb(
 ) -> np.ndarray:
     """Which cluster each cluster goes to (itself, if none): small ones join the larger one they are closest to.
 
-    Clusters are in order of their labels. What can be told of a pair on its own is one table of similarities; the walk
-    over the small clusters then only keeps account of who is gone and how many articles (``most``) a cluster still takes.
+    Clusters are in order of their labels. What can be told of a pair on its own is told for a block of small clusters at
+    a time; the walk over them then only keeps account of who is gone and how many articles (``most``) a cluster still takes.
     """
     n = len(size)
     label = np.arange(n)
-    larger = (size[None, :] > size[:, None]) | ((size[None, :] == size[:, None]) & (label[None, :] < label[:, None]))
-    span = np.maximum.outer(high, high) - np.minimum.outer(low, low)
-    sim = np.maximum(mean @ mean.T, rep @ rep.T)
-    sim = np.where(larger & (span <= gap) & (sim >= least), sim, -np.inf)
-    small = (size <= 2) | ((size <= 4) & abroad)
+    small = np.flatnonzero((size <= 2) | ((size <= 4) & abroad))
     into, room = label.copy(), np.full(n, most)
-    for b in np.flatnonzero(small & (sim.max(1, initial=-np.inf) > -np.inf)).tolist():
-        choice = np.where((into == label) & (room >= size[b]), sim[b], -np.inf)
-        a = n - 1 - int(choice[::-1].argmax())  # the last of equals
-        if choice[a] > -np.inf:
-            into[b] = a
-            room[a] -= size[b]
+    for part in np.array_split(small, len(small) // 256 + 1):
+        larger = (size > size[part, None]) | ((size == size[part, None]) & (label < part[:, None]))
+        span = np.maximum(high[part, None], high) - np.minimum(low[part, None], low)
+        sims = np.maximum(mean[part] @ mean.T, rep[part] @ rep.T)
+        sims = np.where(larger & (span <= gap) & (sims >= least), sims, -np.inf)
+        for b, sim in zip(part.tolist(), sims):
+            choice = np.where((into == label) & (room >= size[b]), sim, -np.inf)
+            a = n - 1 - int(choice[::-1].argmax())  # the last of equals
+            if choice[a] > -np.inf:
+                into[b] = a
+                room[a] -= size[b]
     while (into[into] != into).any():  # whom a cluster went to may have gone on itself
         into = into[into]
     return into
