@@ -81,3 +81,43 @@ WIRE_CREDITS = (
     r"\b(?:theo\s+ttxvn|nguồn:\s*ttxvn|\(ttxvn\)|theo\s+vna|\(vna\)|selon\s+l'aps|\(aps\)|\(belta\)|\(белта\)|\(тасс\)|\(ria\s+novosti\)|"
     r"\(риа\s+новости\)|\(reuters\)|\(ap\)|\(afp\)|\bafp\b|\breuters\b|\(xinhua\)|\(cns\))\b|(?:新华社|新華社|中新社|据新华社|據新華社|央视新闻|央視新聞)"
 )
+
+#: Kinds of disaster, of violence and of faith in folded titles (see `text.fold`), in order of precedence.
+FOLDED_DISASTERS = [
+    ("Storm & Cyclone", r"\b(typhoon|cyclone|hurricane|tropical storm|tornado|gale|sieu bao|ap thap nhiet doi|loc xoay|con bao|taufan|badai|bagyo|พายุ|မုန်တိုင်း|vihar|orkan|burza|tufao|ciclone|firtina|kasirga)\b"),
+    ("Flood & Landslide", r"\b(flood|floods|flooding|flash flood|landslide|mudslide|inundation|lu lut|ngap lut|ngap sau|sat lo|trieu cuong|banjir|longsor|baha|guho|น้ำท่วม|ดินถล่ม|ရေကြီး|arviz|powodz|poplava|heyelan|enchente|deslizamento)"),
+    ("Earthquake & Volcano", r"\b(earthquake|tremor|seismic|tsunami|volcano|volcanic|eruption|dong dat|nui lua|song than|gempa|gunung berapi|lindol|bulkan|แผ่นดินไหว|ငလျင်|foldrenges|trzesienie ziemi|zemljotres|deprem|yanardag|terremoto|zelzele)"),
+    ("Wildfire & Drought", r"\b(wildfire|forest fire|bushfire|drought|heatwave|chay rung|han han|kebakaran hutan|kekeringan|ไฟป่า|ภัยแล้ง|erdotuz|aszaly|pozar lasu|susa|orman yangini|kuraklik|incendio florestal|seca\b)"),
+]
+FOLDED_VIOLENCE = [
+    ("Insurgency & Terror", r"\b(terror|terrorist|terrorism|insurgent|insurgency|militant|militants|boko haram|iswap|al-shabaab|isis|daesh|jihad|jihadist|taliban|houthi|houthis|hezbollah|hamas|ied|suicide bomb|car bomb|ambush|kidnap|kidnapped|abduct|abducted|hostage|massacre|khung bo|bat coc)\b"),
+    ("Armed Clash & Strike", r"\b(airstrike|airstrikes|air strike|drone strike|missile strike|shelling|shelled|mortar|artillery|armed clash|clashes|firefight|gunbattle|gunmen|bombardment|incursion|ceasefire|cross-border|khong kich|phao kich|giao tranh)\b"),
+    ("Civil Unrest & Crackdown", r"\b(protest|protesters|riot|riots|demonstrat|curfew|martial law|coup|tear gas|water cannon|looting|crackdown|arson|bao loan|bieu tinh|thiet quan luat|dao chinh)\b"),
+]
+FAITHS = [
+    ("Judaism", r"\b(synagogue|anti-semit|antisemit|jewish|judaism|kosher|rabbi|shul|yemenite jew|zsinagoga|zsido|antiszemita|bai do thai)\b"),
+    ("Christianity", r"\b(christians|christianity|christian (?:faithful|minority|minorities|community|communities|group|groups|church|churches|pastor|priest|genocide|persecution|population|village|villages|family|families|civilian|civilians)|church|chapel|monastery|cathedral|priest|pastor|nuns|copt|coptic|chaldean|assyrian|maronite|evangelical|templom|lelkipasztor|lelkesz|puspok|kereszteny|nha tho|linh muc|giao dan)\b"),
+    ("Islam", r"\b(mosque|minaret|imam|madrassa|madrasa|quran|koran|muslim|islam|islamic|islamist|rohingya|uyghur|uighur|ahmadiyya|hazara|shia|sunni|fatwa|mecset|muszlim|muzulman|nha tho hoi giao)\b"),
+    ("Other Faiths & Sites", r"\b(yazidi|bahai|baha'i|hindutva|anti-conversion|blasphemy|sacred site|holy site|cemetery desecrat|pogrom|sectarian|interfaith|inter-communal|istenkaromlas|atterites|vallasi uldozes|giao phai)\b"),
+]
+#: Words of harm in folded titles, and words of arts and sport that rule it out.
+HARM = (
+    r"\b(attack|attacks|assault|clash|clashes|ambush|strike|strikes|airstrike|airstrikes|bomb|bombing|bombed|explosion|shoot|shooting|shot|gunmen"
+    r"|gunbattle|firefight|kill|killed|killing|murder|murdered|dead|death|fatalities|casualties|massacre|behead|beheaded|slaughter|kidnap"
+    r"|kidnapped|kidnapping|abduct|abducted|abduction|hostage|hostages|pogrom|lynch|lynched|arson|burned|burnt|firebomb|desecrat|vandaliz|persecut"
+    r"|persecution|terror|terrorist|terrorism|militant|militants|militia|militias|insurgent|insurgency|jihad|jihadist|extremis|extremist|ied"
+    r"|anti-conversion|blasphemy|forced conversion|expel|expels|expelled|expulsion|displaced|refugee|refugees|fled|fleeing|shelled|shelling|mortar"
+    r"|artillery|drone strike|air strike|missile strike|riot|riots|tear gas|curfew|martial law|coup|crackdown|looting|looted|raid|raided"
+    r"|mass grave|mass graves|tan cong|sat hai|giet|bat coc|khung bo|dot pha|pha huy|bao loan|khong kich|phao kich|giao tranh|merenylet|tamadas"
+    r"|gyilkossag|emberrablas|lefejezes|gyujtogatas|rombolas)\b"
+)
+ARTS_OR_SPORT = (
+    r"\b(festival|dance|choreodrama|theatre|theater|concert|music|album|song|singer|film|movie|championship|tournament|league|match|coach|player"
+    r"|stadium|actor|actress|museum|art exhibition|ballet|opera|pfdk|football|soccer|basketball|baseball|cricket|tennis|golf)\b"
+)
+#: Where sentences end, and marks and verbs of quotation.
+SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？])(?![”」』）\)])|(?<=[。！？][”」』）])"
+QUOTE_CUES = (
+    r'["“”«»「」『』]|(?:\b(?:said|stated|announced|confirmed|told|khẳng định|nhấn mạnh|tuyên bố|cho biết|chỉ đạo|yêu cầu|közölte|mondta)\b)|'
+    r"(?:表示|指出|强调|強調|声明|聲明|宣布|宣佈|回应|回應)"
+)

@@ -75,3 +75,19 @@ def source_directory(sources: DataFrame, stored: DataFrame, ratings: DataFrame)
     fresh = rate(sources, ratings)
     s = stored.select("id", *(F.nullif(F.col(f), F.lit("unrated")).alias(f"__{f}") for f in fields))
     return fresh.join(s, "id", "left").select(*sources.columns, *(F.coalesce(f"__{f}", f).alias(f) for f in fields))
+
+
+def country_index(countries: DataFrame, periods: DataFrame, most: int = 12) -> DataFrame:
+    """Countries with a published period: id, name, region, language, abroad_label, mentions, periods.
+
+    ``countries``: id, name, region, language, abroad_label, mention (an array); ``periods``: id, period, label, days.
+    Mentions are the name and the first ``most`` mention words, in small letters, each once; a missing region is "Other".
+    Periods are (id, label, file) from the longest to the shortest, then by id; countries without one are left out.
+    """
+    file = F.concat_ws("", "id", F.lit("-"), "period", F.lit(".json"))
+    item = F.struct((-F.col("days")).alias("o"), F.col("period").alias("id"), "label", file.alias("file"))
+    out = periods.select("id", item.alias("p")).distinct().groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    words = F.slice(F.coalesce("mention", F.array().cast("array<string>")), 1, most)
+    mentions = F.array_distinct(F.transform(F.concat(F.array("name"), words), F.lower))
+    shown = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["file"].alias("file")))
+    return countries.join(out, "id").select("id", "name", F.coalesce("region", F.lit("Other")).alias("region"), "language", "abroad_label", F.array_compact(mentions).alias("mentions"), shown.alias("periods"))
