@@ -163,6 +163,16 @@ def test_quotas_equal_the_greedy_walk(spark, seed):
     assert [r.id for r in got] == greedy(items, 6, 3, 2)
 
 
+def test_breadth_is_that_of_the_c_library(spark):
+    """Equal breadths by 0.12 more of log2 and by the bonus for a second outlet differ by their last bit; so it counts."""
+    import math
+
+    rows = spark.createDataFrame([(n, d) for n in range(1, 400) for d in (0, 2)], "independent long, domestic long")
+    rows = rows.select("*", *(F.lit(0).alias(c) for c in ("abroad_local", "international", "last_24h")), F.lit(1).alias("articles"))
+    for r in stories.breadth(rows, F.lit(15.0)).collect():
+        assert r.breadth == min(r.independent, 15.0) / 15.0 + 0.12 * math.log2(1 + max(0.0, r.independent - 15.0)) + (0.12 if r.domestic >= 2 else 0.0), r
+
+
 def test_upsert_and_insert_ignore(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k long, x string, y long")
     new = spark.createDataFrame([(2, None, 5), (3, "c", None)], "k long, x string, y long")

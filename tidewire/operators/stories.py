@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
@@ -112,14 +116,25 @@ def collapse_elections(stories: DataFrame, most: int = 5) -> DataFrame:
     return lead.select(*stories.columns, only("n_elections").alias("n_elections"), only("nested").alias("nested"))
 
 
+def log2(x: Column) -> Column:
+    """Base-2 logarithm to the last bit as the C library has it. Spark's is a quotient of two rounded logarithms, so sums that
+    are equal but for their last bit come in another order."""
+    return _log2(x.cast("double"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _log2(x: pd.Series) -> pd.Series:
+    return x.map(math.log2)
+
+
 def breadth(stories: DataFrame, scale: Column) -> DataFrame:
     """Outlet breadth and speed relative to how many outlets a desk knows."""
     n, s = F.col("independent"), scale
     kinds = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in ("domestic", "abroad_local", "international")), F.lit(0))
-    core = F.least(n, s) / s + 0.12 * F.log2(1 + F.greatest(F.lit(0.0), n - s))
+    core = F.least(n, s) / s + 0.12 * log2(1 + F.greatest(F.lit(0.0), n - s))
     wide = core + F.when(F.col("domestic") >= 2, 0.12).otherwise(0.0) + F.when(kinds >= 2, 0.08).otherwise(0.0)
     day = F.least(n.cast("double"), F.col("last_24h") * n / F.greatest(F.lit(1), F.col("articles")))
-    fast = F.least(day, s.cast("double")) / s + 0.12 * F.log2(1 + F.greatest(F.lit(0.0), day - s))
+    fast = F.least(day, s.cast("double")) / s + 0.12 * log2(1 + F.greatest(F.lit(0.0), day - s))
     return stories.withColumn("breadth", wide).withColumn("velocity", fast)
 
 
