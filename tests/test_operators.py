@@ -134,6 +134,12 @@ def test_delta_states(spark, curr, prev, want):
     assert (r.curr, r.prev, r.state) == (curr, prev, want)
 
 
+def test_shares_are_rounded_as_doubles(spark):
+    at = dt.datetime(2024, 6, 14)
+    rows = [(1, "s", "domestic", at, 1.0, None, "media", k < 29) for k in range(200)]
+    assert delta.story_deltas(spark.createDataFrame(rows, MEMBER), NOW, 7).first().state_share_curr == 0.14  # 0.145 is less
+
+
 def test_delta_pickup(spark):
     rows = [member(1, "a", hours=24 * 9), member(1, "a"), member(1, "b", scope="international")]
     assert delta.story_deltas(spark.createDataFrame(rows, MEMBER), NOW, 7).first().scope_shift == "international_pickup"

@@ -140,3 +140,14 @@ def test_unique_titles_and_sliding_windows(spark, tmp_path):
     s = spark.readStream.schema(schema).parquet(str(tmp_path / "v"))
     got = {(r.start - T0).total_seconds() / 3600: r.n for r in drain(streaming.volumes(s, "kind", "12 hours", "6 hours"), tmp_path, "volumes", "complete")}
     assert got == {-6: 2, 0: 2, 6: 1, 12: 1}
+
+
+@pytest.mark.parametrize("name", ["story_deltas_stream", "volumes_stream"])
+def test_tables_that_are_folders(spark, sf_dir, tmp_path, name):
+    """Streams read a table of several files as they read a single file."""
+    from tidewire.plans import named
+
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got, want = (named.QUERIES[name](spark, str(d)).collect() for d in (tmp_path, sf_dir))
+    assert sorted(map(str, got)) == sorted(map(str, want)) != []

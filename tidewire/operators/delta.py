@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 CATEGORIES = ["internal_politics", "economics", "foreign_policy", "defence_security", "society", "other"]
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many digits, half away from zero, as doubles are: 0.145 is below its half and gives 0.14. ``round`` goes by
+    the shortest decimals that tell a double apart, and would give 0.15."""
+    return F.round(x * 10**digits) / 10**digits
+
+
 def period(at: Column, now: str, days: int) -> Column:
     """curr, prev or null."""
     start = F.expr(f"timestamp '{now}' - interval {days} days")
@@ -17,7 +23,7 @@ def period(at: Column, now: str, days: int) -> Column:
 
 
 def state(curr: Column, prev: Column) -> Column:
-    net, ratio = curr - prev, F.round(curr / F.greatest(F.lit(1), prev), 2)
+    net, ratio = curr - prev, rounded(curr / F.greatest(F.lit(1), prev), 2)
     return (
         F.when((prev == 0) & (curr >= 2), "new").when((net >= 3) & (ratio >= 1.75), "surging")
         .when((net <= -3) & (ratio <= 0.40), "cooling").when(curr >= 2, "steady").otherwise("trace")
@@ -41,7 +47,7 @@ def compared(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     """Rows of both windows (p: curr or prev) compared per group: one aggregation, in batch as on a stream."""
     core = F.col("similarity") >= 0.93
     when = lambda name, c=F.lit(True): F.count_if((F.col("p") == name) & c)
-    share = lambda name: F.round(F.coalesce(when(name, core & F.col("state_outlet")) / F.nullif(when(name, core), F.lit(0)), F.lit(0.0)), 2)
+    share = lambda name: rounded(F.coalesce(when(name, core & F.col("state_outlet")) / F.nullif(when(name, core), F.lit(0)), F.lit(0.0)), 2)
     out = rows.groupBy(*more, *by).agg(
         when("curr").alias("curr"), when("prev").alias("prev"),
         when("prev", F.col("scope") == "domestic").alias("pd"), when("curr", F.col("scope") == "international").alias("ci"),
@@ -50,11 +56,11 @@ def compared(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     )
     home_only = (F.col("prev") > 0) & (F.col("pd") == F.col("prev"))
     enough = (F.col("cc") >= 4) & (F.col("cp") >= 4)
-    moved = F.round(F.col("state_share_curr") - F.col("state_share_prev"), 2)
+    moved = rounded(F.col("state_share_curr") - F.col("state_share_prev"), 2)
     net = F.col("curr") - F.col("prev")
     return out.withColumns({
-        "net": net, "ratio": F.round(F.col("curr") / F.greatest(F.lit(1), F.col("prev")), 2), "state": state(F.col("curr"), F.col("prev")),
-        "velocity_z": F.round(net / F.sqrt(F.greatest(F.lit(1), F.col("prev"))), 2),
+        "net": net, "ratio": rounded(F.col("curr") / F.greatest(F.lit(1), F.col("prev")), 2), "state": state(F.col("curr"), F.col("prev")),
+        "velocity_z": rounded(net / F.sqrt(F.greatest(F.lit(1), F.col("prev"))), 2),
         "scope_shift": F.when(home_only & (F.col("ci") > 0), "international_pickup").when(home_only & (F.col("ca") > 0), "diaspora_pickup"),
         "state_surge": enough & (moved >= 0.3), "state_recede": enough & (moved <= -0.3),
     })
@@ -69,7 +75,7 @@ def agenda(rows: DataFrame, now: str, days: int = 7, categories: list[str] | Non
     total = out.agg(F.sum("curr").alias("tc"), F.sum("prev").alias("tp"))
     out = out.crossJoin(F.broadcast(total))  # one row
     part = lambda c, t: 100.0 * F.col(c) / F.greatest(F.lit(1), F.col(t))
-    return out.select("category", "curr", "prev", (F.col("curr") - F.col("prev")).alias("net"), F.round(part("curr", "tc"), 1).alias("share_pct"), F.round(part("curr", "tc") - part("prev", "tp"), 1).alias("share_delta_pct"))
+    return out.select("category", "curr", "prev", (F.col("curr") - F.col("prev")).alias("net"), rounded(part("curr", "tc"), 1).alias("share_pct"), rounded(part("curr", "tc") - part("prev", "tp"), 1).alias("share_delta_pct"))
 
 
 def with_prior_matches(members: DataFrame, matches: DataFrame, now: str, days: int = 7, least: float = 0.895, core: float = 0.91) -> DataFrame:

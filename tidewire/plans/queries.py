@@ -597,6 +597,11 @@ def theme_policy(spark, sf_dir):
     return stories.theme_tags(x).select("story_id", F.round("policy", 6).alias("policy"), "themes")
 
 
+def streamed(spark, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream, whether it is a file or a folder of files: a pattern that only its own path matches."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives over all that is there, by way of Parquet in the shared folder; complete mode, or one batch."""
     path = graph.shared_path(stream.sparkSession, "stream")
@@ -608,5 +613,5 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 @query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
 def volumes_stream(spark, sf_dir):
     """The events as a stream: available files in one go, daily volumes in complete mode."""
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = streamed(spark, sf_dir, "events")
     return drained(streaming.volumes(stream, "event_type"), "complete").withColumn("value", F.round("value", 4))

@@ -8,7 +8,7 @@ from .. import streaming
 from ..functions import vectors
 from ..operators import delta, events, excerpts, stories, views
 from .fixtures import ARTICLE, FACTS_SQL, NOW, articles, pick, read, story_facts
-from .queries import VECTOR, drained, query
+from .queries import VECTOR, drained, query, streamed
 
 #: What is said of both windows, given counts by (story_id, more).
 COMPARED = """curr - prev AS net, round(curr / greatest(1, prev), 2) AS ratio, round(coalesce(sc / nullif(cc, 0), 0), 2) AS s1, round(coalesce(sp / nullif(cp, 0), 0), 2) AS s0"""
@@ -37,8 +37,7 @@ def story_deltas_replay(spark, sf_dir):
 @query(REPLAY)
 def story_deltas_stream(spark, sf_dir):
     """The same, from the documents as a stream in complete mode."""
-    schema = read(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = streamed(spark, sf_dir, "documents")
     return drained(streaming.story_deltas(articles(spark, sf_dir, stream), 7, "1 day"), "complete")
 
 
