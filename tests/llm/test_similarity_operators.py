@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import components, minhash, mixing, quotes, substrings, topk
-from tidewire.llm.common import shingles, word_hashes
+from tidewire.llm import common, components, minhash, mixing, quotes, substrings, topk
+from tidewire.llm.common import few, shingles, word_hashes
 
 WORDS = [a + b for a in "ba ke li mo nu ra se ti".split() for b in "lan der mic sol tur wen".split()]
 
@@ -137,6 +137,24 @@ def test_passages_that_the_first_holder_of_their_shingles_lacks(spark):
     assert all(held(got[k], 40, 100) for k in range(2 * n, 4 * n))
 
 
+def test_broadcasts_are_bounded_by_their_bytes(spark):
+    marked = lambda df, **most: "Hint" in few(df, **most)._jdf.queryExecution().logical().toString()
+    ids = spark.range(1000)
+    assert marked(ids) and marked(ids, most=1000 * 64) and not marked(ids, most=1000 * 64 - 1)
+    assert not marked(spark.range(1_300_000))  # 79 MB
+    span = F.struct(F.lit(1).alias("start"), F.lit(2).alias("end"))
+    for c in (F.expr("repeat('x', 100000)"), F.array_repeat(span, 10000), F.array_repeat(F.lit("word"), 10000), F.array_repeat(F.lit(1), 20000)):
+        assert not marked(ids.select("id", c.alias("c"))) and marked(ids.limit(9).select("id", c.alias("c")))
+    assert marked(ids.select("id", F.lit(None).cast("array<int>").alias("c"), F.lit(None).cast("string").alias("s")))
+
+
+def test_passages_without_broadcasts(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(map(str, substrings.repeated_passages(df).collect()))
+    monkeypatch.setattr(common, "FEW_BYTES", 0)
+    assert sorted(map(str, substrings.repeated_passages(df).collect())) == want
+
+
 def test_repeated_spans_by_brute_force():
     rng = random.Random(31)
     for _ in range(30):
