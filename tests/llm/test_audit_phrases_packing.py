@@ -122,6 +122,16 @@ def test_phrases_equal_brute_force(spark, monkeypatch, least, most, head):
     assert rows_of(collocations.collocations(df, least=least, most=most, head_words=head)) == phrases_by_hand(docs, least, most)
 
 
+def test_many_counts_are_not_broadcast(spark, monkeypatch):
+    docs = texts(6)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    monkeypatch.setattr(collocations, "FEW_COUNTS", 0)
+    kept, joined = collocations._joined, []
+    monkeypatch.setattr(collocations, "_joined", lambda *args: joined.append(args[-1]) or kept(*args))
+    assert rows_of(collocations.collocations(df, least=20)) == phrases_by_hand(docs, 20, 2000)
+    assert joined and not any(joined)
+
+
 def test_phrases_of_odd_rows(spark, odd):
     assert rows_of(collocations.collocations(odd)) == phrases_by_hand(ODD, 100, 2000)
     assert rows_of(collocations.collocations(odd, least=2)) == phrases_by_hand(ODD, 2, 2000)
