@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewire.operators import clustering
+from tidewire.operators import clustering, graph
 
 
 def made(seed, n, d, span):
@@ -69,3 +70,43 @@ def test_linkage_holds_no_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(set(label.tolist())) < 1500 and peak < 10 * x.nbytes < 4000 * 4000  # a matrix of pairs has 128 MB
+
+
+@pytest.mark.parametrize("kept", [0, 5000, 1 << 20])
+def test_linkage_where_lists_of_near_rows_are_not_kept(monkeypatch, kept):
+    x, t = made(5, 300, 4, 40)
+    want = clustering.average_linkage(x, t, 0.3, 10.0)
+    monkeypatch.setattr(clustering, "NEAR_BYTES", kept)
+    assert clustering.average_linkage(x, t, 0.3, 10.0).tolist() == want.tolist() and 2 < len(set(want.tolist())) < 300
+
+
+def test_links_are_fewer_than_rows_and_make_the_same_components(spark):
+    x, t = made(2, 200, 3, 20)
+    rows = [(k, "c", int(t[k]) * 3600, x[k].tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, country string, s long, vector array<double>").withColumn("at", F.timestamp_seconds("s"))
+    pairs, links = clustering.near_pairs(df, 0.5, 1), clustering.near_links(df, 0.5, 1)
+    assert links.count() < 2 * 200 < pairs.count()  # two time buckets
+    assert sorted(map(tuple, graph.components(links).collect())) == sorted(map(tuple, graph.components(pairs).collect()))
+
+
+def test_related_clusters_are_not_one_task(spark, monkeypatch):
+    """Centres that are all related but do not merge: none of them needs a component, and the pairs are those of the definition."""
+    x, t = made(3, 60, 3, 30)
+    rows = [(k, "c", int(t[k]) * 3600, x[k].tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, country string, s long, vector array<double>").withColumn("at", F.timestamp_seconds("s"))
+    asked = []
+    links = clustering.near_links
+    monkeypatch.setattr(clustering, "near_links", lambda v, least, days: asked.append(least) or links(v, least, days))
+    core, related = clustering.clusters(df, 0.999, 0.995, 1.0, 0.6)
+    core, related = {r.id: r.core for r in core.collect()}, sorted((r.a, r.b) for r in related.collect())
+    assert asked == [0.999, 0.995]  # nothing is linked at 0.6
+    groups = sorted(set(core.values()))
+    of = {g: [k for k in core if core[k] == g] for g in groups}
+    want = []
+    for a in groups:
+        for b in groups:
+            both = of[a] + of[b]
+            if a < b and t[both].max() - t[both].min() <= 24 and len(of[a]) == len(of[b]) == 1 and x[a] @ x[b] >= 0.6:
+                want.append((a, b))
+    alone = [p for p in related if len(of[p[0]]) == len(of[p[1]]) == 1]
+    assert alone == want and len(want) > 20

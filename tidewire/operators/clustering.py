@@ -26,7 +26,26 @@ from .graph import components, cut
 BLOCK = 1024
 
 
-def near_pairs(vecs: DataFrame, least: float, days: float, by: str = "country") -> DataFrame:
+def _forest(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that link the ``n`` rows as the pairs (p, q) do, fewer than rows: of each row and the first one that it is linked to."""
+    root = np.arange(n)
+    while True:
+        low, before = np.minimum(root[p], root[q]), root.copy()
+        np.minimum.at(root, root[p], low)
+        np.minimum.at(root, root[q], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            linked = np.flatnonzero(root != np.arange(n))
+            return root[linked], linked
+
+
+def near_links(vecs: DataFrame, least: float, days: float, by: str = "country") -> DataFrame:
+    """(a, b) that make the components of ``near_pairs``: of the pairs that a task finds, as many as it has rows at most."""
+    return near_pairs(vecs, least, days, by, links=True).select("a", "b")
+
+
+def near_pairs(vecs: DataFrame, least: float, days: float, by: str = "country", links: bool = False) -> DataFrame:
     """(a, b, sim) of vectors (id, ``by``, at, vector) of one group, at most ``days`` apart, with cosine ``least`` or more.
 
     Times fall into buckets as long as the gap; each vector meets its own and the next bucket. Buckets are dealt to
@@ -54,36 +73,46 @@ def near_pairs(vecs: DataFrame, least: float, days: float, by: str = "country")
         if i == j:
             good &= left[:, None] < right
         p, q = np.nonzero(good)
-        a, b = ids[left[p]], ids[right[q]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "sim": pa.array(sim[p, q])})
+        found, p, q = sim[p, q], left[p], right[q]
+        if links:
+            p, q = _forest(p, q, len(ids))
+            found = np.full(len(p), np.nan)
+        a, b = ids[p], ids[q]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "sim": pa.array(found)})
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
     return v.groupBy("g", "k", "i", "j").applyInArrow(compare, schema)
 
 
-class _Live:
-    """Sums, sizes and spans of the clusters that may still join; rows of others are let go as they become many."""
+#: Bytes of lists of near rows that a task keeps; rows beyond find theirs anew each time.
+NEAR_BYTES = 512 << 20
 
-    def __init__(self, x: np.ndarray, t: np.ndarray):
-        self.ids, self.on = np.arange(len(x)), np.ones(len(x), bool)
-        self.sums, self.size, self.low, self.high = x.copy(), np.ones(len(x)), t.copy(), t.copy()
 
-    def row(self, cluster: int) -> int:
-        return int(np.searchsorted(self.ids, cluster))
+class _Near:
+    """The rows near each row, rows in order of time: those of a similarity of ``least`` or more, at most ``gap`` apart."""
 
-    def drop(self, row: int) -> None:
-        self.on[row] = False
-        if 2 * np.count_nonzero(self.on) < len(self.on):
-            keep = self.on
-            self.ids, self.sums, self.size, self.low, self.high = (v[keep] for v in (self.ids, self.sums, self.size, self.low, self.high))
-            self.on = np.ones(len(self.ids), bool)
+    def __init__(self, rows: np.ndarray, times: np.ndarray, least: float, gap: float):
+        self.rows, self.least = rows, least - 1e-9
+        self.lo, self.hi = np.searchsorted(times, times - gap), np.searchsorted(times, times + gap, "right")
+        self.lists: list[np.ndarray] = []
+        held = 0
+        while len(self.lists) < len(rows) and held < NEAR_BYTES:
+            i = len(self.lists)
+            e = min(len(rows), i + max(1, rows.size // (2 * int(self.hi[i] - self.lo[i]))))  # as many numbers as half the vectors, about
+            found = self._found(i, e)
+            held += sum(f.nbytes + 112 for f in found)
+            self.lists += found
 
-    def join(self, a: int, b: int) -> None:
-        i, j = self.row(a), self.row(b)
-        self.sums[i] += self.sums[j]
-        self.size[i] += self.size[j]
-        self.low[i], self.high[i] = min(self.low[i], self.low[j]), max(self.high[i], self.high[j])
-        self.drop(j)
+    def _found(self, i: int, e: int) -> list[np.ndarray]:
+        first = self.lo[i]
+        at, near = np.nonzero(self.rows[i:e] @ self.rows[first : self.hi[e - 1]].T >= self.least)
+        near = (near + first).astype(np.int32)
+        good = (near >= self.lo[i:e][at]) & (near < self.hi[i:e][at]) & (near != at + i)
+        return np.split(near[good], np.searchsorted(at[good], np.arange(1, e - i)))
+
+    def of(self, members: np.ndarray) -> np.ndarray:
+        lists = [self.lists[i] if i < len(self.lists) else self._found(i, i + 1)[0] for i in members.tolist()]
+        return lists[0] if len(lists) == 1 else np.concatenate(lists)
 
 
 def _chain(nearest, join, settle, first, enough) -> None:
@@ -116,44 +145,59 @@ def average_linkage(x: np.ndarray, t: np.ndarray, cut: float, gap: float) -> np.
     """Labels (a cluster's smallest row) by average linkage on cosine distance of unit vectors; pairs further apart in time
     than ``gap`` count as distance 2.
 
-    No matrix of pairs is made: the mean similarity of two clusters is the product of their sums; where their joint span
-    is longer than the gap, each row of the one takes the sum of the rows of the other that are in its reach, a difference
-    of two running sums in order of time. Memory is that of about five copies of the vectors.
+    No matrix of pairs is made. Clusters join only if some pair across them is near enough, so a cluster looks at those of
+    the rows near its own (``_Near``) and at no others: the mean similarity of two clusters is the product of their sums;
+    where their joint span is longer than the gap, each row of the one takes the sum of the rows of the other that are in
+    its reach, a difference of two running sums in order of time. Memory is that of about five copies of the vectors,
+    and ``NEAR_BYTES`` at most for the rows near each row.
     """
     order = np.argsort(t, kind="stable")
     rows, times, label = x[order], t[order], order.copy()  # in order of time
-    live = _Live(x, t)
+    near = _Near(rows, times, 1 - cut, gap)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x))
+    members: dict[int, np.ndarray] = {}  # places of the rows of joined clusters, in order of time
+    open_, sums, size, low, high = np.ones(len(x), bool), x.copy(), np.ones(len(x)), t.copy(), t.copy()
+    next_open = 0
+
+    def of(c: int) -> np.ndarray:
+        return members[c] if c in members else place[c : c + 1]
 
     def nearest(c: int) -> tuple[np.ndarray, np.ndarray]:
-        i = live.row(c)
-        total = live.sums @ live.sums[i]
-        apart = (live.low > live.high[i] + gap) | (live.high < live.low[i] - gap)
-        total[apart] = -live.size[apart] * live.size[i]
-        part = live.on & ~apart & (np.maximum(live.high, live.high[i]) - np.minimum(live.low, live.low[i]) > gap)
-        part[i] = False
-        if part.any():
-            mine = np.flatnonzero(label == c)
+        mine = of(c)
+        ids = np.unique(label[near.of(mine)])
+        ids = ids[open_[ids] & (ids != c)]
+        total = sums[ids] @ sums[c]
+        part = np.flatnonzero(np.maximum(high[ids], high[c]) - np.minimum(low[ids], low[c]) > gap)
+        if len(part):
             running = np.vstack([np.zeros(x.shape[1]), np.cumsum(rows[mine], axis=0)])
-            place = np.full(len(x), -1)
-            place[live.ids[part]] = np.flatnonzero(part)
-            met = np.flatnonzero(place[label] >= 0)
             total[part] = 0.0
-            for p in np.array_split(met, len(met) // 4096 + 1):
+            theirs = [of(k) for k in ids[part].tolist()]
+            met, whose = np.concatenate(theirs), np.repeat(part, [len(k) for k in theirs])
+            for k in range(0, len(met), 4096):
+                p = met[k : k + 4096]
                 lo, hi = np.searchsorted(times[mine], times[p] - gap), np.searchsorted(times[mine], times[p] + gap, "right")
-                near = np.einsum("nd,nd->n", running[hi] - running[lo], rows[p])
-                np.add.at(total, place[label[p]], near - (len(mine) - (hi - lo)))
-        sim = np.where(live.on, total / (live.size * live.size[i]), -np.inf)
-        sim[i] = -np.inf
-        return live.ids, sim
+                np.add.at(total, whose[k : k + 4096], np.einsum("nd,nd->n", running[hi] - running[lo], rows[p]) - (len(mine) - (hi - lo)))
+        return ids, total / (size[ids] * size[c])
 
     def join(a: int, b: int) -> None:
-        live.join(a, b)
-        label[label == b] = a
+        sums[a] += sums[b]
+        size[a] += size[b]
+        low[a], high[a], open_[b] = min(low[a], low[b]), max(high[a], high[b]), False
+        label[of(b)] = a
+        members[a] = np.sort(np.concatenate([of(a), of(b)]))
+        members.pop(b, None)
+
+    def settle(c: int) -> None:
+        open_[c] = False
 
     def first() -> int | None:
-        return int(live.ids[live.on.argmax()]) if live.on.any() else None
+        nonlocal next_open
+        while next_open < len(x) and not open_[next_open]:
+            next_open += 1
+        return next_open if next_open < len(x) else None
 
-    _chain(nearest, join, lambda c: live.drop(live.row(c)), first, lambda s: 1 - s < cut)
+    _chain(nearest, join, settle, first, lambda s: 1 - s < cut)
     out = np.empty(len(x), label.dtype)
     out[order] = label
     return out
@@ -254,7 +298,7 @@ def clusters(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, day
     """((id, core) of every vector (id, country, at, vector), (a, b, sim) of related clusters): average linkage, then
     complete linkage of centres. A cluster goes by its smallest id."""
     gap, kind = days * 86400, vecs.schema["id"].dataType.simpleString()
-    comp = components(near_pairs(vecs, similarity, days))
+    comp = components(near_links(vecs, similarity, days))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -268,21 +312,32 @@ def clusters(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, day
     linked = cut(linked.unionByName(rows.where("component is null").select("id", F.col("id").alias("first"))))
     facts = cut(summaries(_prepared(vecs).join(linked, "id"), "first"))
     at = facts.select(F.col("first").alias("id"), "country", F.timestamp_seconds("low").alias("at"), F.col("centre").alias("vector"))
-    close = components(near_pairs(at, min(merge, related), days))
+    close = components(near_links(at, merge, days))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first", ignore_index=True)
         centre = np.stack([np.asarray(v, float) for v in pdf["centre"]])
-        group, near = merge_close(centre, pdf["low"].to_numpy(), pdf["high"].to_numpy(), merge, gap, related)
-        first = pdf["first"].to_numpy()
-        parts = [pd.DataFrame({"first": first, "core": first[group], "other": pd.NA, "sim": np.nan})]
-        parts += [pd.DataFrame({"first": pd.NA, "core": [first[i]], "other": [first[j]], "sim": [s]}) for i, j, s in near]
-        return pd.concat(parts).astype({"first": "Int64", "core": "Int64", "other": "Int64"})
+        group, _ = merge_close(centre, pdf["low"].to_numpy(), pdf["high"].to_numpy(), merge, gap)
+        return pd.DataFrame({"first": pdf["first"], "core": pdf["first"].to_numpy()[group]})
 
     met = facts.join(close, F.col("first") == F.col("node")).select("first", "component", "low", "high", "centre")
-    done = cut(met.groupBy("component").applyInPandas(join, f"first {kind}, core {kind}, other {kind}, sim double"))
-    core = linked.join(done.where("first is not null").select("first", "core"), "first", "left").select("id", F.coalesce("core", "first").alias("core"))
-    return core, done.where("first is null").select(F.col("core").alias("a"), F.col("other").alias("b"), "sim")
+    done = cut(met.groupBy("component").applyInPandas(join, f"first {kind}, core {kind}"))
+    core = linked.join(done, "first", "left").select("id", F.coalesce("core", "first").alias("core"))
+    return core, _related(at, facts.join(done, "first", "left").withColumn("core", F.coalesce("core", "first")), related, days, gap)
+
+
+def _related(at: DataFrame, facts: DataFrame, least: float, days: float, gap: float) -> DataFrame:
+    """(a, b, sim) of groups whose least similarity is ``least`` or more and whose joint span is ``gap`` or less: those of
+    which all pairs across are near. ``at``: first centres; ``facts``: first, core, low, high."""
+    group = facts.groupBy("core").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    of = cut(facts.select("first", "core").join(group, "core"))
+    side = lambda k: of.select(F.col("first").alias(k), F.struct("core", "n", "low", "high").alias(f"of_{k}"))
+    met = near_pairs(at, least, days).join(side("a"), "a").join(side("b"), "b").where("of_a.core <> of_b.core")
+    met = met.where(F.greatest("of_a.high", "of_b.high") - F.least("of_a.low", "of_b.low") <= gap)
+    x, y = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
+    met = met.select(x.alias("x"), y.alias("y"), "sim").groupBy(F.col("x.core").alias("a"), F.col("y.core").alias("b"))
+    met = met.agg(F.min("sim").alias("sim"), F.count("*").alias("n"), F.any_value(F.col("x.n") * F.col("y.n")).alias("all"))
+    return met.where("n = all").select("a", "b", "sim")
 
 
 def cluster(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, borrow: float = 0.895, days: float = 3.0) -> DataFrame:
@@ -294,7 +349,7 @@ def cluster(vecs: DataFrame, similarity: float = 0.92, merge: float = 0.95, borr
     rows = _prepared(vecs).join(core, "id")
     facts = cut(summaries(rows, "core"))
     facts = cut(facts.join(_picked(rows, facts, "core"), "core"))
-    near = lambda c: near_pairs(facts.select(F.col("core").alias("id"), "country", F.timestamp_seconds("low").alias("at"), F.col(c).alias("vector")), borrow, days)
+    near = lambda c: near_links(facts.select(F.col("core").alias("id"), "country", F.timestamp_seconds("low").alias("at"), F.col(c).alias("vector")), borrow, days)
     comp = components(near("centre").unionByName(near("rep")))  # a mean is no longer than a centre
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:

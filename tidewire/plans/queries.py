@@ -446,7 +446,7 @@ WHERE abs(epoch(a.tm) - epoch(b.tm)) <= 259200 AND list_cosine_similarity(a.v, b
 r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def near_components(spark, sf_dir):
-    return graph.components(clustering.near_pairs(timed_vectors(spark, sf_dir), 0.33, 3))
+    return graph.components(clustering.near_links(timed_vectors(spark, sf_dir), 0.33, 3))
 
 
 @query()
