@@ -96,6 +96,17 @@ def test_reprints(spark):
     assert {r.id: r.syndicated_of for r in syndication.reprints(df).collect()} == {2: 1, 6: 5, 8: 7}
 
 
+def test_texts_are_hashed_in_portions(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000))})
+    portions = list(syndication._portions([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in portions) <= 64 and [i for p in portions for i in p.column("id").to_pylist()] == list(range(1000))
+    rows = [(k, prose(k % 7)) for k in range(200)]
+    got = syndication._hashed(spark.createDataFrame(rows, "id long, content string").coalesce(1)).collect()
+    assert {r.id: list(r.hashes) for r in got} == {k: syndication.shingle_hashes(syndication.content_words(c)).tolist() for k, c in rows}
+
+
 def test_relevance_cascade(spark):
     rows = [
         ("domestic", None, "https://x/a", "Budget passes", "", "", False, False, True),

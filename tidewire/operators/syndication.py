@@ -42,12 +42,19 @@ def shingle_hashes(words: list[str], width: int = 8) -> np.ndarray:
     return np.unique(h[h & 3 == 0])
 
 
+def _portions(batches, rows: int = 64):
+    """Batches in portions of a few rows: only their texts and hashes are objects of Python's at a time, however many a batch has."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _hashed(df: DataFrame) -> DataFrame:
     """``df`` (with ``content``) with ``hashes`` in its place."""
     names = [c for c in df.columns if c != "content"]
 
     def run(batches):
-        for b in batches:
+        for b in _portions(batches):
             lists = [shingle_hashes(content_words(c or "")) for c in b.column("content").to_pylist()]
             offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))
