@@ -89,6 +89,20 @@ def test_links_are_fewer_than_rows_and_make_the_same_components(spark):
     assert sorted(map(tuple, graph.components(links).collect())) == sorted(map(tuple, graph.components(pairs).collect()))
 
 
+def test_tasks_grow_with_pairs_of_blocks(spark, monkeypatch):
+    """What a task sorts stays the same: tasks grow with the copies of vectors, and a pair of blocks is compared in strips."""
+    x, t = made(4, 240, 3, 40)
+    rows = [(k, "c", int(t[k]) * 3600, x[k].tolist()) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, country string, s long, vector array<double>").withColumn("at", F.timestamp_seconds("s"))
+    for name, value in (("BLOCK", 16), ("CELLS", 64), ("TASK_ROWS", 128)):
+        monkeypatch.setattr(clustering, name, value)
+    pairs, links = clustering.near_pairs(df, 0.5, 1), clustering.near_links(df, 0.5, 1)
+    assert pairs.rdd.getNumPartitions() > 20 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = (x @ x.T >= 0.5) & (abs(t[:, None] - t) <= 24)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, j) for i in range(240) for j in range(i + 1, 240) if near[i, j]]
+    assert sorted(map(tuple, graph.components(links).collect())) == sorted(map(tuple, graph.components(pairs).collect()))
+
+
 def test_related_clusters_are_not_one_task(spark, monkeypatch):
     """Centres that are all related but do not merge: none of them needs a component, and the pairs are those of the definition."""
     x, t = made(3, 60, 3, 30)

@@ -10,6 +10,8 @@ memory fails that task rather than giving other clusters; a higher similarity or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,8 +24,11 @@ from ..functions import text, vectors
 from . import stories
 from .graph import components, cut
 
-#: Vectors of a time bucket that are compared in one task, about.
-BLOCK = 1024
+#: Vectors of a block, about: each vector is copied once for each block of its time bucket. Cells of similarities that a
+#: task holds at once.
+BLOCK, CELLS = 4096, 1 << 20
+#: Vectors that a task sorts by pairs of blocks, about, however many pairs there are in all.
+TASK_ROWS = 1 << 16
 
 
 def _forest(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,39 +54,55 @@ def near_pairs(vecs: DataFrame, least: float, days: float, by: str = "country",
     """(a, b, sim) of vectors (id, ``by``, at, vector) of one group, at most ``days`` apart, with cosine ``least`` or more.
 
     Times fall into buckets as long as the gap; each vector meets its own and the next bucket. Buckets are dealt to
-    pairs of blocks, and a pair of blocks is one matrix product.
+    pairs of blocks, and a pair of blocks is matrix products of bounded size. Pairs of blocks grow with the square of a
+    bucket, so tasks do too: what one of them sorts and holds stays the same.
     """
     gap = int(days * 86400)
     v = vecs.select("id", F.col(by).alias("g"), F.unix_timestamp("at").alias("t"), F.col("vector").cast("array<double>").alias("v"))
     own = F.floor(F.col("t") / gap)
     v = v.select("*", F.explode(F.array(F.struct(own.alias("k"), F.lit(False).alias("late")), F.struct((own - 1).alias("k"), F.lit(True).alias("late")))).alias("x"))
     v = v.select("id", "g", "t", "v", "x.k", "x.late")
-    sizes = v.groupBy("g", "k").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count_if(~F.col("late")).alias("own")).where("own > 0")
-    v = v.join(sizes.drop("own"), ["g", "k"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sizes = v.groupBy("g", "k").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count_if(~F.col("late")).alias("own")).where("own > 0")
+    sizes = cut(sizes.drop("own"))
+    copies = sizes.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0
+    tasks = max(int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-copies // TASK_ROWS))
+    v = v.join(sizes.drop("rows"), ["g", "k"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     v = v.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     v = v.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
     kind = vecs.schema["id"].dataType
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
         ids, t, late = (group.column(n).to_numpy() for n in ("id", "t", "late"))
-        x = np.array(group.column("v").to_pylist(), np.float64)
+        x = np.concatenate([np.array(b.column("v").to_pylist(), np.float64) for b in group.to_batches(1024)])
         x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
         block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        sim = x[left] @ x[right].T
-        good = (sim >= least) & (np.abs(t[left, None] - t[right]) <= gap) & ~(late[left, None] & late[right])
-        if i == j:
-            good &= left[:, None] < right
-        p, q = np.nonzero(good)
-        found, p, q = sim[p, q], left[p], right[q]
+
+        def pairs(found: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            a, b = ids[p], ids[q]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found)], ["a", "b", "sim"])
+
+        linked = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        step = max(1, CELLS // max(1, len(right)))
+        for start in range(0, len(left), step):
+            some = left[start : start + step]
+            sim = x[some] @ x[right].T
+            good = (sim >= least) & (np.abs(t[some, None] - t[right]) <= gap) & ~(late[some, None] & late[right])
+            if i == j:
+                good &= some[:, None] < right
+            p, q = np.nonzero(good)
+            found, p, q = sim[p, q], some[p], right[q]
+            if links:
+                linked = _forest(np.append(linked[0], p), np.append(linked[1], q), len(ids))
+            else:
+                yield pairs(found, p, q)
         if links:
-            p, q = _forest(p, q, len(ids))
-            found = np.full(len(p), np.nan)
-        a, b = ids[p], ids[q]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "sim": pa.array(found)})
+            yield pairs(np.full(len(linked[0]), np.nan), *linked)
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
-    return v.groupBy("g", "k", "i", "j").applyInArrow(compare, schema)
+    by_pair = ["g", "k", "i", "j"]
+    return v.repartition(tasks, *by_pair).groupBy(*by_pair).applyInArrow(compare, schema)
 
 
 #: Bytes of lists of near rows that a task keeps; rows beyond find theirs anew each time.
