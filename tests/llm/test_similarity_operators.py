@@ -168,6 +168,22 @@ def test_repeated_spans_by_brute_force():
         assert {k for s, e in substrings.repeated_spans(a, b, least=1.01) for k in range(s, e)} == want
 
 
+def test_texts_that_are_staged_move_once_and_compressed(spark):
+    from tidewire.llm.common import Staged
+
+    for text in ("", "é ü 漢字", "the same words " * 500):
+        assert substrings.unpacked(substrings.packed(text)) == text.encode()
+    assert len(substrings.packed("the same words " * 500)) < 200
+    staged = Staged(spark.range(1000).selectExpr("id", "repeat('x', 100) AS text"), bucket="id")
+    other = spark.range(0, 1000, 7).selectExpr("id", "id * 2 AS n")
+    joined = staged.df.hint("merge").join(other, "id")
+    assert joined.count() == 143
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.split("+- == Initial Plan ==")[0].count("Exchange hashpartitioning") == 1  # of the other rows
+    staged.drop()
+    assert not spark.catalog.tableExists(staged.name)
+
+
 def test_passages_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = {r.id: {k for s in r.spans for k in range(s.start, s.end)} for r in substrings.repeated_passages(docs).collect()}

@@ -14,6 +14,8 @@ document of the group. No group is expanded into pairs.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +28,16 @@ WIDTH, WORDS, HASHES, HITS = 5, 50, 4, 2
 _LOW = np.uint64(0xFFFFFF)
 
 
+def packed(text: str) -> bytes:
+    """A text as it goes through shuffles and files: its size in bytes, and it compressed; equal texts give equal bytes."""
+    data = text.encode()
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _sliding_min(v: np.ndarray, t: int) -> np.ndarray:
     """Minima of all windows of ``t`` values, by prefix and suffix minima of blocks."""
     n = len(v)
@@ -221,7 +233,10 @@ def _pairs(met: DataFrame, words: int, hits: int) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            good = [overlapping([x["place"] for x in at], [x["f"] for x in at], t, hits) for at in b.column("at").to_pylist()]
+            at = b.column("at")
+            edges = (at.offsets.to_numpy() - at.offsets[0].as_py()).tolist()
+            places, functions = (x.to_numpy(zero_copy_only=False).tolist() for x in at.flatten().flatten())
+            good = [overlapping(places[a:e], functions[a:e], t, hits) for a, e in zip(edges, edges[1:], strict=False)]
             yield b.select(["id", "lead"]).filter(pa.array(good, pa.bool_()))
 
     kind = met.schema["id"].dataType.simpleString()
@@ -293,7 +308,7 @@ def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: in
         for b in slices(batches, 64):
             rows, places, keys = [], [], []
             for row, (windows, spans, body) in enumerate(texts(b)):
-                w = body.encode().split()
+                w = unpacked(body).split()
                 if len(w) < words:
                     continue
                 ask, free = _open(windows, spans, len(w), words, hashes, hits)
@@ -324,7 +339,7 @@ def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: in
         for b in slices(batches, 64):
             out = {"node": [], "bucket": [], "begin": [], "text": []}
             for i, marks, (windows, spans, body) in zip(b.column("id").to_pylist(), b.column("marks").to_pylist(), texts(b), strict=True):
-                w = body.encode().split()
+                w = unpacked(body).split()
                 ask, free = _open(windows, spans, len(w), words, hashes, hits)
                 held = ~free
                 held[marks] = True
@@ -352,11 +367,17 @@ def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: in
     near = near.groupBy(F.col("node").alias("id"), "lead", "begin", "text", "held").agg(F.count("*")).select("id", "lead", "begin", "text", "held")
 
     def compare(batches):
+        held = lru_cache(4096)(lambda y: Held(y.encode().split(), t))
+
+        @lru_cache(4096)
+        def spans_in(x: str, y: str):
+            w = x.encode().split()
+            return [(0, len(w))] if x == y else repeated_spans(w, held(y), words, least)
+
         for b in slices(batches):
             out = []
             for begin, x, y in zip(*(b.column(n).to_pylist() for n in ("begin", "text", "held")), strict=True):
-                found = repeated_spans(x.encode().split(), y.encode().split(), words, least)
-                out.append([{"start": a + begin, "end": e + begin} for a, e in found])
+                out.append([{"start": a + begin, "end": e + begin} for a, e in spans_in(x, y)])
             lists = pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             batch = pa.RecordBatch.from_arrays([b.column("id"), b.column("lead"), lists], ["id", "lead", "spans"])
             yield batch.filter(pa.array([bool(x) for x in out], pa.bool_()))
@@ -387,7 +408,7 @@ def _passages(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = 0.8,
     hashes: int = HASHES, hits: int = HITS,
 ) -> DataFrame:
-    """``repeated_passages`` of rows with a key of their own."""
+    """``repeated_passages`` of rows with a key of their own. Texts go through shuffles and files compressed (``packed``)."""
     kind = df.schema[key].dataType.simpleString()
     shared = _shared(df, key, text, words, hashes)
     met = shared.df
@@ -395,9 +416,14 @@ def _passages(
     tidy(df.sparkSession)
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     windows = met.groupBy("id").agg(F.collect_list(F.struct("f", "key", "place", "c")).alias("windows"))
-    whole = docs.join(few(met.select("id").distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+
+    def pack(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(packed, b.column("text").to_pylist())), pa.binary())], ["id", "text"])
+
+    whole = docs.join(few(met.select("id").distinct()), "id", "left_semi").mapInArrow(pack, f"id {kind}, text binary")
     windows = windows.select("id", *(F.col(f"windows.{n}").alias(n) for n in ("f", "key", "place", "c")))
-    staged = Staged(whole.join(windows, "id"))
+    staged = Staged(whole.join(windows, "id"), bucket="id")  # what joins it later comes to its buckets, no text moves for that
     shared.drop()
     texts = staged.df.select("id", "text")
     tidy(df.sparkSession)
@@ -407,9 +433,13 @@ def _passages(
         for b in slices(batches):
             out = []
             for n, x, y in zip(b.column("lead").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                w = unpacked(x).split()
+                if x == y:
+                    out.append([(0, len(w))])
+                    continue
                 if n != last:
-                    last, own = n, Held(y.encode().split(), words - WIDTH + 1)
-                out.append(repeated_spans(x.encode().split(), own, words, least))
+                    last, own = n, Held(unpacked(y).split(), words - WIDTH + 1)
+                out.append(repeated_spans(w, own, words, least))
             rows = [{"start": a, "end": e} for spans in out for a, e in spans]
             offsets = np.zeros(len(out) + 1, np.int32)
             np.cumsum([len(s) for s in out], out=offsets[1:])
