@@ -147,6 +147,25 @@ def test_scores_past_64_bits(spark):
         assert (row.score, row.l, row.r, row.n) == (1000 * a * n // ((a + 5) * right), a + 5, right, n)
 
 
+def test_strips_of_keys_are_small_and_merge_in_order():
+    rng = np.random.default_rng(3)
+    keys = collocations.Keys(40_000, 2, [])
+    runs = [np.minimum(rng.zipf(1.3, 60_000), 40_000).astype(np.uint32) for _ in range(2)]
+    strips = []
+    for ids in runs:
+        keys.add(ids)
+        strips.append(keys.counted())
+    assert strips[0].schema.names == ["part", "keys"] and sum(len(k) for b in strips for k in b.column("keys").to_pylist()) < 8 * 120_000
+    got = [(k, n) for b in collocations.merged(2)(iter(strips)) for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist())]
+    padded = [np.append(ids, np.zeros(4, np.uint32)) for ids in runs]
+    want = [Counter(b"".join(int(x).to_bytes(2, "big") for x in p[i : i + 5]) for i in range(59_999)) for p in padded]
+    assert [k for k, _ in got] == sorted(k for k, _ in got) and len(got) == len(want[0]) + len(want[1])
+    total = Counter()
+    for k, n in got:
+        total[k] += n
+    assert total == want[0] + want[1]
+
+
 def test_radix_order_and_run_lengths():
     rng = np.random.default_rng(3)
     columns = [rng.integers(0, top, 5000).astype(np.uint32) for top in (3, 2, 200_000, 70_000, 4)]
