@@ -1,6 +1,7 @@
 """Encoding, token counts, fertility rules, language and toxicity on edge cases and against brute force."""
 
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -64,6 +65,16 @@ def test_bounded_memory_changes_nothing(model, monkeypatch):
     assert len(encoder.machine.keys) < 2000
 
 
+def test_states_take_few_bytes(model):
+    """A worker holds some 300,000 states; as tuples of numbers they took 250 bytes each."""
+    encoder, counter = pieces.Encoder(model), pieces.Encoder(model, counted=True)
+    for e in (encoder, counter):
+        e.batch(ODD) if e is encoder else e.counts(ODD)
+        held, names = e.machine.keys, e.machine.names(np.arange(len(e.machine.keys)) << 8)
+        assert len(set(names)) == len(held) > 100 and e.machine.states(names).tolist() == [k << 8 for k in range(len(held))]
+        assert sum(map(sys.getsizeof, held)) < 120 * len(held) and all(isinstance(k, bytes) for k in held)
+
+
 def test_unigram_lattice_is_the_best_sum(model):
     encoder = pieces.Encoder(model, "unigram")
     v = encoder.v

@@ -15,6 +15,7 @@ A chunk's map takes states to states; the maps compose in a prefix scan, which t
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ SPACE = "▁"
 #: The symbol before each text, read as the space that the format puts there; no byte of UTF-8 has this value.
 START = 0xFF
 #: Bytes of a chunk and of what is scanned at once, and bytes before a chunk from which its first state is guessed.
-CHUNK, BLOCK, AHEAD = 512, 1 << 21, 32
+CHUNK, BLOCK, AHEAD = 512, 1 << 20, 32
 #: Bounds on what a worker process remembers; beyond them a memo or the transducer is built anew.
 MEMO_PAIRS, MOST_STATES = 300_000, 300_000
 
@@ -62,7 +63,7 @@ class Vocabulary:
         self.openings = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.plain = sp.normalize(" Aﬁ  ① b́ ") == f"{SPACE * 2}Aﬁ{SPACE * 2}①{SPACE}b́{SPACE}"
         self.normaliser = sp
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.pieces = {i: p for p, i in self.ids.items()}
 
@@ -90,7 +91,7 @@ class Vocabulary:
         """Whether merging the joined text of two pieces gives back these two; nothing merges with what is no piece (-1)."""
         if left < 0:
             return True
-        key = (left, right)
+        key = left << 32 | right
         out = self._pairs.get(key)
         if out is None:
             if len(self._pairs) >= MEMO_PAIRS:
@@ -107,6 +108,22 @@ NOTHING = ("", (-1,), (0,), b"")
 FREE, FACTOR, EVEN = (1 << 64) - 1, 0x9E3779B1, 1 << 16
 
 
+def packed_state(key: tuple) -> bytes:
+    """A state as the machine holds it: a third of the bytes of its tuples. Equal states give equal bytes."""
+    suffix, lasts, counts, partial = key
+    numbers = array("i", (*lasts, *counts) if any(counts) else lasts)
+    text = suffix.encode()
+    return b"".join([len(text).to_bytes(3, "little"), bytes([len(partial)]), text, partial, numbers.tobytes()])
+
+
+def unpacked_state(data: bytes) -> tuple:
+    end = 4 + int.from_bytes(data[:3], "little")
+    after = end + data[3]
+    suffix, numbers = data[4:end].decode(), array("i", data[after:])
+    n = len(suffix) + 1
+    return suffix, tuple(numbers[:n]), tuple(numbers[n:]) or (0,) * n, data[end:after]
+
+
 class Machine:
     """The transducer. ``counted``: a transition carries the change of the token count, else the number of an arc."""
 
@@ -119,25 +136,26 @@ class Machine:
 
     def _clear(self) -> None:
         self.shapes: dict[str, tuple] = {}
-        self.keys: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
+        self.keys: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
         self.n, self.bits = 0, 16
         # An entry: 27 bits of state and byte, 20 of the next state, 17 of what the transition carries.
         self.table = np.full(1 << self.bits, FREE, np.uint64)
 
     def state(self, key: tuple) -> int:
         """The number of a state, times 256."""
-        out = self.numbers.get(key)
+        held = packed_state(key)
+        out = self.numbers.get(held)
         if out is None:
-            out = self.numbers[key] = len(self.keys) << 8
-            self.keys.append(key)
+            out = self.numbers[held] = len(self.keys) << 8
+            self.keys.append(held)
         return out
 
     def states(self, keys: list[tuple]) -> np.ndarray:
         return np.array([self.state(k) for k in keys], np.uint32)
 
     def names(self, states: np.ndarray) -> list[tuple]:
-        return [self.keys[s] for s in (states >> 8).tolist()]
+        return [unpacked_state(self.keys[s]) for s in (states >> 8).tolist()]
 
     def shape(self, text: str) -> tuple[list[tuple[int, int]], list[int]]:
         """Of a window: its pieces that end it as (length, id), longest first, and the boundaries that later arcs can
@@ -199,8 +217,9 @@ class Machine:
         old = self.table[self.table != FREE]
         self.bits += 1
         self.table = np.full(1 << self.bits, FREE, np.uint64)
-        for x in old.tolist():
-            self._put(x)
+        for start in range(0, len(old), 4096):
+            for x in old[start : start + 4096].tolist():
+                self._put(x)
 
     def _put(self, entry: int) -> None:
         table, last = self.table.data, len(self.table) - 1
@@ -210,7 +229,7 @@ class Machine:
         table[slot] = entry
 
     def _compile(self, x: int) -> None:
-        key, change, size, piece, lag = self.step(self.keys[x >> 8], x & 255)
+        key, change, size, piece, lag = self.step(unpacked_state(self.keys[x >> 8]), x & 255)
         what = change + EVEN if self.counted else self.arcs.setdefault((size, piece, lag), len(self.arcs))
         self._put(x << 37 | self.state(key) >> 8 << 17 | what)
         self.n += 1
@@ -313,8 +332,9 @@ class Machine:
             e = np.concatenate([kept, e])  # of the bytes from ``done`` on
             size, piece, lag = np.array(list(self.arcs), np.int32).T
             behind = lag[e]
-            met = np.flatnonzero(behind >= 0)
-            ends = np.maximum(np.concatenate([[0], met + 1 - behind[met]]), 0)  # they never go back
+            met = np.flatnonzero(behind >= 0).astype(np.int32)
+            ends = np.concatenate([np.zeros(1, np.int32), np.maximum(met + 1 - behind[met], 0)])  # they never go back
+            del met, behind
             ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]
             last, marks = np.zeros(len(e), bool), ends[1:]
             stop = ends[:-1]
@@ -324,6 +344,7 @@ class Machine:
                 more = marks > stop
                 marks, stop = marks[more], stop[more]
             at = np.flatnonzero(last)
+            del last, marks, stop
             pieces, n = piece[e[at]], size[e[at]].astype(np.int64)
             n[pieces >= 0] = 1
             first = np.repeat(at + 1 - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))

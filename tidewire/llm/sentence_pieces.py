@@ -59,8 +59,12 @@ def encode(
 
 def _same(encoder, ids: np.ndarray, bounds: np.ndarray, texts: list[str | None]) -> list[bool]:
     """Whether ids decode to the texts; a literal U+2581 reads as a space, by the format."""
-    decoded = encoder.decoded(ids, bounds)
-    return [d == (t or "").replace("▁", " ").encode() for d, t in zip(decoded, texts, strict=True)]
+    out = []
+    for start in range(0, len(texts), 32):  # a few texts' bytes at a time
+        at = bounds[start : start + 33]
+        decoded = encoder.decoded(ids[at[0] : at[-1]], at - at[0])
+        out += [d == (t or "").replace("▁", " ").encode() for d, t in zip(decoded, texts[start : start + 32], strict=True)]
+    return out
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
