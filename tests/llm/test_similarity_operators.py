@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,36 @@ def test_passages_without_broadcasts(spark, sf_dir, monkeypatch):
     assert sorted(map(str, substrings.repeated_passages(df).collect())) == want
 
 
+def test_shared_cells_by_brute_force(monkeypatch):
+    """Cells go to parts of hashes in few bytes, one of a strip's for a hash that many documents have, and none is lost."""
+    monkeypatch.setattr(substrings, "KNOWN", 50)
+    rng, parts = np.random.default_rng(1), 5
+    pool, of, docs = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2), {}, []
+    for d in range(300):
+        p = np.sort(rng.choice(200, int(rng.integers(1, 30)), replace=False)).astype(np.uint32)
+        u = rng.choice(pool, len(p)) if d % 3 else rng.integers(0, 1 << 63, len(p)).astype(np.uint64)
+        u[0] = pool[0]  # all have it
+        docs.append((f"d{d}", p, u))
+        for x in u.tolist():
+            of.setdefault(x, set()).add(f"d{d}")
+    strips = []
+    for s in range(0, len(docs), 37):
+        ids, p, u = zip(*docs[s : s + 37], strict=True)
+        number = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(x) for x in u])
+        strips.append(substrings.strip(pa.array(ids), number, np.concatenate(p), np.concatenate(u), parts))
+    rows = pa.Table.from_batches(strips).sort_by("part").combine_chunks()
+    marked = [(i, m) for b in substrings.shared_cells(iter(rows.to_batches())) for i, ms in zip(*(c.to_pylist() for c in b.columns), strict=True) for m in ms]
+    assert len(marked) == len(set(marked))
+    assert set(marked) == {(i, q) for i, p, u in docs for q, x in zip(p.tolist(), u.tolist(), strict=True) if len(of[x]) > 1}
+    hot = int(pool[0] >> np.uint64(32)) * parts >> 32
+    dealt = rows.filter(pa.array([x == hot and not k for x, k in zip(rows["part"].to_pylist(), rows["known"].to_pylist(), strict=True)]))
+    keys = [np.cumsum(substrings._decoded(c, n, np.uint64, np.uint32, np.uint32)[0]) for c, n in zip(dealt["cells"].to_pylist(), dealt["n"].to_pylist(), strict=True)]
+    assert sum(int((k == pool[0]).sum()) for k in keys) == len(strips)
+    u = np.sort(rng.integers(0, 1 << 63, 100_000).astype(np.uint64))
+    code = substrings._coded(np.diff(u, prepend=np.uint64(0)), rng.integers(0, 900, len(u)).astype(np.uint32), rng.integers(0, 500, len(u)).astype(np.uint32))
+    assert len(code) < 10 * len(u)  # rows of Spark took 17 bytes a cell, twice
+
+
 def test_repeated_spans_by_brute_force():
     rng = random.Random(31)
     for _ in range(30):

@@ -288,6 +288,100 @@ def _open(windows: Windows, spans: list | None, n: int, words: int, hashes: int,
     return ask, ~covered(n, merged, WIDTH)
 
 
+#: Cells that a task gathers before it deals them out, and known ones of a row.
+STRIP, KNOWN = 1 << 19, 1 << 14
+
+
+def _coded(*columns: np.ndarray) -> bytes:
+    """Numbers by their bytes, all first ones first, compressed: high bytes take next to nothing."""
+    data = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _decoded(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw, out, at = np.frombuffer(pa.decompress(data, n * sum(sizes), codec="zstd", asbytes=True), np.uint8), [], 0
+    for k, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).reshape(-1))
+        at += n * size
+    return out
+
+
+def _several(u: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes: which are the first of their value, and which are in two documents or more."""
+    first = np.concatenate([[True], u[1:] != u[:-1]])
+    at = np.flatnonzero(first)
+    return first, (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at))[np.cumsum(first) - 1]
+
+
+def strip(ids: pa.Array, docs: np.ndarray, places: np.ndarray, u: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Cells (a document's number in ``ids``, a shingle's place and hash) as rows that go to parts by ranges of the hash.
+
+    Place 0 stands for a hash that several of these documents have: one such row tells other strips. Their own cells are
+    known to be shared; they go anywhere, so that a hash that very many have is no more rows to its part than strips.
+    """
+    order = np.argsort(u, kind="stable")
+    u, docs, places = u[order], docs[order], places[order]
+    first, known = _several(u, docs)
+    out = []
+
+    def row(part: int, is_known: bool, which: np.ndarray, *more: np.ndarray) -> None:
+        own, number = np.unique(docs[which], return_inverse=True)
+        place = places[which] + np.uint32(1) if is_known else np.where(known[which], 0, places[which] + 1).astype(np.uint32)
+        out.append((part, is_known, ids.take(pa.array(own)), len(which), _coded(*more, number.astype(np.uint32), place)))
+
+    sent = np.flatnonzero(~known | first)
+    edges = np.searchsorted(((u[sent] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    for part, (a, e) in enumerate(zip(edges, edges[1:], strict=False)):
+        if a < e:
+            at = u[sent[a:e]]
+            row(part, False, sent[a:e], np.diff(at, prepend=np.uint64(0)))
+    held = np.flatnonzero(known)
+    held = held[np.argsort(docs[held], kind="stable")]
+    for k, start in enumerate(range(0, len(held), KNOWN)):
+        row((int(u[0]) + k) % parts, True, held[start : start + KNOWN])
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in out)]).astype(np.int32)), pa.concat_arrays([r[2] for r in out]))
+    columns = [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out]), lists, pa.array([r[3] for r in out], pa.int32()), pa.array([r[4] for r in out], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "known", "ids", "n", "cells"])
+
+
+def shared_cells(batches):
+    """Rows (id, marks): the places of cells whose hash another document has too, of rows of ``strip`` in order of parts."""
+    part, ids, docs, places, keys, n = None, [], [], [], [], 0
+
+    def rows(ids: pa.Array, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(docs, kind="stable")
+        own, at = np.unique(docs[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array((places[order] - 1).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(own)), lists], ["id", "marks"])
+
+    def gathered():
+        u, d, p = map(np.concatenate, (keys, docs, places))
+        order = np.argsort(u, kind="stable")
+        u, d, p = u[order], d[order], p[order]
+        good = _several(u, d)[1] & (p > 0)
+        return rows(pa.concat_arrays(ids), d[good], p[good])
+
+    for b in slices(batches, 16):
+        for k, (to, is_known, m, data) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "known", "n", "cells")), strict=True)):
+            own = b.column("ids")[k].values
+            if is_known:
+                yield rows(own, *_decoded(data, m, np.uint32, np.uint32))
+                continue
+            if to != part and keys:
+                yield gathered()
+                ids, docs, places, keys, n = [], [], [], [], 0
+            u, d, p = _decoded(data, m, np.uint64, np.uint32, np.uint32)
+            part = to
+            ids.append(own)
+            keys.append(np.cumsum(u, dtype=np.uint64))
+            docs.append(d + np.uint32(n))
+            places.append(p)
+            n += len(own)
+    if keys:
+        yield gathered()
+
+
 def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: int, hits: int) -> DataFrame:
     """Spans (id, lead, spans) of passages of documents of which neither is the first of its windows' keys.
 
@@ -304,10 +398,12 @@ def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: in
     def texts(b):
         return zip(windows_of(b, t), b.column("spans").to_pylist(), b.column("text").to_pylist(), strict=True)
 
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def cells(batches):
+        ids, docs, places, keys, n = [], [], [], [], 0
         for b in slices(batches, 64):
-            rows, places, keys = [], [], []
-            for row, (windows, spans, body) in enumerate(texts(b)):
+            for i, (windows, spans, body) in zip(b.column("id").to_pylist(), texts(b), strict=True):
                 w = unpacked(body).split()
                 if len(w) < words:
                     continue
@@ -319,19 +415,21 @@ def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: in
                 steps[t : t + len(ask)] -= ask
                 some = np.flatnonzero((np.cumsum(steps)[:-1] > 0) & free)
                 if len(some):
-                    rows.append(np.full(len(some), row))
-                    places.append(some.astype(np.int32))
-                    keys.append(shingles(word_hashes(w), WIDTH)[some].view(np.int64))
-            flat = [pa.array(np.concatenate(x)) if x else pa.array([], k) for x, k in ((places, pa.int32()), (keys, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.concatenate(rows) if rows else [], pa.int64())), *flat], ["id", "p", "u"])
+                    docs.append(np.full(len(some), len(ids), np.uint32))
+                    ids.append(i)
+                    places.append(some.astype(np.uint32))
+                    keys.append(shingles(word_hashes(w), WIDTH)[some])
+                    n += len(some)
+            if n >= STRIP:
+                yield strip(pa.array(ids, b.schema.field("id").type), *map(np.concatenate, (docs, places, keys)), parts)
+                ids, docs, places, keys, n = [], [], [], [], 0
+        if n:
+            yield strip(pa.array(ids, b.schema.field("id").type), *map(np.concatenate, (docs, places, keys)), parts)
 
     own = own.join(few(found), "id", "left")
-    staged = Staged(own.mapInArrow(cells, f"id {kind}, p int, u long"))
-    shared = Staged(staged.df.groupBy("u").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("u"))
-    tidy(own.sparkSession)
-    marks = cut(staged.df.join(few(shared.df), "u").groupBy("id").agg(F.collect_list("p").alias("marks")).where(F.size("marks") > WIDTH))
-    staged.drop()
-    shared.drop()
+    dealt = own.mapInArrow(cells, f"part int, known boolean, ids array<{kind}>, n int, cells binary").repartition(parts, "part").sortWithinPartitions("part")
+    marks = dealt.mapInArrow(shared_cells, f"id {kind}, marks array<int>").groupBy("id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    marks = cut(marks.where(F.size("marks") > WIDTH))
     tidy(own.sparkSession)
 
     def excerpts(batches):
