@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,32 @@ def test_shared_cells_by_brute_force(monkeypatch):
     assert len(code) < 10 * len(u)  # rows of Spark took 17 bytes a cell, twice
 
 
+def test_shared_cells_make_a_row_a_document():
+    """However many parts cells are dealt to, a document's marks are one row, and a part answers each row with one."""
+    rng, pool = np.random.default_rng(2), np.random.default_rng(3).integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2)
+    docs = [(d, np.arange(40, dtype=np.uint32), rng.choice(pool, 40, replace=False)) for d in range(200)]
+    of = np.unique(np.concatenate([u for *_, u in docs]), return_counts=True)
+    want = {(d, q) for d, p, u in docs for q, x in zip(p.tolist(), u, strict=True) if of[1][np.searchsorted(of[0], x)] > 1}
+    for parts in (1, 5, 40):
+        strips = []
+        for s in range(0, len(docs), 50):
+            ids, p, u = zip(*docs[s : s + 50], strict=True)
+            strips.append(substrings.strip(pa.array(ids), np.repeat(np.arange(50, dtype=np.uint32), 40), np.concatenate(p), np.concatenate(u), parts))
+        rows = pa.Table.from_batches(strips).sort_by("part").combine_chunks()
+        made = [(i, m) for b in substrings.shared_cells(iter(rows.to_batches())) for i, m in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert len(made) == len({i for i, _ in made}) == len(docs)  # a row a document and part before
+        assert {(i, q) for i, m in made for q in m} == want
+        assert sum(len(x) for x in rows["ids"].to_pylist() if x) == len(docs)  # ids go once, too
+        back = pa.Table.from_batches(substrings.answered(iter(rows.to_batches())))
+        assert len(back) == len(rows) and pc.all(back["known"]).as_py()
+        back = back.sort_by("strip").combine_chunks()
+        assert {(i, q) for b in substrings.shared_cells(iter(back.to_batches())) for i, m in zip(*(c.to_pylist() for c in b.columns), strict=True) for q in m} == want
+        with pytest.raises(ValueError, match="missing"):
+            list(substrings.shared_cells(iter(back.slice(1).to_batches())))
+    alone = substrings.strip(pa.array(["x"]), np.zeros(3, np.uint32), np.arange(3, dtype=np.uint32), pool[:3], 2)
+    assert sum(b.num_rows for b in substrings.shared_cells(iter([alone]))) == 0
+
+
 def test_repeated_spans_by_brute_force():
     rng = random.Random(31)
     for _ in range(30):

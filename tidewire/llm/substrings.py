@@ -14,10 +14,12 @@ document of the group. No group is expanded into pairs.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -294,7 +296,7 @@ STRIP, KNOWN = 1 << 19, 1 << 14
 
 def _coded(*columns: np.ndarray) -> bytes:
     """Numbers by their bytes, all first ones first, compressed: high bytes take next to nothing."""
-    data = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    data = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
     return pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
@@ -314,72 +316,99 @@ def _several(u: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at))[np.cumsum(first) - 1]
 
 
+def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """Rows of strips, whose ids are of ``kind``."""
+    kinds = {"strip": kind, "part": pa.int32(), "known": pa.bool_(), "ids": pa.list_(kind), "n": pa.int32(), "cells": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
 def strip(ids: pa.Array, docs: np.ndarray, places: np.ndarray, u: np.ndarray, parts: int) -> pa.RecordBatch:
     """Cells (a document's number in ``ids``, a shingle's place and hash) as rows that go to parts by ranges of the hash.
 
     Place 0 stands for a hash that several of these documents have: one such row tells other strips. Their own cells are
     known to be shared; they go anywhere, so that a hash that very many have is no more rows to its part than strips.
+    One row has the ids, whatever the number of parts, and tells how many rows there are beside it. A strip holds its
+    documents whole and goes by the first one's id.
     """
     order = np.argsort(u, kind="stable")
     u, docs, places = u[order], docs[order], places[order]
     first, known = _several(u, docs)
-    out = []
-
-    def row(part: int, is_known: bool, which: np.ndarray, *more: np.ndarray) -> None:
-        own, number = np.unique(docs[which], return_inverse=True)
-        place = places[which] + np.uint32(1) if is_known else np.where(known[which], 0, places[which] + 1).astype(np.uint32)
-        out.append((part, is_known, ids.take(pa.array(own)), len(which), _coded(*more, number.astype(np.uint32), place)))
-
+    name, out = ids[0].as_py(), []
     sent = np.flatnonzero(~known | first)
     edges = np.searchsorted(((u[sent] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
     for part, (a, e) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < e:
-            at = u[sent[a:e]]
-            row(part, False, sent[a:e], np.diff(at, prepend=np.uint64(0)))
+            at = sent[a:e]
+            place = np.where(known[at], 0, places[at] + 1).astype(np.uint32)
+            out.append((name, part, False, None, len(at), _coded(np.diff(u[at], prepend=np.uint64(0)), docs[at], place)))
     held = np.flatnonzero(known)
     held = held[np.argsort(docs[held], kind="stable")]
     for k, start in enumerate(range(0, len(held), KNOWN)):
-        row((int(u[0]) + k) % parts, True, held[start : start + KNOWN])
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in out)]).astype(np.int32)), pa.concat_arrays([r[2] for r in out]))
-    columns = [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out]), lists, pa.array([r[3] for r in out], pa.int32()), pa.array([r[4] for r in out], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["part", "known", "ids", "n", "cells"])
+        at = held[start : start + KNOWN]
+        out.append((name, (int(u[0]) + k) % parts, True, None, len(at), _coded(docs[at], places[at] + np.uint32(1))))
+    out.append((name, int(u[-1]) % parts, True, ids.to_pylist(), len(out), None))
+    return _rows(out, ids.type)
 
 
-def shared_cells(batches):
-    """Rows (id, marks): the places of cells whose hash another document has too, of rows of ``strip`` in order of parts."""
-    part, ids, docs, places, keys, n = None, [], [], [], [], 0
-
-    def rows(ids: pa.Array, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(docs, kind="stable")
-        own, at = np.unique(docs[order], return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array((places[order] - 1).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(own)), lists], ["id", "marks"])
+def answered(batches):
+    """Rows of strips in order of parts, with the cells alone whose hash another document has too: as many rows as come."""
+    part, names, cells = None, [], []
 
-    def gathered():
-        u, d, p = map(np.concatenate, (keys, docs, places))
+    def answers() -> pa.RecordBatch:
+        u, docs, places = map(np.concatenate, zip(*cells, strict=True))
+        sizes = [len(c[0]) for c in cells]
         order = np.argsort(u, kind="stable")
-        u, d, p = u[order], d[order], p[order]
-        good = _several(u, d)[1] & (p > 0)
-        return rows(pa.concat_arrays(ids), d[good], p[good])
+        good = np.zeros(len(u), bool)  # a strip has a hash for one document here, or for several with place 0
+        good[order] = _several(u[order], np.repeat(np.arange(len(cells), dtype=np.uint32), sizes)[order])[1]
+        good &= places > 0
+        out, edges = [], np.cumsum([0, *sizes])
+        for name, a, e in zip(names, edges, edges[1:], strict=False):
+            at = a + np.flatnonzero(good[a:e])
+            at = at[np.lexsort((places[at], docs[at]))]
+            out.append((name, part, True, None, len(at), _coded(docs[at], places[at])))
+        return _rows(out, kind)
 
     for b in slices(batches, 16):
-        for k, (to, is_known, m, data) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "known", "n", "cells")), strict=True)):
-            own = b.column("ids")[k].values
-            if is_known:
-                yield rows(own, *_decoded(data, m, np.uint32, np.uint32))
-                continue
-            if to != part and keys:
-                yield gathered()
-                ids, docs, places, keys, n = [], [], [], [], 0
-            u, d, p = _decoded(data, m, np.uint64, np.uint32, np.uint32)
+        kind, known = b.schema.field("strip").type, b.column("known")
+        yield b.filter(known)
+        asked = b.filter(pc.invert(known))
+        for name, to, n, data in zip(*(asked.column(c).to_pylist() for c in ("strip", "part", "n", "cells")), strict=True):
+            if to != part and cells:
+                yield answers()
+                names, cells = [], []
             part = to
-            ids.append(own)
-            keys.append(np.cumsum(u, dtype=np.uint64))
-            docs.append(d + np.uint32(n))
-            places.append(p)
-            n += len(own)
-    if keys:
-        yield gathered()
+            names.append(name)
+            u, *more = _decoded(data, n, np.uint64, np.uint32, np.uint32)
+            cells.append((np.cumsum(u, dtype=np.uint64), *more))
+    if cells:
+        yield answers()
+
+
+def shared_cells(batches):
+    """Rows (id, marks): the places of cells whose hash another document has too, of rows of strips, ``answered`` or in
+    order of parts. A document is one row: a strip gives its documents when the last of its rows has come."""
+    ids, left, cells = {}, Counter(), defaultdict(list)
+
+    def rows(own: list, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(docs, kind="stable")
+        which, at = np.unique(docs[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array((places[order] - 1).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(own, kind).take(pa.array(which)), lists], ["id", "marks"])
+
+    for b in slices(answered(batches), 16):
+        kind = b.schema.field("strip").type
+        for name, own, n, data in zip(*(b.column(c).to_pylist() for c in ("strip", "ids", "n", "cells")), strict=True):
+            if own is not None:
+                ids[name] = own
+                left[name] += n
+            else:
+                left[name] -= 1
+                cells[name].append(_decoded(data, n, np.uint32, np.uint32))
+            if name in ids and not left[name]:
+                del left[name]
+                yield rows(ids.pop(name), *map(np.concatenate, zip(*cells.pop(name), strict=True)))
+    if left:
+        raise ValueError(f"rows of {len(left)} strips are missing")
 
 
 def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: int, hits: int) -> DataFrame:
@@ -427,9 +456,10 @@ def _rest(own: DataFrame, found: DataFrame, words: int, least: float, hashes: in
             yield strip(pa.array(ids, b.schema.field("id").type), *map(np.concatenate, (docs, places, keys)), parts)
 
     own = own.join(few(found), "id", "left")
-    dealt = own.mapInArrow(cells, f"part int, known boolean, ids array<{kind}>, n int, cells binary").repartition(parts, "part").sortWithinPartitions("part")
-    marks = dealt.mapInArrow(shared_cells, f"id {kind}, marks array<int>").groupBy("id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    marks = cut(marks.where(F.size("marks") > WIDTH))
+    strips = f"strip {kind}, part int, known boolean, ids array<{kind}>, n int, cells binary"
+    dealt = own.mapInArrow(cells, strips).repartition(parts, "part").sortWithinPartitions("part")
+    back = dealt.mapInArrow(answered, strips).repartition(parts, "strip").sortWithinPartitions("strip")
+    marks = cut(back.mapInArrow(shared_cells, f"id {kind}, marks array<int>").where(F.size("marks") > WIDTH))
     tidy(own.sparkSession)
 
     def excerpts(batches):
